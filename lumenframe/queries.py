@@ -1,9 +1,364 @@
-"""The registered queries over spectral cubes."""
+"""The registered queries over spectral cubes, and their SQL.
 
+The `embeddings` table stands in for a scene: 25 pixels a line, 64 bands from 400 nm in steps of 10 nm. Values are rounded to six
+digits on both sides, and a zero is never negative.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from collections.abc import Callable
+from functools import partial
+from pathlib import Path
 
-def oracle_sql():
-    return {}
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe import operators as op
+from lumenframe.cube import SpectralCube
+from lumenframe.operators.statistics import matrix_frame
+from lumenframe.plans.gram import difference_gram
+from lumenframe.raster import Raster
+from lumenframe.sources import read_envi, read_zarr, read_zarr_window, write_envi, write_zarr
+
+WIDTH, BANDS, NODATA = 25, 64, -9999.0
+WAVELENGTHS = [400.0 + 10 * i for i in range(BANDS)]
+REFERENCE = [0.1 + 0.01 * i for i in range(BANDS)]
+TARGET = [405.0 + 7 * j for j in range(89)]
+
+
+def scene(spark: SparkSession, sf_dir: str, nodata: bool = False) -> SpectralCube:
+    spectrum = F.col("embedding").cast("array<double>")
+    if nodata:
+        spectrum = F.transform(spectrum, lambda v, i: F.when((F.col("vec_id") % 17 == 0) & (i == 3), F.lit(NODATA)).otherwise(v))
+    pixels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.floor(F.col("vec_id") / WIDTH).cast("int").alias("row"), (F.col("vec_id") % WIDTH).cast("int").alias("col"), spectrum.alias("spectrum")
+    )
+    return SpectralCube(pixels, WAVELENGTHS, nodata=NODATA if nodata else None)
+
+
+def _tidy(value: Column) -> Column:
+    r = F.round(value, 6)
+    return F.when(r == 0, 0.0).otherwise(r)
+
+
+def _long(cube: SpectralCube) -> DataFrame:
+    return cube.long_frame().select("row", "col", "band", F.coalesce(~F.isnan("value"), F.lit(False)).alias("valid"), F.when(F.isnan("value"), 0.0).otherwise(_tidy(F.col("value"))).alias("value"))
+
+
+def _map(raster: Raster) -> DataFrame:
+    return raster.frame.select("row", "col", (~F.isnan("value")).alias("valid"), F.when(F.isnan("value"), 0.0).otherwise(_tidy(F.col("value"))).alias("value"))
+
+
+def _matrix(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
+    return matrix_frame(spark, matrix).select("band_i", "band_j", _tidy(F.col("value")).alias("value"))
+
+
+def _stats(cube: SpectralCube) -> DataFrame:
+    return op.band_stats(cube).frame.select("band", *[_tidy(F.col(c)).alias(c) for c in ("min", "max", "mean", "std")], "valid_count")
+
+
+def _folder(spark: SparkSession) -> Path:
+    """A folder that all executors see: in spark.checkpoint.dir if that is a mounted path, a temporary one in a local session. It
+    stays until the driver ends, as a lost executor's rows are read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    base = shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else None
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("cube files need spark.checkpoint.dir to be a path that the driver and all executors mount")
+    if base is not None:
+        Path(base).mkdir(parents=True, exist_ok=True)
+    folder = Path(tempfile.mkdtemp(prefix="lumenframe-", dir=base))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _kept(spark: SparkSession, make: Callable[[Path], SpectralCube]) -> DataFrame:
+    """The pixels of a cube that is read back from files."""
+    return _long(make(_folder(spark)))
+
+
+def _envi_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: Path) -> SpectralCube:
+        cube = scene(spark, sf_dir)
+        for order in ("bsq", "bil", "bip"):
+            write_envi(cube, folder / f"{order}.img", interleave=order)
+            cube = read_envi(folder / f"{order}.hdr", spark)
+        return cube
+
+    return _kept(spark, make)
+
+
+def _envi_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: Path) -> SpectralCube:
+        cube = scene(spark, sf_dir)
+        write_envi(cube.with_frame(cube.frame.withColumn("spectrum", F.transform("spectrum", lambda v: v * 100))), folder / "whole.dat", "i16", "bil", force=True)
+        return read_envi(folder / "whole.dat", spark)
+
+    return _kept(spark, make)
+
+
+def _zarr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: Path) -> SpectralCube:
+        write_zarr(scene(spark, sf_dir), folder / "s.zarr", chunk_shape=(16, 7, 10))
+        return read_zarr(folder / "s.zarr", spark=spark)
+
+    return _kept(spark, make)
+
+
+def _zarr_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: Path) -> SpectralCube:
+        write_zarr(scene(spark, sf_dir), folder / "s.zarr", compression="none", chunk_shape=(16, 7, 10))
+        return read_zarr_window(folder / "s.zarr", (5, 21), (2, 10), (3, 18), spark)
+
+    return _kept(spark, make)
+
+
+def _zarr_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: Path) -> SpectralCube:
+        write_zarr(scene(spark, sf_dir, True), folder / "s.zarr")
+        return read_zarr(folder / "s.zarr", scale_factor=0.5, add_offset=1.0, spark=spark)
+
+    return _kept(spark, make)
+
+
+def _pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = scene(spark, sf_dir)
+    scores = op.pca_transform(cube, op.pca(cube))
+    return scores.frame.select("row", "col", _tidy(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x * x)).alias("energy"))
+
+
+def _pca_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = scene(spark, sf_dir)
+    fit = op.pca(cube)
+    return _long(op.pca_inverse(op.pca_transform(cube, fit), fit))
+
+
+def _pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = op.pca(scene(spark, sf_dir), 5)
+    return _matrix(spark, fit.components())
+
+
+def _pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = op.pca(scene(spark, sf_dir))
+    return spark.createDataFrame([(round(float(fit.explained_variance().sum()), 6),)], "total_variance double")
+
+
+def _mnf_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = op.mnf(scene(spark, sf_dir))
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(fit.eigenvalues())], "component int, eigenvalue double")
+
+
+def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = scene(spark, sf_dir)
+    n, gram = difference_gram(cube.frame, cube.bands)
+    return _matrix(spark, gram / (2 * max(n - 1, 1)))
+
+
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = scene(spark, sf_dir).spectrum(3, 4)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "band int, value double").select("band", _tidy(F.col("value")).alias("value"))
+
+
+def _with(make: Callable, out: Callable, nodata: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(make(scene(spark, sf_dir, nodata)))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    cubes = {
+        "sel_bands": lambda c: c.sel_bands([3, 7, 20]),
+        "sel_wavelengths": lambda c: c.sel_wavelengths(450, 500),
+        "normalize_minmax": op.normalize_minmax,
+        "normalize_zscore": op.normalize_zscore,
+        "derivative_1": lambda c: op.derivative(c, 1),
+        "derivative_2": lambda c: op.derivative(c, 2),
+        "savitzky_golay": lambda c: op.savitzky_golay(c, 5, 2),
+        "continuum_removal": op.continuum_removal,
+        "resample_linear": lambda c: op.resample(c, TARGET, "linear"),
+        "resample_cubic": lambda c: op.resample(c, TARGET, "cubic"),
+    }
+    maps = {
+        "band": lambda c: c.band(10),
+        "band_at": lambda c: c.band_at(470.0),
+        "band_nearest": lambda c: c.band_nearest(505.0),
+        "ndvi": lambda c: op.ndvi(c, 46, 25),
+        "normalized_difference": lambda c: op.normalized_difference(c, 3, 8),
+        "band_ratio": lambda c: op.band_ratio(c, 3, 8),
+        "sam": lambda c: op.sam(c, REFERENCE),
+    }
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for name, make in cubes.items():
+        out[name] = partial(_with, make, _long, False)
+    for name in ("normalize_minmax", "derivative_1", "savitzky_golay", "continuum_removal", "resample_linear"):
+        out[f"{name}_nodata"] = partial(_with, cubes[name], _long, True)
+    for name, make in maps.items():
+        out[name] = partial(_with, make, _map, False)
+    for name in ("normalized_difference", "band_ratio", "sam"):
+        out[f"{name}_nodata"] = partial(_with, maps[name], _map, True)
+    mean = lambda c: c.mean_spectrum_frame().select("band", _tidy(F.col("value")).alias("value"))
+    plain = lambda c: c
+    out |= {
+        "spectrum": _single,
+        "mean_spectrum": partial(_with, plain, mean, False),
+        "mean_spectrum_nodata": partial(_with, plain, mean, True),
+        "band_stats": partial(_with, plain, _stats, False),
+        "band_stats_nodata": partial(_with, plain, _stats, True),
+        "covariance": partial(_with, plain, lambda c: _matrix(c.spark, op.covariance(c)), False),
+        "covariance_nodata": partial(_with, plain, lambda c: _matrix(c.spark, op.covariance(c)), True),
+        "correlation": partial(_with, plain, lambda c: _matrix(c.spark, op.correlation(c)), False),
+        "noise_covariance": _noise,
+        "pca_total_variance": _pca_variance,
+        "pca_components": _pca_components,
+        "pca_transform_energy": _pca_energy,
+        "pca_roundtrip": _pca_roundtrip,
+        "mnf_eigenvalues": _mnf_eigenvalues,
+        "mnf_denoise_full": partial(_with, lambda c: op.mnf_denoise(c, BANDS), _long, False),
+        "envi_roundtrip": _envi_roundtrip,
+        "envi_integers": _envi_integers,
+        "zarr_roundtrip": _zarr_roundtrip,
+        "zarr_window": _zarr_window,
+        "zarr_scaled": _zarr_scaled,
+    }
+    return out
+
+
+def _r(x: str) -> str:
+    return f"CASE WHEN round({x}, 6) = 0 THEN 0::DOUBLE ELSE round({x}, 6) END"
+
+
+_CUBE = f"""cube AS (
+  SELECT CAST(vec_id // {WIDTH} AS INTEGER) AS "row", CAST(vec_id % {WIDTH} AS INTEGER) AS col,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings)"""
+_HOLED = f"""cube AS (
+  SELECT CAST(vec_id // {WIDTH} AS INTEGER) AS "row", CAST(vec_id % {WIDTH} AS INTEGER) AS col,
+         list_transform(embedding, lambda x, i: CASE WHEN vec_id % 17 = 0 AND i = 4 THEN {NODATA}::DOUBLE ELSE CAST(x AS DOUBLE) END) AS s FROM embeddings)"""
+_VALUES = 'vals AS (SELECT "row", col, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS band, unnest(s) AS v FROM cube)'
+_HOLE = f"list_contains(s, {NODATA}::DOUBLE)"
+
+
+def _sql_long(spectrum: str, nodata: bool = False, whole: bool = True) -> str:
+    """Values of a list expression over each pixel's s; whole: a pixel with a hole has no valid value."""
+    head = f"WITH {_HOLED if nodata else _CUBE}, done AS (SELECT \"row\", col, {_HOLE if nodata and whole else 'false'} AS hole, {spectrum} AS o FROM cube)"
+    flat = 'flat AS (SELECT "row", col, hole, CAST(generate_subscripts(o, 1) - 1 AS INTEGER) AS band, unnest(o) AS v FROM done)'
+    ok = "NOT hole AND v IS NOT NULL"
+    return f'{head}, {flat} SELECT "row", col, band, ({ok}) AS valid, CASE WHEN {ok} THEN {_r("v")} ELSE 0::DOUBLE END AS value FROM flat'
+
+
+def _sql_map(value: str, hole: str = "false", nodata: bool = False) -> str:
+    head = f'WITH {_HOLED if nodata else _CUBE}, done AS (SELECT "row", col, {hole} AS hole, {value} AS v FROM cube)'
+    return f'{head} SELECT "row", col, NOT hole AS valid, CASE WHEN hole THEN 0::DOUBLE ELSE {_r("v")} END AS value FROM done'
+
+
+def _sql_divide(top: str, bottom: str) -> str:
+    return f"CASE WHEN {bottom} = 0 THEN 0::DOUBLE ELSE ({top}) / ({bottom}) END"
+
+
+def _sql_normal(minmax: bool, nodata: bool) -> str:
+    keep = f"v <> {NODATA}" if nodata else "true"
+    shift, scale = ("min(v)", "max(v) - min(v)") if minmax else ("avg(v)", "stddev_pop(v)")
+    return f"""WITH {_HOLED if nodata else _CUBE}, {_VALUES},
+      stats AS (SELECT band, {shift} AS a, {scale} AS b FROM vals WHERE {keep} GROUP BY band)
+      SELECT "row", col, vals.band AS band, ({keep}) AS valid, CASE WHEN {keep} THEN {_r("CASE WHEN b = 0 THEN 0::DOUBLE ELSE (v - a) / b END")} ELSE 0::DOUBLE END AS value
+      FROM vals JOIN stats USING (band)"""
+
+
+def _sql_continuum(nodata: bool) -> str:
+    hole = _HOLE if nodata else "false"
+    return f"""WITH {_HOLED if nodata else _CUBE},
+      low AS (SELECT "row", col, {hole} AS hole, list_transform(s, lambda x: greatest(x, 0::DOUBLE)) AS s FROM cube),
+      spans AS (SELECT l.range AS l, r.range AS r FROM range({BANDS}) l, range({BANDS}) r WHERE l.range <= r.range),
+      places AS (SELECT i.range AS i, l, r FROM range({BANDS}) i, spans WHERE l <= i.range AND i.range <= r),
+      hull AS (SELECT "row", col, hole, CAST(i AS INTEGER) AS band, any_value(s[i + 1]) AS v,
+               max(CASE WHEN l = r THEN s[l + 1] ELSE s[l + 1] + (s[r + 1] - s[l + 1]) * (i - l) / (r - l) END) AS h
+               FROM low, places GROUP BY "row", col, hole, i)
+      SELECT "row", col, band, NOT hole AS valid, CASE WHEN hole THEN 0::DOUBLE ELSE {_r("CASE WHEN h = 0 THEN 0::DOUBLE ELSE v / h END")} END AS value FROM hull"""
+
+
+def _sql_resample(cubic: bool, nodata: bool = False) -> str:
+    targets = f"list_transform(range({len(TARGET)}), lambda j: 405::DOUBLE + 7 * j)"
+    i = f"CAST(least(floor((t - 400) / 10), {BANDS - 2}) AS BIGINT)"
+    f_ = f"((t - 400) / 10 - {i})"
+    y = lambda k: f"s[greatest(least({i} + {k}, {BANDS - 1}), 0) + 1]"
+    if not cubic:
+        value = f"(1 - {f_}) * {y(0)} + {f_} * {y(1)}"
+    else:
+        m1 = f"CASE WHEN {i} = 0 THEN {y(1)} - {y(0)} ELSE ({y(1)} - {y(-1)}) / 2 END"
+        m2 = f"CASE WHEN {i} = {BANDS - 2} THEN {y(1)} - {y(0)} ELSE ({y(2)} - {y(0)}) / 2 END"
+        value = f"(2*{f_}**3 - 3*{f_}**2 + 1) * {y(0)} + ({f_}**3 - 2*{f_}**2 + {f_}) * ({m1}) + (-2*{f_}**3 + 3*{f_}**2) * {y(1)} + ({f_}**3 - {f_}**2) * ({m2})"
+    return _sql_long(f"list_transform({targets}, lambda t: {value})", nodata)
+
+
+def _sql_matrix(body: str, nodata: bool = False) -> str:
+    clean = f"clean AS (SELECT vals.* FROM vals JOIN cube USING (\"row\", col) WHERE NOT {_HOLE})" if nodata else "clean AS (SELECT * FROM vals)"
+    return f"WITH {_HOLED if nodata else _CUBE}, {_VALUES}, {clean}, {body}"
+
+
+def oracle_sql() -> dict[str, str]:
+    pairs = 'pairs AS (SELECT a.band AS band_i, b.band AS band_j, a.v AS x, b.v AS y FROM clean a JOIN clean b USING ("row", col))'
+    stats = lambda keep: f"SELECT band, {_r('min(v)')} AS min, {_r('max(v)')} AS max, {_r('avg(v)')} AS mean, {_r('stddev_pop(v)')} AS std, count(v) AS valid_count FROM vals WHERE {keep} GROUP BY band"
+    mean = lambda keep: f"SELECT band, {_r('avg(v)')} AS value FROM vals WHERE {keep} GROUP BY band"
+    seen = f"v <> {NODATA}"
+    first = "list_transform(range(1, 64), lambda i: (s[i + 1] - s[i]) / 10)"
+    first_holed = f"list_transform(range(1, 64), lambda i: CASE WHEN s[i + 1] = {NODATA} OR s[i] = {NODATA} THEN NULL ELSE (s[i + 1] - s[i]) / 10 END)"
+    second = "list_transform(range(1, 63), lambda i: ((s[i + 2] - s[i + 1]) / 10 - (s[i + 1] - s[i]) / 10) / 10)"
+    tap = lambda k: f"s[CASE WHEN b + {k} < 0 THEN -(b + {k}) WHEN b + {k} > 63 THEN 126 - (b + {k}) ELSE b + {k} END + 1]"
+    smooth = f"list_transform(range(64), lambda b: (-3 * {tap(-2)} + 12 * {tap(-1)} + 17 * {tap(0)} + 12 * {tap(1)} - 3 * {tap(2)}) / 35)"
+    reference = "list_transform(range(64), lambda i: 0.1::DOUBLE + 0.01::DOUBLE * i)"
+    norm = "sqrt(list_dot_product(s, s))"
+    angle = f"CASE WHEN {norm} = 0 THEN pi() / 2 ELSE acos(greatest(-1::DOUBLE, least(1::DOUBLE, list_dot_product(s, {reference}) / ({norm} * sqrt(list_dot_product({reference}, {reference})))))) END"
+    nd, ratio = _sql_divide("s[4] - s[9]", "(s[4] + s[9])"), _sql_divide("s[4]", "s[9]")
+    hole_3 = f"s[4] = {NODATA}"
+    same = _sql_long("s")
+    return {
+        "sel_bands": _sql_long("[s[4], s[8], s[21]]"),
+        "sel_wavelengths": _sql_long("s[6:11]"),
+        "normalize_minmax": _sql_normal(True, False),
+        "normalize_zscore": _sql_normal(False, False),
+        "derivative_1": _sql_long(first),
+        "derivative_2": _sql_long(second),
+        "savitzky_golay": _sql_long(smooth),
+        "continuum_removal": _sql_continuum(False),
+        "resample_linear": _sql_resample(False),
+        "resample_cubic": _sql_resample(True),
+        "normalize_minmax_nodata": _sql_normal(True, True),
+        "derivative_1_nodata": _sql_long(first_holed, True, whole=False),
+        "savitzky_golay_nodata": _sql_long(smooth, True),
+        "continuum_removal_nodata": _sql_continuum(True),
+        "resample_linear_nodata": _sql_resample(False, True),
+        "band": _sql_map("s[11]"),
+        "band_at": _sql_map("s[8]"),
+        "band_nearest": _sql_map("s[11]"),
+        "ndvi": _sql_map(_sql_divide("s[47] - s[26]", "(s[47] + s[26])")),
+        "normalized_difference": _sql_map(nd),
+        "band_ratio": _sql_map(ratio),
+        "sam": _sql_map(angle),
+        "normalized_difference_nodata": _sql_map(nd, hole_3, True),
+        "band_ratio_nodata": _sql_map(ratio, hole_3, True),
+        "sam_nodata": _sql_map(angle, _HOLE, True),
+        "spectrum": f'WITH {_CUBE}, {_VALUES} SELECT band, {_r("v")} AS value FROM vals WHERE "row" = 3 AND col = 4',
+        "mean_spectrum": f"WITH {_CUBE}, {_VALUES} {mean('true')}",
+        "mean_spectrum_nodata": f"WITH {_HOLED}, {_VALUES} {mean(seen)}",
+        "band_stats": f"WITH {_CUBE}, {_VALUES} {stats('true')}",
+        "band_stats_nodata": f"WITH {_HOLED}, {_VALUES} {stats(seen)}",
+        "covariance": _sql_matrix(f"{pairs} SELECT band_i, band_j, {_r('covar_pop(x, y)')} AS value FROM pairs GROUP BY band_i, band_j"),
+        "covariance_nodata": _sql_matrix(f"{pairs} SELECT band_i, band_j, {_r('covar_pop(x, y)')} AS value FROM pairs GROUP BY band_i, band_j", True),
+        "correlation": _sql_matrix(f"{pairs} SELECT band_i, band_j, {_r('covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))')} AS value FROM pairs GROUP BY band_i, band_j"),
+        "noise_covariance": _sql_matrix(
+            'steps AS (SELECT "row", col, band, lead(v) OVER (PARTITION BY "row", band ORDER BY col) - v AS d FROM clean), '
+            'pairs AS (SELECT a.band AS band_i, b.band AS band_j, a.d AS x, b.d AS y FROM steps a JOIN steps b USING ("row", col) WHERE a.d IS NOT NULL AND b.d IS NOT NULL) '
+            f"SELECT band_i, band_j, {_r('sum(x * y) / (2 * (count(*) - 1))')} AS value FROM pairs GROUP BY band_i, band_j"
+        ),
+        "pca_total_variance": f"WITH {_CUBE}, {_VALUES}, each AS (SELECT var_samp(v) AS x FROM vals GROUP BY band) SELECT round(sum(x), 6) AS total_variance FROM each",
+        "pca_transform_energy": f"""WITH {_CUBE}, {_VALUES}, means AS (SELECT band, avg(v) AS m FROM vals GROUP BY band)
+          SELECT "row", col, {_r("sum((v - m) * (v - m))")} AS energy FROM vals JOIN means USING (band) GROUP BY "row", col""",
+        "pca_roundtrip": same,
+        "mnf_denoise_full": same,
+        "envi_roundtrip": same,
+        "envi_integers": _sql_long("list_transform(s, lambda x: round(x * 100))"),
+        "zarr_roundtrip": same,
+        "zarr_window": f"""WITH {_CUBE}, {_VALUES} SELECT CAST("row" - 2 AS INTEGER) AS "row", CAST(col - 3 AS INTEGER) AS col, CAST(band - 5 AS INTEGER) AS band, true AS valid, {_r("v")} AS value
+          FROM vals WHERE "row" BETWEEN 2 AND 9 AND col BETWEEN 3 AND 17 AND band BETWEEN 5 AND 20""",
+        "zarr_scaled": _sql_long(f"list_transform(s, lambda x: CASE WHEN x = {NODATA} THEN x ELSE x * 0.5 + 1 END)", True, whole=False),
+    }
