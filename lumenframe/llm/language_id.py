@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +27,11 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 #: Labelled rows that training reads at most, about (rows are chosen by a hash of their text). Prediction covers every row.
 MOST_LABELLED = 60_000
-#: Training rows per language on which the bits' certainty is measured.
-CALIBRATION_ROWS = 400
+#: Training rows on which the bits' scale and certainty are measured, about.
+CALIBRATION_ROWS = 4_000
 #: Length of the codewords of over seven languages.
 LONG_CODE = 31
+_STEP = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -60,18 +62,19 @@ def gram_buckets(buf: np.ndarray, size: int) -> np.ndarray:
 
 def prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes of all texts with every ASCII character that is no letter as a space, and their bounds."""
-    import pyarrow.compute as pc
-
     buf, bounds = text_buffer(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     letters = (buf >= 0x80) | (buf >= 0x61) & (buf <= 0x7A)
     return np.where(letters, buf, np.uint8(0x20)), bounds
 
 
-def _useful(buf: np.ndarray, size: int) -> np.ndarray:
-    """Grams with a letter; a run of spaces counts once."""
+def _useful(buf: np.ndarray, size: int, ends: np.ndarray) -> np.ndarray:
+    """Grams with a letter that lie within one text (ends: where the texts end); a run of spaces counts once."""
     n = max(0, len(buf) - size + 1)
     space = buf == 0x20
-    return ~(space[:n] & space[1 : n + 1])
+    use = ~(space[:n] & space[1 : n + 1])
+    over = (ends[:, None] - np.arange(1, size)).ravel()
+    use[over[(over >= 0) & (over < n)]] = False
+    return use
 
 
 @dataclass(frozen=True)
@@ -87,19 +90,20 @@ class Model:
         buf, bounds = prepared(texts)
         n, bits = len(texts), self.weights.shape[1]
         total, count = np.zeros((n, bits)), np.zeros(n)
-        step = 1 << 18
-        for low in range(0, len(buf), step):
-            part = buf[low : low + step + max(GRAMS) - 1]
-            first, last = np.searchsorted(bounds, low, "right") - 1, np.searchsorted(bounds, min(low + step, len(buf)), "left")
-            cuts = np.clip(bounds[first : last + 1] - low, 0, step)
+        table = np.concatenate([self.weights, np.zeros((1, bits), np.float32)])  # the last row is for grams that do not count
+        for low in range(0, len(buf), _STEP):
+            part = buf[low : low + _STEP + max(GRAMS) - 1]
+            first, last = np.searchsorted(bounds, low, "right") - 1, np.searchsorted(bounds, min(low + _STEP, len(buf)), "left")
             for size in GRAMS:
-                rows = self.weights[gram_buckets(part, size)[:step]]
-                use = _useful(part, size)[: len(rows)]
-                sums = np.zeros((len(rows) + 1, bits), np.float64)
-                np.cumsum(np.where(use[:, None], rows, 0), axis=0, out=sums[1:])
-                ends = np.minimum(cuts, len(rows))
-                total[first:last] += np.diff(sums[ends], axis=0)
-                count[first:last] += np.diff(np.concatenate([[0], np.cumsum(use)])[ends])
+                bucket = gram_buckets(part, size)[:_STEP]
+                use = _useful(part, size, bounds[first + 1 : last + 1] - low)[:_STEP]
+                bucket[~use] = BUCKETS
+                begin = np.clip(bounds[first:last] - low, 0, len(bucket))
+                end = np.clip(bounds[first + 1 : last + 1] - low, 0, len(bucket))
+                some = np.flatnonzero(end > begin)
+                if len(some):
+                    total[first + some] += np.add.reduceat(table[bucket[: end[some[-1]]]], begin[some], axis=0)
+                    count[first + some] += np.add.reduceat(use[: end[some[-1]]].astype(np.int64), begin[some])
         return total / np.maximum(count, 1)[:, None]
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
@@ -116,9 +120,9 @@ def _count_batches():
             for lang in set(labels):
                 chosen = batch.column("__text").filter(pa.array(labels == lang))
                 for part in slices(pa.RecordBatch.from_arrays([chosen], names=["t"]), "t"):
-                    buf, _ = prepared(part.column("t"))
+                    buf, bounds = prepared(part.column("t"))
                     for size in GRAMS:
-                        x = gram_buckets(buf, size)[_useful(buf, size)]
+                        x = gram_buckets(buf, size)[_useful(buf, size, bounds[1:])]
                         totals[lang] = totals.get(lang, 0) + np.bincount(x, minlength=BUCKETS)
         for lang, n in totals.items():
             at = np.flatnonzero(n)
@@ -128,7 +132,7 @@ def _count_batches():
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
-    """Learn from rows with a label and a text. The driver gets one count per gram bucket and language, and a few short texts."""
+    """Learn from rows with a label and a text. The driver gets one count per gram bucket and language, and two sums per bit."""
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("__text")).where("lang is not null and __text is not null")
     n = rows.count()
     if n > most:
@@ -151,18 +155,33 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", mos
     plain = Model(languages, code, weights, np.ones(bits), np.ones(bits))
     if len(languages) < 2:
         return plain
-    ranked = rows.select("lang", F.substring("__text", 1, 2000).alias("__text"), F.xxhash64("__text").alias("h"))
-    shown = ranked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.when(F.pmod("h", F.lit(max(1, min(n, most) // (CALIBRATION_ROWS * len(languages))))) == 0, F.struct("h", "__text")))), 1, CALIBRATION_ROWS).alias("some")).collect()
-    margins, truth = [], []
-    for r in shown:
-        margins.append(plain.margins(pa.array([x["__text"] for x in r["some"]], pa.string())))
-        truth += [languages.index(r["lang"])] * len(margins[-1])
-    m, signs = np.concatenate(margins), code[truth]
-    right = m * signs
-    scale = np.maximum(np.abs(m).mean(0), 1e-6) / 4
-    accuracy = np.clip((right > 0).mean(0), 0.5, 0.999) if len(m) else np.full(bits, 0.9)
-    trust = np.log(accuracy / (1 - accuracy)) + 1e-3
-    return Model(languages, code, weights, scale, trust / trust.sum())
+    every = max(1, min(n, most) // CALIBRATION_ROWS)
+    some = rows.where(F.pmod(F.xxhash64(F.lit("calibration"), F.col("__text")), F.lit(every)) == 0)
+    sums = some.mapInArrow(_calibrate_batches(plain), "bit int, size double, hits double, n long").groupBy("bit").agg(*[F.sum(c).alias(c) for c in ("size", "hits", "n")]).collect()
+    size, hits = np.ones(bits), np.full(bits, 0.9)
+    for r in sums:
+        size[r.bit], hits[r.bit] = r["size"] / max(r.n, 1), r.hits / max(r.n, 1)
+    hits = np.clip(hits, 0.5, 0.999)
+    trust = np.log(hits / (1 - hits)) + 1e-3
+    return Model(languages, code, weights, np.maximum(size, 1e-6) / 4, trust / trust.sum())
+
+
+def _calibrate_batches(model: Model):
+    """Per bit the sums of the margins' sizes and of right signs, and the number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = model.code.shape[1]
+        size, hits, n = np.zeros(bits), np.zeros(bits), 0
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                m = model.margins(part.column("__text"))
+                sign = model.code[[model.languages.index(x) for x in part.column("lang").to_pylist()]]
+                size += np.abs(m).sum(0)
+                hits += (m * sign > 0).sum(0)
+                n += len(m)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits, dtype=np.int32)), pa.array(size), pa.array(hits), pa.array([n] * bits)], names=["bit", "size", "hits", "n"])
+
+    return run
 
 
 def _predict_batches(model: Model, names: list[str], sure: float):

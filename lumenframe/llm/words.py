@@ -27,7 +27,7 @@ _LOWER[0x41:0x5B] += 0x20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BLOCK = 4 << 20
+_BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=2)
