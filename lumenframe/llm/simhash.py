@@ -7,6 +7,7 @@ join on such a variant, and each meeting is verified by counting differing bits.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.components import connected_components
-from lumenframe.llm.frames import Scratch, extend
-from lumenframe.llm.words import SPACED, slices, split_words
+from lumenframe.llm.frames import Scratch, extend, shuffle_partitions
+from lumenframe.llm.words import SPACED, slices, split_words, trim
 
 BITS = 64
 #: A bucket of more fingerprints than this is not compared pair by pair; see _crowded.
@@ -47,6 +48,7 @@ def fingerprint_batches(shingle: int, seed: int, names: list[str]):
                         ones += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
                     out[d] = np.packbits(ones * 2 > n).view(">u8")[0]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out.view(np.int64))], names=[*names, "fp"])
+        trim()
 
     return run
 
@@ -75,21 +77,59 @@ def _bits(low: int, width: int) -> int:
 
 
 def _variants(fps: DataFrame, distance: int) -> DataFrame:
-    """fp, slot (which bit of which segment is blanked) and sig, the segment without that bit."""
-    slots = []
-    for low, width in _segments(distance):
-        for bit in range(width):
-            slots.append(_bits(low, width) & ~_bits(low + bit, 1))
+    """fp and key, a row for each bit of each segment: the key is a hash of the segment with that bit blanked, and of the bit's place."""
+    slots = [_bits(low, width) & ~_bits(low + bit, 1) for low, width in _segments(distance) for bit in range(width)]
     masks = F.array(*[F.lit(m).cast("long") for m in slots])
-    return fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("sig"))
+    return fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select(F.xxhash64("slot", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+
+
+def _meet_batches(distance: int, most: int):
+    """Takes variants in the order of key and fp. Verified pairs (a, b) of buckets of up to `most`; (fp, null) of larger ones' members."""
+
+    def pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        crowd = size > most
+        if crowd.any():
+            yield np.unique(fp[crowd]), None
+        key, fp = key[(size > 1) & ~crowd], fp[(size > 1) & ~crowd]
+        for step in range(1, most):
+            same = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else []
+            if not len(same):
+                break
+            a, b = fp[same], fp[same + step]
+            near = np.bitwise_count((a ^ b).view(np.uint64)) <= distance
+            if near.any():
+                yield a[near], b[near]
+
+    def sized(key: np.ndarray) -> np.ndarray:
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        return np.repeat(np.diff(cuts), np.diff(cuts))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held_fp, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                key, fp = np.concatenate([held_key, batch.column("key").to_numpy()]), np.concatenate([held_fp, batch.column("fp").to_numpy()])
+                if not len(key):
+                    continue
+                # The last bucket may go on in the next batch. Of one that is too large already, what is here is given at once.
+                ready = int(np.searchsorted(key, key[-1]))
+            else:
+                key, fp, ready = held_key, held_fp, len(held_key)
+            size = sized(key) if len(key) else np.zeros(0, np.int64)
+            if gone is not None and len(key):
+                size = np.where(key == gone, most + 1, size)
+            if batch is not None and len(key) - ready > most or ready < len(key) and gone == key[-1]:
+                gone, ready = key[-1], len(key)
+                size = np.where(key == gone, most + 1, size)
+            held_key, held_fp = key[ready:], fp[ready:]
+            for a, b in pairs(key[:ready], fp[:ready], size[:ready]):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
 
-def _near(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    return run
 
 
 def _crowded(crowd: DataFrame, distance: int) -> DataFrame:
-    """Links within crowded buckets, linear in their members: rows fp, with the rows of a bucket told by (slot, sig).
+    """Links between the members (rows fp) of crowded buckets, linear in their number.
 
     Two fingerprints differ in at most two bits exactly if changing at most one bit of each gives the same number, and in at most
     one exactly if blanking some one bit does. So each member goes under itself and its 64 changes (or its 64 blanked forms); all
@@ -109,27 +149,16 @@ def _crowded(crowd: DataFrame, distance: int) -> DataFrame:
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Verified links a < b between distinct fingerprints, enough of them to reach all that are reachable.
 
-    Most buckets have one or two members: those need no join, only the least and the greatest. Buckets of up to MOST_PAIRED are
-    joined with themselves; larger ones, which only masses of near copies fill, take a way that is linear and as exact.
+    Variants are shuffled once, sorted by key, and met in a stream of buckets. Buckets of up to MOST_PAIRED are compared pair by
+    pair; the members of larger ones, which only masses of near copies fill, go a way that is linear and as exact.
     """
     if distance not in (1, 2):
         raise ValueError("links() is exact for a distance of 1 or 2")
-    variants = _variants(fps, distance)
-    buckets = variants.groupBy("slot", "sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     scratch = Scratch(fps.sparkSession, "simhash")
-    buckets = scratch.save(buckets, "buckets")
-    two = buckets.where("n = 2").select("a", "b").where(_near("a", "b", distance))
-    few = variants.join(buckets.where(f"n > 2 and n <= {MOST_PAIRED}").select("slot", "sig"), ["slot", "sig"])
-    paired = (
-        few.select("slot", "sig", F.col("fp").alias("a"))
-        .join(few.select("slot", "sig", F.col("fp").alias("b")), ["slot", "sig"])
-        .where(F.col("a") < F.col("b"))
-        .where(_near("a", "b", distance))
-        .select("a", "b")
-    )
-    many = variants.join(buckets.where(f"n > {MOST_PAIRED}").select("slot", "sig"), ["slot", "sig"])
-    crowded = _crowded(many, distance)
-    return two.union(paired).union(crowded).distinct()
+    dealt = _variants(fps, distance).repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
+    met = scratch.save(dealt.mapInArrow(_meet_batches(distance, MOST_PAIRED), "a long, b long").distinct(), "met")
+    crowded = _crowded(met.where("b IS NULL").select(F.col("a").alias("fp")), distance)
+    return met.where("b IS NOT NULL").union(crowded).distinct()
 
 
 def groups(fps: DataFrame, id_col: str = "id", distance: int = 2) -> DataFrame:
