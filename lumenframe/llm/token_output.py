@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.llm.frames import extend, shuffle_partitions
-from lumenframe.llm.words import SPACED, Words, lower_ascii, same_bytes, slices, split_words
+from lumenframe.llm.words import SPACED, Words, lower_ascii, same_bytes, slices, split_words, trim
 
 #: Layout of the files. A row group is what one task reads, a page what one lookup reads.
 ROW_GROUP_BYTES = 32 << 20
@@ -161,6 +161,7 @@ def _encode_batches(path: str, end_id: int | None, names: list[str]):
                     bounds = bounds + np.arange(len(bounds))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(np.diff(bounds)), lists], names=[*names, "n_tokens", "tokens"])
+        trim()
 
     return encode
 
@@ -207,9 +208,9 @@ def _positions(store: DataFrame) -> DataFrame:
     return store.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
-def _with_starts(rows: DataFrame) -> DataFrame:
+def _with_starts(rows: DataFrame, store: DataFrame) -> DataFrame:
     """start: the number of ids in all documents before. One row per file is summed in one place; the rest file by file."""
-    files = rows.groupBy("__file").agg(F.sum("n_tokens").alias("__sum"))
+    files = _positions(store.select("n_tokens")).groupBy("__file").agg(F.sum("n_tokens").alias("__sum"))
     before = files.select("__file", (F.sum("__sum").over(W.orderBy("__file")) - F.col("__sum")).alias("__before"))
     inside = F.sum("n_tokens").over(W.partitionBy("__file").orderBy("__row")) - F.col("n_tokens")
     return rows.withColumn("__inside", inside).join(before, "__file").withColumn("start", F.col("__before") + F.col("__inside"))
@@ -219,7 +220,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the kept columns of each document, without reading any ids."""
     store = spark.read.parquet(path)
     rows = _positions(store.drop("tokens"))
-    return _with_starts(rows).drop("__file", "__row", "__inside", "__before")
+    return _with_starts(rows, store).drop("__file", "__row", "__inside", "__before")
 
 
 def read_tokens(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
@@ -242,6 +243,7 @@ def _crc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """Per stored document: doc_id, start, n_tokens and the CRC-32 of its ids as little-endian 32-bit numbers, from the files' ids."""
-    rows = _positions(spark.read.parquet(path)).select("doc_id", "n_tokens", "tokens", "__file", "__row")
+    store = spark.read.parquet(path)
+    rows = _positions(store).select("doc_id", "n_tokens", "tokens", "__file", "__row")
     checked = rows.mapInArrow(_crc_batches, "doc_id long, n_tokens long, __file string, __row long, ids_crc32 long, n_stored long")
-    return _with_starts(checked.withColumn("n_tokens", F.col("n_stored"))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _with_starts(checked.withColumn("n_tokens", F.col("n_stored")), store).select("doc_id", "start", "n_tokens", "ids_crc32")
