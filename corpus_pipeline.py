@@ -28,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     fps = Scratch(spark, "pipeline").save(simhash.fingerprints(docs, [F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row")]), "fingerprints")
     groups = simhash.groups(fps, "id")
     # Only rows that carry their component's id can stay: one narrow row for each component, however large.
-    first = fps.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("row", "fp")).alias("r"))
-    stays = first.select(F.col("component_id").alias("__id"), F.col("r.row").alias("__row"))
+    first = fps.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("row", "id")).alias("r"))
+    stays = first.select(F.col("r.id").alias("__id"), F.col("r.row").alias("__row"))
     rows = docs.select(*keep, F.xxhash64(*COLUMNS).alias("__own"))
     found = rows.join(stays, rows.doc_id.eqNullSafe(stays["__id"]) & (rows["__own"] == stays["__row"]))
     once = found.withColumn("__n", F.row_number().over(W.partitionBy("__id", "__row").orderBy("doc_id"))).where("__n = 1")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.frames import extend
-from lumenframe.llm.words import ALNUM, Words, slices, split_words
+from lumenframe.llm.words import ALNUM, Words, slices, split_words, trim
 
 #: Benchmark text that one pass sends to every task; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 16 << 20
@@ -223,6 +223,7 @@ def _hit_batches(block: list[tuple[str, str]], window: int, names: list[str]):
                     [*(part.column(n) for n in names), pa.array(words.counts, pa.int64()), pa.array(spots, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))],
                     names=[*names, "__n_words", "__spots", "__items"],
                 )
+        trim()
 
     return run
 

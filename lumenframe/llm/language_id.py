@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.frames import extend
-from lumenframe.llm.words import mix, slices, text_buffer
+from lumenframe.llm.words import mix, slices, text_buffer, trim
 
 #: Hashed grams, and the lengths of grams in bytes.
 BUCKETS = 1 << 15
@@ -207,6 +207,7 @@ def _predict_batches(model: Model, names: list[str], sure: float):
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"]
                 )
+        trim()
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.frames import Scratch, extend, row_key
-from lumenframe.llm.words import slices
+from lumenframe.llm.words import slices, trim
 
 #: Entities that had to draw again: up to so many go to every task; beyond, they are joined to the documents that need them.
 MOST_SENT = 50_000
@@ -51,6 +51,10 @@ _PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{8,15}(?!\w)")),
 ]
+#: What a text must hold for each pattern to be worth a search: one of these, and two digits next to each other for most.
+_MARKS = [("@",), ("=", ":"), ("AKIA",), ("",), (".",), ("",), ("-",), ("",)]
+_WITHOUT_DIGITS = ("email", "secret", "ip")
+_TWO_DIGITS = re.compile(r"\d\d")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))}) ({_NAME}(?: {_NAME}){{0,2}})")
 _DIGIT = re.compile(r"[\d@=:]")
 
@@ -85,6 +89,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, int, str, str]] = []
     if _DIGIT.search(text):
         for rank, (kind, pattern) in enumerate(_PATTERNS):
+            if not any(mark in text for mark in _MARKS[rank]) or kind not in _WITHOUT_DIGITS and not _TWO_DIGITS.search(text):
+                continue
             for m in pattern.finditer(text):
                 g = 1 if m.re.groups else 0
                 value = m[g]
@@ -271,6 +277,7 @@ def _replace_batches(key: bytes, sent: dict[tuple[str, str], int], names: list[s
                 own = part.column("__again").to_pylist() if "__again" in part.schema.names else [None] * part.num_rows
                 done = [replace(t.as_py(), key, {(a["kind"], a["canonical"]): a["attempt"] for a in o} if o else sent) for t, o in zip(part.column("__text"), own, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.string()))], names=[*names, "__out", "__kinds"])
+        trim()
 
     return run
 

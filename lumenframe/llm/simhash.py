@@ -162,14 +162,14 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def groups(fps: DataFrame, id_col: str = "id", distance: int = 2) -> DataFrame:
-    """For rows (id_col, fp): fp and component_id, the least id among the rows that are reachable from it, per distinct fp."""
+    """For rows (id_col, fp): fp, label (its component) and component_id, the least id in the component, per distinct fp."""
     scratch = Scratch(fps.sparkSession, "simhash")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     joined = scratch.save(links(distinct.select("fp"), distance), "links")
     labels = connected_components(joined, "a", "b")
     of = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     roots = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    return scratch.save(of.join(roots, "label").select("fp", "component_id"), "groups")
+    return scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:

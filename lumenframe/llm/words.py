@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -128,6 +130,13 @@ def split_words(texts: pa.Array, in_word: np.ndarray, lower: bool = False) -> Wo
     return Words(kept, start, end, docs)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker stays when its task is done, and several share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about max_bytes; a longer text is a run of its own, and whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
