@@ -26,7 +26,7 @@ from lumenframe.operators import (
     savitzky_golay,
 )
 from lumenframe.raster import Raster
-from lumenframe.sources import read_envi, read_zarr, read_zarr_window, read_zarr_with_options, write_envi, write_zarr, zarr_cube_shape
+from lumenframe.sources import read_envi, read_parquet, read_zarr, read_zarr_window, read_zarr_with_options, write_envi, write_parquet, write_zarr, zarr_cube_shape
 
 __version__ = "0.1.0"
 
@@ -59,6 +59,7 @@ __all__ = [
     "pca_inverse",
     "pca_transform",
     "read_envi",
+    "read_parquet",
     "read_zarr",
     "read_zarr_window",
     "read_zarr_with_options",
@@ -66,6 +67,7 @@ __all__ = [
     "sam",
     "savitzky_golay",
     "write_envi",
+    "write_parquet",
     "write_zarr",
     "zarr_cube_shape",
 ]

@@ -22,7 +22,7 @@ from lumenframe.cube import SpectralCube
 from lumenframe.operators.statistics import matrix_frame
 from lumenframe.plans.gram import difference_gram
 from lumenframe.raster import Raster
-from lumenframe.sources import read_envi, read_zarr, read_zarr_window, write_envi, write_zarr
+from lumenframe.sources import read_envi, read_parquet, read_zarr, read_zarr_window, write_envi, write_parquet, write_zarr
 
 WIDTH, BANDS, NODATA = 25, 64, -9999.0
 WAVELENGTHS = [400.0 + 10 * i for i in range(BANDS)]
@@ -108,6 +108,14 @@ def _zarr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, make)
 
 
+def _parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(folder: Path) -> SpectralCube:
+        write_parquet(scene(spark, sf_dir), folder / "cube.parquet")
+        return read_parquet(folder / "cube.parquet", spark)
+
+    return _kept(spark, make)
+
+
 def _zarr_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(folder: Path) -> SpectralCube:
         write_zarr(scene(spark, sf_dir), folder / "s.zarr", compression="none", chunk_shape=(16, 7, 10))
@@ -217,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mnf_denoise_full": partial(_with, lambda c: op.mnf_denoise(c, BANDS), _long, False),
         "envi_roundtrip": _envi_roundtrip,
         "envi_integers": _envi_integers,
+        "parquet_roundtrip": _parquet_roundtrip,
         "zarr_roundtrip": _zarr_roundtrip,
         "zarr_window": _zarr_window,
         "zarr_scaled": _zarr_scaled,
@@ -357,6 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "mnf_denoise_full": same,
         "envi_roundtrip": same,
         "envi_integers": _sql_long("list_transform(s, lambda x: round(x * 100))"),
+        "parquet_roundtrip": same,
         "zarr_roundtrip": same,
         "zarr_window": f"""WITH {_CUBE}, {_VALUES} SELECT CAST("row" - 2 AS INTEGER) AS "row", CAST(col - 3 AS INTEGER) AS col, CAST(band - 5 AS INTEGER) AS band, true AS valid, {_r("v")} AS value
           FROM vals WHERE "row" BETWEEN 2 AND 9 AND col BETWEEN 3 AND 17 AND band BETWEEN 5 AND 20""",

@@ -211,3 +211,19 @@ def test_zarr_refuses(tmp_path):
     put_array(tmp_path / "c" / "radiance", np.zeros((2, 3, 4)))
     with pytest.raises(ValueError, match="no array of wavelengths"):
         lf.read_zarr(tmp_path / "c")
+
+
+def test_parquet_round_trip(tmp_path, spark):
+    for more in ({}, {"fwhm": [10.0, 11.0, 12.0], "nodata": -9999.0}):
+        cube = some_cube(**more)
+        lf.write_parquet(cube, tmp_path / "p", mode="overwrite")
+        back = lf.read_parquet(tmp_path / "p")
+        np.testing.assert_array_equal(back.data(), cube.data())
+        np.testing.assert_array_equal(back.wavelengths(), cube.wavelengths())
+        assert back.nodata == cube.nodata and back.shape == cube.shape
+        assert (back.fwhm() is None) == (cube.fwhm() is None)
+    plan = back.frame.where("row = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(row,2)" in plan
+    cube.frame.write.parquet(str(tmp_path / "q"))
+    with pytest.raises(ValueError, match="no cube metadata"):
+        lf.read_parquet(tmp_path / "q")
