@@ -5,12 +5,15 @@ text with one minimiser travel together: their words are packed as one string (a
 Equal windows have equal minimisers, so all their occurrences meet in one bucket, where sorting tells which of them is the first.
 
 Before that, each task keeps one of its equal super-k-mers, the earliest, and marks the windows of the others itself: a group of
-copies sends a bucket at most one string per task, however large the group is. Strings for one partition travel in compressed packs.
+copies sends a bucket at most one string per task, however large the group is. And a first pass over the minimisers alone, eight
+bytes for a super-k-mer, finds those that occur once: no window there can repeat, and its string stays at home. What is known of the
+others fits a bitmap of bounded size; where it is too small for the corpus, strings travel in vain, and the result is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.frames import extend, row_key, shuffle_partitions
-from lumenframe.llm.words import SPACED, Words, mix, same_bytes, slices, split_words, windows
+from lumenframe.llm.words import SPACED, Words, mix, same_bytes, slices, split_words, trim, windows
 
 #: Words of the runs that minimisers are chosen from.
 RUN = 6
+#: Bytes of the bitmap of repeated minimisers: it is sent to every task.
+FILTER_BYTES = 16 << 20
 #: Text over which a task looks for equal super-k-mers before it sends them.
 SCOPE_BYTES = 8 << 20
+#: Text that is looked at in one go.
+PIECE_BYTES = 1 << 20
 #: Packed text that a bucket task takes at a time; a minimiser's strings stay together.
 CHUNK_BYTES = 1 << 20
 
-_KMER = "mini long, words binary, id long, hash long, at int, run int"
+_KMER = "part int, mini long, words binary, id long, hash long, at int, run int"
 
 
-def minimisers(words: Words, window: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the word it starts with and its minimiser."""
-    run = min(run, window)
+def minimisers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the word it starts with and its minimiser; the hashes of the runs that start at each word."""
+    run = min(RUN, window)
     at = windows(words, run)
     runs = np.full(len(words.start), np.uint64(2**64 - 1))
     if len(at):
@@ -46,7 +53,7 @@ def minimisers(words: Words, window: int, run: int = RUN) -> tuple[np.ndarray, n
         gap = span - wide
         least = np.minimum(least[: len(least) - gap], least[gap:]) if len(least) > gap else least[:0]
     at = windows(words, window)
-    return at, least[at]
+    return at, least[at], runs
 
 
 def _runs(at: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,18 +64,101 @@ def _runs(at: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(at)) - 1
 
 
+@dataclass(frozen=True)
+class Repeated:
+    """A bitmap of the minimisers that occur more than once, a slice of it for each part; it may hold others as well."""
+
+    bits: np.ndarray  # parts x bytes
+
+    def holds(self, mini: np.ndarray) -> np.ndarray:
+        part, place = _place(mini, *self.bits.shape)
+        return (self.bits[part, place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _place(mini: np.ndarray, parts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each minimiser, and its bit in that part's slice of `size` bytes."""
+    spread = mix(mini.view(np.uint64))
+    return (spread % np.uint64(parts)).astype(np.int64), (mix(spread) % np.uint64(8 * size)).astype(np.int64)
+
+
+def _occurrences(words: Words, window: int) -> list[np.ndarray]:
+    """The minimiser of each super-k-mer, and once more of those whose minimal run stands in them twice: they may repeat a window
+    of their own."""
+    at, mini, runs = minimisers(words, window)
+    if not len(at):
+        return []
+    first, last = _runs(at, mini)
+    size = last - first + 1 + window - min(RUN, window)
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) + np.repeat(at[first] - ends + size, size)
+    twice = np.add.reduceat((runs[place] == np.repeat(mini[first], size)).astype(np.int64), ends - size) > 1
+    return [mini[first], mini[first[twice]]]
+
+
+def _mini_batches(window: int, parts: int):
+    """To rows (part, minis): the minimisers of all super-k-mers, once or twice each for a piece of text that holds them more often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for piece in slices(batch, "__text", PIECE_BYTES):
+                found += _occurrences(split_words(piece.column("__text"), SPACED), window)
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            values = np.concatenate([values, values[counts > 1]])
+            if not len(values):
+                continue
+            part, _ = _place(values, parts, 1)
+            order = np.argsort(part, kind="stable")
+            values, part = values[order], part[order]
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            packs = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary())], names=["part", "minis"])
+        trim()
+
+    return run
+
+
+def _bitmap_batches(parts: int, size: int):
+    """Of all minimisers of a part: the slice of the bitmap with those that come twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, minis in zip(batch.column("part").to_pylist(), batch.column("minis").to_pylist(), strict=True):
+                held.setdefault(part, []).append(minis)
+        for part, packs in held.items():
+            values = np.sort(np.frombuffer(b"".join(packs), np.uint64))
+            _, place = _place(values[1:][values[1:] == values[:-1]], parts, size)
+            bits = np.zeros(8 * size, bool)
+            bits[place] = True
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def repeated_minimisers(rows: DataFrame, window: int, parts: int) -> Repeated:
+    size = max(64, FILTER_BYTES // parts)
+    dealt = rows.select("__text").mapInArrow(_mini_batches(window, parts), "part int, minis binary").repartitionById(parts, "part")
+    bits = np.zeros((parts, size), np.uint8)
+    for r in dealt.mapInArrow(_bitmap_batches(parts, size), "part int, bits binary").toLocalIterator():
+        bits[r.part] = np.frombuffer(r.bits, np.uint8)
+    return Repeated(bits)
+
+
 class _Scope:
     """Super-k-mers of some text: the earliest of equal ones, and the marked runs of windows of the others."""
 
-    def __init__(self, window: int):
-        self.window, self.kept, self.marked, self.bytes = window, {}, {}, 0
+    def __init__(self, window: int, repeated: Repeated):
+        self.window, self.repeated, self.kept, self.marked, self.bytes = window, repeated, {}, {}, 0
 
     def add(self, ids: list, hashes: list, words: Words) -> None:
-        at, mini = minimisers(words, self.window)
+        at, mini, _ = minimisers(words, self.window)
         self.bytes += len(words.buf)
         if not len(at):
             return
         first, last = _runs(at, mini)
+        again = self.repeated.holds(mini[first])
+        first, last = first[again], last[again]
         buf = words.buf.tobytes()
         doc = words.doc_of()[at[first]].tolist()
         begin = words.start[at[first]].tolist()
@@ -98,54 +188,34 @@ class _Scope:
             runs.append([kmer[1], kmer[3]])
 
 
-def _part(mini: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(mini.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-
-
-def _pack_batches(window: int, parts: int):
-    """To rows (part, pack): compressed Arrow tables of super-k-mers, and of marked runs (words null)."""
-    schema = pa.schema([("mini", pa.int64()), ("words", pa.binary()), ("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("run", pa.int32())])
+def _kmer_batches(window: int, parts: int, repeated: Repeated):
+    """To super-k-mers, each with its part; the marked runs of windows among them have no words."""
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def flush(scope: _Scope) -> Iterator[pa.RecordBatch]:
         rows = [(v[4], k.rstrip(b" "), v[0], v[2], v[1], v[3]) for k, v in scope.kept.items()]
         # A marked run goes wherever its document's hash leads: it only passes through.
         rows += [(int(h), None, i, h, p, n) for (i, h), runs in scope.marked.items() for p, n in runs]
-        scope.kept, scope.marked = {}, {}
-        if not rows:
-            return
-        part = _part(np.array([r[0] for r in rows], np.int64), parts)
-        rank = np.lexsort((np.array([r[0] for r in rows], np.int64), part))
-        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema).take(pa.array(rank))
-        del rows
-        part = part[rank]
-        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        packs = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table.slice(a, b - a))
-            packs.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary())], names=["part", "pack"])
+        if rows:
+            part, _ = _place(np.array([r[0] for r in rows], np.int64), parts, 1)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *columns], names=["part", "mini", "words", "id", "hash", "at", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope = _Scope(window)
+        scope = _Scope(window, repeated)
         for batch in batches:
-            for piece in slices(batch, "__text"):
+            for piece in slices(batch, "__text", PIECE_BYTES):
                 scope.add(piece.column("__id").to_pylist(), piece.column("__hash").to_pylist(), split_words(piece.column("__text"), SPACED))
                 if scope.bytes >= SCOPE_BYTES:
                     yield from flush(scope)
-                    scope = _Scope(window)
+                    scope = _Scope(window, repeated)
         yield from flush(scope)
+        del scope
+        trim()
 
     return run
 
 
-def _unpack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for pack in batch.column("pack"):
-            yield from pa.ipc.open_stream(pack.as_buffer())
-
-
 def _later_windows(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
     """Of super-k-mers (words, id, at, hash) the runs of windows that also start earlier: (id, hash, at, windows)."""
     joined = b" ".join(r[0] for r in rows) + b" "
@@ -191,7 +261,7 @@ def _bucket_batches(window: int):
         rows: list[tuple] = []
         size, last, lead = 0, None, None
         for batch in batches:
-            for mini, words, i, h, at, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for mini, words, i, h, at, run in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if words is None:
                     out.append((i, h, at, run))
                     continue
@@ -214,6 +284,7 @@ def _bucket_batches(window: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "hash", "at", "run"])
                 out.clear()
+        trim()
 
     return run
 
@@ -223,15 +294,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__text"))
-    packed = rows.mapInArrow(_pack_batches(window, parts), "part int, pack binary").repartitionById(parts, "part")
-    kmers = packed.mapInArrow(_unpack_batches, _KMER).sortWithinPartitions("mini", "words", "id", "at")
-    return kmers.mapInArrow(_bucket_batches(window), "__id long, __hash long, at int, run int")
+    kmers = rows.mapInArrow(_kmer_batches(window, parts, repeated_minimisers(rows, window, parts)), _KMER).repartitionById(parts, "part")
+    return kmers.sortWithinPartitions("mini", "words", "id", "at").mapInArrow(_bucket_batches(window), "__id long, __hash long, at int, run int")
 
 
 def _kept_batches(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", PIECE_BYTES):
                 words = split_words(part.column("__text"), SPACED)
                 buf = words.buf.tobytes()
                 runs = part.column("__runs").to_pylist()
@@ -253,6 +323,7 @@ def _kept_batches(window: int, names: list[str]):
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(words.counts, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept"]
                 )
+        trim()
 
     return run
 
