@@ -132,5 +132,46 @@ WHERE r <= 10
 """
 
 
+OP5_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id, -9223372036854775808) AS k,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (SELECT n, k, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM split, unnest(range(1, len(w) - 18)) AS t(i)),
+least_doc AS (SELECT g, min(k) AS k FROM windows GROUP BY g),
+least_at AS (SELECT g, k, min(i) AS i FROM windows JOIN least_doc USING (g, k) GROUP BY g, k),
+later AS (
+  SELECT x.n, x.i FROM windows x JOIN least_at f ON x.g = f.g
+  WHERE x.k > f.k OR (x.k = f.k AND x.i > f.i)),
+gone AS (SELECT DISTINCT n, unnest(range(i, i + 20)) AS p FROM later),
+words AS (SELECT n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM split),
+kept AS (
+  SELECT words.n, string_agg(x, ' ' ORDER BY words.p) AS s FROM words LEFT JOIN gone ON words.n = gone.n AND words.p = gone.p
+  WHERE gone.n IS NULL GROUP BY words.n),
+removed AS (SELECT n, count(*) AS c FROM gone GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (n) LEFT JOIN removed USING (n)
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_UPPER, _LOWER)
+
+OP9_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+grams AS (
+  SELECT DISTINCT item, least(10, len(w)) AS size, list_slice(w, i, i + least(10, len(w)) - 1) AS g
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+windows AS (
+  SELECT n, i, size, list_slice(w, i, i + size - 1) AS g
+  FROM docs, (SELECT DISTINCT size FROM grams) AS s, unnest(range(1, len(w) - size + 2)) AS t(i)),
+hits AS (SELECT DISTINCT n, i, windows.size AS size, item FROM windows JOIN grams ON windows.size = grams.size AND windows.g = grams.g),
+covered AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS p FROM hits) AS x GROUP BY n),
+owners AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT n, item FROM hits) AS x GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (n) LEFT JOIN owners USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op10_vector_search": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_vector_search": OP10_SQL}

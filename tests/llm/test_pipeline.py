@@ -78,7 +78,7 @@ def test_near_duplicates_without_ids(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("pages", "embeddings", "documents"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     frame = entry.queries()[name](spark, SF)
     columns = sorted(frame.columns)
