@@ -27,10 +27,10 @@ from lumenframe.llm.frames import Scratch, shuffle_partitions
 #: Pivots that shards form around, at most; they are a sample, and every vector goes to a shard.
 MOST_PIVOTS = 1024
 #: Vectors of a shard, about: a pivot with more of them gets several shards.
-SHARD_ROWS = 2048
-#: Entries of a leaf page, and children of a node.
-PAGE = 64
-FANOUT = 16
+SHARD_ROWS = 8192
+#: Entries of a leaf page, and children of a node. Small pages cost more to visit than they save where little can be ruled out.
+PAGE = 1024
+FANOUT = 8
 #: Queries of one pass: they are the only thing sent to every task.
 BLOCK_QUERIES = 8192
 #: A scaled component beyond this cannot be multiplied exactly; such vectors are refused.
@@ -132,11 +132,12 @@ class Tree:
             else:
                 below.setdefault(number[r["shard"], r["parent"]], []).append(k)
         self.roots, self.children = np.array(roots), {k: np.array(v) for k, v in below.items()}
-        self.leaves = {}
+        self.leaves, self.largest = {}, 0.0
         for k, r in enumerate(rows):
             if r["leaf"]:
                 n = len(r["ids"]) // 8
                 self.leaves[k] = (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64), np.frombuffer(r["vectors"], "<i4").reshape(n, dim).astype(np.float64), np.frombuffer(r["distances"], np.float64))
+                self.largest = max(self.largest, float(np.abs(self.leaves[k][2]).max(initial=0)))
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[list[tuple[int, int, int]], int]:
         """The best k (score, vec_id, uid) of a query among these trees; floor: a score that k others are known to reach. The
@@ -144,6 +145,8 @@ class Tree:
         q = np.append(query.astype(np.float64), 0.0)
         base = float((query * query).sum()) + self.most
         slack = 1e-9 * base + 1e-3
+        # Doubles hold integers up to 2**53 exactly; beyond, products are of 64-bit integers.
+        factor = q[:-1] if self.largest * float(np.abs(q).max()) * self.dim < 2.0**53 else query.astype(np.int64)
         best: list[tuple[int, int, int]] = []  # a heap of (score, -vec_id, -uid): the worst on top
         computed = 0
 
@@ -176,8 +179,11 @@ class Tree:
                 open_ = np.flatnonzero(could(np.abs(distance - far)) >= least_score())
                 if not len(open_):
                     continue
+                if 2 * len(open_) > len(ids):  # to multiply the whole page costs less than to pick most of it
+                    open_ = np.arange(len(ids))
+                page = vectors if len(open_) == len(ids) else vectors[open_]
+                scores = page @ factor if factor.dtype == np.float64 else page.astype(np.int64) @ factor
                 computed += len(open_)
-                scores = np.rint(vectors[open_] @ query.astype(np.float64)).astype(np.int64)
                 for j in np.flatnonzero(scores >= least_score()):
                     i = open_[j]
                     entry = (int(scores[j]), -int(ids[i]), -int(uids[i]))
