@@ -145,5 +145,5 @@ def correlation_of(cov: np.ndarray, constant: np.ndarray) -> np.ndarray:
 
 def matrix_frame(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     """A matrix between bands as rows band_i, band_j, value."""
-    rows = [(i, j, float(matrix[i, j])) for i in range(matrix.shape[0]) for j in range(matrix.shape[1])]
-    return spark.createDataFrame(rows, "band_i int, band_j int, value double")
+    i, j = np.indices(matrix.shape, dtype=np.int32)
+    return spark.createDataFrame(pa.table({"band_i": i.ravel(), "band_j": j.ravel(), "value": np.asarray(matrix, float).ravel()}))

@@ -14,6 +14,7 @@ from functools import partial
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +168,8 @@ def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = scene(spark, sf_dir).spectrum(3, 4)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "band int, value double").select("band", _tidy(F.col("value")).alias("value"))
+    table = pa.table({"band": np.arange(len(values), dtype=np.int32), "value": values})
+    return spark.createDataFrame(table).select("band", _tidy(F.col("value")).alias("value"))
 
 
 def _with(make: Callable, out: Callable, nodata: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
