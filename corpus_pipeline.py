@@ -17,9 +17,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a language (null, or without a letter) go; so do those between two languages without a
     difference. The label of the others becomes the predicted language."""
     model = language_id.fit(docs.where(language_id.fold() != 1))
-    found = language_id.predict(docs, model, [F.struct(*COLUMNS).alias("__row")], "text")
+    found = language_id.predict(docs, model, [F.col("doc_id"), F.col("source"), F.col("n_chars")], with_text=True)
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
-    return kept.select("__row.doc_id", "__row.text", F.col("lang_pred").alias("lang"), "__row.source", "__row.n_chars")
+    return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

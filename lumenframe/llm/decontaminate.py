@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenframe.llm.frames import extend
 from lumenframe.llm.words import ALNUM, Words, slices, split_words, trim
@@ -21,7 +22,7 @@ from lumenframe.llm.words import ALNUM, Words, slices, split_words, trim
 #: Benchmark text that one pass sends to every task; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 16 << 20
 #: Text of one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class TestSuffixes:
@@ -245,18 +246,27 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 _FOUND = "__n_words long, __spots array<int>, __items array<string>"
 
 
+def _with_found(source: DataFrame, names: list[str]) -> StructType:
+    return extend(source.select(*names).schema, _FOUND)
+
+
+def _names(keep: list[str], text_col: str) -> list[str]:
+    """Names that clash with none of a table: __k0, __k1, ...; the text, which is there anyway, does not go twice."""
+    return ["__text" if c == text_col else f"__k{i}" for i, c in enumerate(keep)]
+
+
 def _scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """The columns of keep as __k0, __k1, ..., and those of _FOUND."""
-    names = [f"__k{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_col}`").alias("__text"))
+    """The columns of keep by the names of _names(), and those of _FOUND."""
+    names = _names(keep, text_col)
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True) if n != "__text"], F.col(f"`{text_col}`").alias("__text"))
     blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
     if len(blocks) == 1:
-        return source.mapInArrow(_hit_batches(blocks[0], window, names), extend(source.drop("__text").schema, _FOUND))
+        return source.mapInArrow(_hit_batches(blocks[0], window, names), _with_found(source, names))
     # Rows are told apart by their number in the scan, which is the same in each pass over the same files.
     source = source.withColumn("__n", F.monotonically_increasing_id())
     found = None
     for block in blocks:
-        one = source.mapInArrow(_hit_batches(block, window, [*names, "__n"]), extend(source.drop("__text").schema, _FOUND))
+        one = source.mapInArrow(_hit_batches(block, window, [*names, "__n"]), _with_found(source, [*names, "__n"]))
         found = one if found is None else found.union(one)
     whole = (
         found.groupBy("__n")
@@ -275,7 +285,7 @@ def hits(
     a text take no part; items that share an id count once. A benchmark of one block needs no shuffle.
     """
     found = _scan(docs, benchmark, list(keep), text_col, item_col, item_text_col, window, block_bytes)
-    return found.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__n_words").alias("n_words"), F.col("__spots").alias("spots"), F.col("__items").alias("items"))
+    return found.select(*[F.col(n).alias(c) for n, c in zip(_names(list(keep), text_col), keep, strict=True)], F.col("__n_words").alias("n_words"), F.col("__spots").alias("spots"), F.col("__items").alias("items"))
 
 
 def _merge_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +327,7 @@ def clean(
 ) -> DataFrame:
     """The rows of docs whose text holds no window of the benchmark, all columns kept."""
     found = _scan(docs, benchmark, docs.columns, text_col, item_col, item_text_col, window, block_bytes).where(F.size("__spots") == 0)
-    return found.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return found.select(*[F.col(n).alias(c) for n, c in zip(_names(docs.columns, text_col), docs.columns, strict=True)])
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5) -> DataFrame:

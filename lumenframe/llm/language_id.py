@@ -218,15 +218,15 @@ SURE = 0.02
 SHARPNESS = 8.0
 
 
-def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text", sure: float = SURE) -> DataFrame:
-    """The columns of keep, lang_pred, score (0 to 1) and ambiguous, for every row, from its whole text only.
+def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text", sure: float = SURE, with_text: bool = False) -> DataFrame:
+    """The columns of keep, the text if asked for, lang_pred, score (0 to 1) and ambiguous, for every row, from its whole text only.
 
     A null text, one without a letter, and every text under a model that has learned no language, is `und` with score 0.
     """
     rows = docs.select(*keep, F.col(f"`{text_col}`").alias("__text"))
-    names = [c for c in rows.columns if c != "__text"]
-    held = rows.drop("__text").schema
-    return rows.mapInArrow(_predict_batches(model, names, sure), extend(held, "lang_pred string, score double, ambiguous boolean"))
+    names = [c for c in rows.columns if with_text or c != "__text"]
+    out = rows.mapInArrow(_predict_batches(model, names, sure), extend(rows.select(*names).schema, "lang_pred string, score double, ambiguous boolean"))
+    return out.withColumnRenamed("__text", text_col) if with_text else out
 
 
 def fold(id_col: str = "doc_id") -> Column:
