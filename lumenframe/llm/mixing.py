@@ -19,7 +19,7 @@ MOST_LEAVES = 1_000_000
 #: Leaves that are sent to every task for the last join; of more, the join shuffles.
 MOST_SENT = 50_000
 #: Documents of one bucket of a leaf's order, about.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 
 
 def share_out(amount: float, weights: list[float], room: list[float]) -> list[float]:
