@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, language_id, mixing, simhash
+from lumenframe.llm import decontaminate, language_id, mixing, near_copies
 from lumenframe.llm.frames import Scratch, table
 from lumenframe.llm.queries import encoded, mix_levels, mix_weights
 
@@ -23,10 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of each component the document with the smallest id stays, one of its rows if the id repeats."""
+    """Near copies, of a Jaccard similarity of 0.8 or more in shingles of 5 words: of each component the document with the smallest
+    id stays, one of its rows if the id repeats."""
     keep = [F.col(c) for c in COLUMNS]
-    fps = Scratch(spark, "pipeline").save(simhash.fingerprints(docs, [F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row")]), "fingerprints")
-    groups = simhash.groups(fps, "id")
+    fps, groups = near_copies.groups(docs, [F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row")])
     # Only rows that carry their component's id can stay: one narrow row for each component, however large.
     first = fps.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("row", "id")).alias("r"))
     stays = first.select(F.col("r.id").alias("__id"), F.col("r.row").alias("__row"))
