@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph scores by its length and its commas. Its points go to its parent in full, to the ancestors above in falling parts;
-a container's points are discounted by the share of its text that stands in links. The best container is kept, and those of its
-siblings that score well themselves or read like prose. What a page says it is not (menus, headers, footers, sidebars, adverts,
+a container's points are discounted by the share of its text that stands in links. The article or main element around the best
+container is kept whole; on a page without one, everything that is not mostly links. What a page says it is not (menus, headers, footers, sidebars, adverts,
 forms, reader comments, by tag, role, class or id) is cut off before the scoring, as are scripts and styles.
 """
 
@@ -199,7 +199,8 @@ _PRIOR = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "pre": 3.0,
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The best container with those of its siblings that belong to the text, in page order."""
+    """The article or main element around the best container, with those siblings that score well or are prose. On a page without:
+    the best container and all that stands beside it and its ancestors, but for blocks and bare text that are mostly links."""
     candidates: list[Node] = []
     order = _measure(root)
     for node in order:
@@ -223,21 +224,53 @@ def main_nodes(root: Node) -> list[Node]:
             share = 0.5 if level == 0 else 1 / (3 * (level + 1))
     if not candidates:
         return [root]
-    best = max(candidates, key=lambda c: c.score * (1 - _density(c)))
-    if best.parent is None:
-        return [best]
     value = lambda c: c.score * (1 - _density(c))
+    best = top = max(candidates, key=value)
+    up, article = best, False
+    while up is not None:
+        if up.tag in ("article", "main"):
+            top, article = up, True
+        up = up.parent
     least = max(10.0, 0.2 * value(best))
-    kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
-            continue
-        prose = c.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6") and (c.chars > 80 and _density(c) < 0.25 or 0 < c.chars <= 80 and not c.linked)
-        if c is best or c.scored and value(c) >= least or prose:
-            kept.append(c)
+    kept, at = [top], top
+    while at.parent is not None:
+        before, after = [], []
+        side, run = before, []
+
+        def end() -> None:
+            if run:
+                side.extend(_bare(run, article))
+                run.clear()
+
+        for c in at.parent.children:
+            if isinstance(c, str) or c is not at and c.tag not in BLOCK:
+                run.append(c)
+                continue
+            end()
+            if c is at:
+                side = after
+                continue
+            prose = c.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6") and (c.chars > 80 and _density(c) < 0.25 or 0 < c.chars <= 80 and not c.linked)
+            if c.scored and value(c) >= least or prose or not article and _density(c) <= 0.5:
+                side.append(c)
+        end()
+        kept = [*before, *kept, *after]
+        if article:  # it says itself where the text ends
+            break
+        at = at.parent
     return kept
 
 
+def _bare(run: list, article: bool) -> list[Node]:
+    """Text directly in a container, with its inline elements, as one block; none beside an article, or if it is mostly links."""
+    block = Node("div", None)
+    block.children = list(run)
+    own = len("".join(c for c in run if isinstance(c, str)).strip())
+    nodes = [c for c in run if isinstance(c, Node)]
+    linked, chars = sum(c.linked for c in nodes), own + sum(c.chars for c in nodes)
+    return [block] if chars and not article and linked <= 0.5 * chars else []
+
+
 def _blocks(nodes: list[Node]) -> Iterator[str]:
     text: list[str] = []
 
