@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, language_id, mixing, near_copies
+from lumenframe.llm import decontaminate, language_id, mixing, near_copies, token_output
 from lumenframe.llm.frames import Scratch, table
-from lumenframe.llm.queries import encoded, mix_levels, mix_weights
+from lumenframe.llm.queries import encoded, mix_levels, mix_weights, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: as many tokens as there are, in the target weights; a document stands there once for each time it is taken."""
-    mixed = mixing.mix(docs.select(*COLUMNS), mix_levels(), mix_weights(), epochs=4, seed=20, share=1.0)
+    mixed = mixing.mix(docs.select(*COLUMNS), mix_levels(), mix_weights(), epochs=4, seed=20, tokens=token_output.token_count(tokenizer_path()), share=1.0)
     return mixing.repeat(mixed, COLUMNS)
 
 

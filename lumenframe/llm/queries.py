@@ -76,7 +76,7 @@ def mix_weights() -> dict[tuple, float]:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(), epochs=4, seed=20, share=0.8)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(), epochs=4, seed=20, tokens=token_output.token_count(tokenizer_path()), share=0.8)
     return mixed.where("__epochs > 0").select("doc_id", F.col("__path").alias("leaf"), F.col("__tokens").alias("n_tokens"), F.col("__epochs").alias("epochs"))
 
 

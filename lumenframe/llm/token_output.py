@@ -150,6 +150,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def token_count(tokenizer: str, text_col: str = "text") -> Column:
+    """Number of ids of a whole text, without an end id; 0 for a null."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        tokens = encoder(tokenizer)
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        out = [np.diff(tokens.encode(part.column("text"))[0]) for part in slices(batch, "text", 4 << 20)]
+        trim()
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *out]), pa.int64())
+
+    return count(F.col(f"`{text_col}`"))
+
+
 def _encode_batches(path: str, end_id: int | None, names: list[str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
