@@ -81,9 +81,16 @@ def script_of(name: str) -> str:
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
 
 
+def _words_of(at: int, rank: int, names: list[str], kinds: list[str]) -> Iterator[tuple[int, int, int, str, str]]:
+    for name, kind in zip(names, kinds, strict=True):
+        yield at, rank, at + len(name), kind, name.lower()
+        at += len(name) + 1
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """Entities in order, without overlaps: begin, end, kind and canonical value. A name counts word by word, the last word as a
-    family name, so that a later mention of the family name alone is the same entity."""
+    family name. It is found after a title; then all mentions of the full name or of the family name alone, anywhere in the text and
+    without a title too, are the same entities."""
     if not text:
         return []
     found: list[tuple[int, int, int, str, str]] = []
@@ -112,13 +119,18 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                     canonical = value.lower()
                 found.append((m.start(g), rank, m.end(g), kind, canonical))
     if any(t in text for t in TITLES):
+        people: dict[str, list[str]] = {}
         for m in _PERSON.finditer(text):
-            gender, at = TITLES[m[1]], m.start(2)
             names = m[2].split(" ")
-            for i, name in enumerate(names):
-                kind = "family" if i == len(names) - 1 else f"given-{gender}"
-                found.append((at, 99, at + len(name), kind, name.lower()))
-                at += len(name) + 1
+            kinds = [f"given-{TITLES[m[1]]}"] * (len(names) - 1) + ["family"]
+            found += _words_of(m.start(2), 99, names, kinds)
+            for k in {0, len(names) - 1}:
+                for spelled in (" ".join(names[k:]), " ".join(names[k:]).upper()):
+                    people.setdefault(spelled, kinds[k:])
+        if people:
+            longest = sorted(people, key=lambda p: (-len(p), p))
+            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(p) for p in longest)})(?!\w)", text):
+                found += _words_of(m.start(), 100, m[0].split(" "), people[m[0]])
     out: list[tuple[int, int, str, str]] = []
     for begin, _, end, kind, canonical in sorted(found):
         if not out or begin >= out[-1][1]:
