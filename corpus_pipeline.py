@@ -15,8 +15,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a language (null, or without a letter) go; so do those between two languages without a
-    difference. The label of the others becomes the predicted language."""
+    difference. The label of the others becomes the predicted language. Without any label to learn from, all texts with a letter stay."""
     model = language_id.fit(docs.where(language_id.fold() != 1))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.lit(language_id.UNKNOWN)).select(*COLUMNS)
     found = language_id.predict(docs, model, [F.col("doc_id"), F.col("source"), F.col("n_chars")], with_text=True)
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
     return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
