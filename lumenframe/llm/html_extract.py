@@ -2,36 +2,49 @@
 
 Every paragraph scores by its length and its commas. Its points go to its parent in full, to the ancestors above in falling parts;
 a container's points are discounted by the share of its text that stands in links. The article or main element around the best
-container is kept whole; on a page without one, everything that is not mostly links. What a page says it is not (menus, headers, footers, sidebars, adverts,
-forms, reader comments, by tag, role, class or id) is cut off before the scoring, as are scripts and styles.
+container is kept whole; on a page without one, everything that is not mostly links. What a page says it is not by tag or role, or
+by a class or id of adverts and reader comments, is cut off before the scoring, as are scripts and styles. Other words of a class or
+id (menu, social, notice) and forms are hints that the text inside is weighed against.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.frames import extend
-from lumenframe.llm.words import trim
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+from lumenframe.llm.words import slices, trim
+
+# Tags by the states of the HTML tokeniser: a quote opens a value only right after "="; everything consumed is consumed once.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))            # a comment
+      | <[!?][^>]*+(?:>|\Z)                    # a declaration
+      | </(?![A-Za-z])[^>]*+(?:>|\Z)           # no end tag: skipped like a comment
+      | <(/?)([A-Za-z][^\s/>]*+)               # a tag: name and attributes
+        ((?:[\s/]++ | =?[^\s/>=]++ (?:\s*+=\s*+(?:"[^"]*+(?:"|\Z) | '[^']*+(?:'|\Z) | [^\s"'>][^\s>]*+)?+)?+ | =)*+)
+        (?:>|\Z)""",
+    re.S | re.X,
+)
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+))?+)?+""", re.S)
 _SPACE = re.compile(r"\s+")
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe xmp noembed noframes".split())
+RAW = set("script style noscript textarea title iframe xmp noembed noframes".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = RAW | set("head nav header footer aside form button select option input label svg canvas object embed audio video map menu dialog math datalist".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+DROPPED = RAW | set("head nav header footer aside button select option input label svg canvas object embed audio video map menu dialog math datalist template".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert note tablist".split())
-CLOSES_P = BLOCK
+#: An end tag does not reach past a cell or table that began after its element.
+SCOPE = set("table td th caption".split())
+TABLE_PARTS = set("table caption thead tbody tfoot tr td th".split())
 ENDED_BY = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -45,11 +58,17 @@ ENDED_BY = {
     "option": {"option"},
 }
 LIMITS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-#: Words of a class or id (cut at everything but letters and digits) that tell what is not the article.
-BOILERPLATE = set(
-    """ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus
-    disclaimer dropdown footer gdpr header hidden masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related
-    replies respond rss search share sharing shoutbox sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar widget widgets""".split()
+#: Words of a class or id (cut at everything but letters and digits). These tell what is never the article.
+NEVER = set("ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors comment comments commentlist disqus replies respond".split())
+#: These hint at what is not the article. The text inside is weighed against them.
+HINTS = set(
+    """banner breadcrumb breadcrumbs consent cookie cookies disclaimer dropdown footer gdpr header hidden masthead menu menubar modal nav navbar navigation newsletter notice notices
+    pager pagination popup promo promoted promotion related rss search share sharing shoutbox sidebar signup skip social subscribe subscription teaser toc toolbar widget widgets""".split()
+)
+#: Words that say nothing about the contents: beside hints only, they leave a name a plain statement.
+NEUTRAL = set(
+    """area bar bars block bottom box btn button buttons col column container fixed floating global group icon icons inner item items js layout left link links list main middle mobile
+    outer overlay page panel primary right row secondary section site sticky text top ui wrap wrapper""".split()
 )
 #: Words that keep an element in spite of one of the above.
 CONTENT = set("article body content entry main post story text".split())
@@ -58,132 +77,186 @@ _CUT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "linked", "commas", "score", "scored")
+    __slots__ = ("tag", "parent", "children", "chars", "linked", "commas", "score", "scored", "hint", "blocks")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
-        self.children: list = []  # nodes and strings, in order
+    def __init__(self, tag: str, parent: Node | None, hint: int = 0):
+        self.tag, self.parent, self.hint = tag, parent, hint
+        self.children: list = []  # nodes and strings (decoded), in order
         self.chars = self.linked = self.commas = 0
-        self.score, self.scored = 0.0, False
+        self.score, self.scored, self.blocks = 0.0, False, False
+
 
+#: What an element says of itself: nothing, a doubtful hint, a plain statement, or that it is not the article whatever it holds.
+_NONE, _WEAK, _STRONG, _CUT_OFF = range(4)
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+
+def _hint(tag: str, attributes: str) -> int:
     if tag in DROPPED:
-        return True
+        return _CUT_OFF
+    found = _STRONG if tag == "form" else _NONE
     if not attributes or not attributes.strip():
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return _CUT_OFF
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            return _CUT_OFF
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in _CUT.split(value)}
-            if words & BOILERPLATE and not words & CONTENT:
-                return True
-    return False
+            words = {w.lower() for w in _CUT.split(html.unescape(value))} - {""}
+            if words & CONTENT:
+                continue
+            if words & NEVER:
+                return _CUT_OFF
+            if words & HINTS:
+                found = max(found, _WEAK if words - HINTS - NEUTRAL else _STRONG)
+    return found
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag in it, so that no question walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of some tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """End the element at a place, and all inside it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> bool:
+        """An end tag: whether it closed an element that was open."""
+        place = self.last(HEADINGS if tag in HEADINGS else (tag,))
+        if not place or tag not in TABLE_PARTS and self.last(SCOPE) > place:
+            return False
+        if tag not in BLOCK and self.blocks and self.blocks[-1] > place:
+            return False  # a block goes on in spite of the inline element around it
+        self.close(place)
+        return True
+
+    def begin(self, tag: str) -> None:
+        """What a start tag ends."""
+        if tag in BLOCK and (p := self.last(("p",))) > self.last(SCOPE):
+            self.close(p)
+        if tag in ENDED_BY and (place := self.last(ENDED_BY[tag])) > self.last(LIMITS.get(tag, ())):
+            # The outermost of the parts that end: a row ends its cells, a group its rows.
+            inside = self.last(LIMITS.get(tag, ()))
+            self.close(min(p for t in ENDED_BY[tag] for p in self.places.get(t, ())[-1:] if p > inside) if tag in TABLE_PARTS else place)
+        elif tag in HEADINGS and self.stack[-1].tag in HEADINGS or tag == "a" and (p := self.last(("a",))) and not (self.blocks and self.blocks[-1] > p):
+            self.close(len(self.stack) - 1 if tag in HEADINGS else p)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without its boilerplate, forgiving about missing end tags. The root is a body."""
-    root = at = Node("body", None)
-    open_tags = ["body"]
-    skip = 0  # depth inside a dropped element
-    dropped: list[str] = []
+    """The tree of a page without what is cut off, forgiving about missing end tags; in time linear in its length. The root is a body."""
+    root = Node("body", None)
+    now = _Open(root)
+    gone: _Open | None = None  # what is open inside an element that is cut off
     i, n = 0, len(page)
+
+    def text(a: int, b: int) -> None:
+        if b > a and gone is None:
+            piece = page[a:b]
+            now.stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+
     while i < n:
         m = _TOKEN.search(page, i)
         if not m:
-            if not skip:
-                at.children.append(page[i:])
+            text(i, n)
             break
-        if m.start() > i and not skip:
-            at.children.append(page[i : m.start()])
+        text(i, m.start())
         i = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
+        empty = m[3].endswith("/")
         if m[1]:
-            if skip:
-                if tag in dropped:
-                    while dropped and dropped.pop() != tag:
-                        pass
-                    skip = len(dropped)
-                elif tag in open_tags and tag in BLOCK:  # an outer element ends: so does what was left open inside
-                    dropped, skip = [], 0
-                if skip or tag not in open_tags or (tag in DROPPED and tag not in open_tags):
+            if gone is not None:
+                if gone.end(tag):
+                    gone = gone if len(gone.stack) > 1 else None
                     continue
-            if tag in open_tags[1:]:
-                while open_tags[-1] != tag:
-                    open_tags.pop()
-                    at = at.parent
-                open_tags.pop()
-                at = at.parent
+                if tag not in BLOCK or not now.last((tag,)):
+                    continue
+                gone = None  # an outer element ends: so does what was left open inside
+            if not now.end(tag):
+                if tag == "br":
+                    now.stack[-1].children.append("\n")
+                elif tag == "p":
+                    now.stack[-1].children.append(Node("hr", now.stack[-1]))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, i)
+            if gone is not None and empty and gone.last(("svg", "math")):
+                continue  # a drawing's empty element, not HTML's
+            end = _RAW_END[tag].search(page, i)
             i = end.end() if end else n
             continue
-        if skip:
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
-                dropped.append(tag)
-                skip = len(dropped)
+        if gone is not None:
+            if tag not in VOID and not empty:
+                gone.begin(tag)
+                gone.push(Node(tag, None))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P and "p" in open_tags:
-            while open_tags[-1] != "p":
-                open_tags.pop()
-                at = at.parent
-            open_tags.pop()
-            at = at.parent
-        for k in range(len(open_tags) - 1, 0, -1):
-            if open_tags[k] in LIMITS.get(tag, ()):
-                break
-            if open_tags[k] in ENDED_BY.get(tag, ()):
-                while len(open_tags) > k:
-                    open_tags.pop()
-                    at = at.parent
-                break
+        now.begin(tag)
+        at = now.stack[-1]
         if tag in VOID:
             if tag not in ("input", "embed"):
-                at.children.append("\n" if tag != "wbr" else "")
+                at.children.append("" if tag == "wbr" else "\n")
                 if tag == "hr":
                     at.children.append(Node("hr", at))
             continue
-        if _is_boilerplate(tag, m[3]):
-            if not m[3].rstrip().endswith("/"):
-                dropped, skip = [tag], 1
+        hint = _hint(tag, m[3])
+        if hint == _CUT_OFF:
+            if not empty:
+                gone = _Open(root)
+                gone.push(Node(tag, None))
             if tag in BLOCK:  # text before and after stays in different blocks
                 at.children.append(Node("hr", at))
             continue
-        node = Node(tag, at)
+        node = Node(tag, at, hint)
         at.children.append(node)
-        at = node
-        open_tags.append(tag)
+        now.push(node)
     return root
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+
+
 def _measure(root: Node) -> list[Node]:
-    """Characters, link characters and commas of every subtree; the nodes, children before parents."""
+    """Characters, link characters and commas of every subtree, and whether a block is inside; the nodes, children before parents."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.chars = node.linked = node.commas = 0
+        node.blocks = False
         order.append(node)
         stack += [c for c in node.children if isinstance(c, Node)]
     order.reverse()
     for node in order:
-        own = "".join(c for c in node.children if isinstance(c, str))
-        own = _SPACE.sub(" ", html.unescape(own) if "&" in own else own).strip()
+        own = _SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
         node.chars += len(own)
-        node.commas += own.count(",") + own.count("،") + own.count("、") + own.count(",")
+        node.commas += sum(own.count(c) for c in ",،、，")
         if node.tag == "a":
             node.linked = node.chars
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.commas += node.commas
+            node.parent.blocks |= node.blocks or node.tag in BLOCK
     return order
 
 
@@ -191,11 +264,59 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _has_block(node: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag in BLOCK or _has_block(c)) for c in node.children)
+_PRIOR = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "dt": -3.0, "dd": -3.0, "address": -3.0}
 
 
-_PRIOR = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "dt": -3.0, "dd": -3.0, "address": -3.0}
+def _points(node: Node) -> float:
+    """What a paragraph scores; 0 for what is none."""
+    if node.tag not in PARAGRAPHS or node.chars < 2:
+        return 0.0
+    if node.blocks and node.tag in ("div", "section", "article", "main", "body", "li", "td", "dd") and sum(len(c.strip()) for c in node.children if isinstance(c, str)) < 25:
+        return 0.0
+    return (1 + node.commas + min(node.chars // 100, 3)) * (1 - _density(node))
+
+
+def _weigh_hints(root: Node, order: list[Node]) -> bool:
+    """Take the hinted elements out whose text does not outweigh their hint; whether there were any.
+
+    A doubtful hint is outweighed by prose: paragraphs of three points in all, with few links. A plain statement is outweighed if
+    the page has no other paragraph, and the element holds an article or two paragraphs of over 80 characters with few links.
+    """
+    suspects = [n for n in order if n.hint]
+    if not suspects:
+        return False
+    inside: dict[int, Node | None] = {}  # the outermost hinted element around each node
+    points: dict[int, list] = {id(s): [0.0, 0, False] for s in suspects}
+    rest = 0.0
+    for node in reversed(order):
+        up = inside.get(id(node.parent)) if node.parent is not None else None
+        inside[id(node)] = up if up is not None else node if node.hint else None
+    plain = {id(n): 0 for n in suspects}
+    for node in order:
+        p = _points(node)
+        if inside[id(node)] is None:
+            rest += p if node.chars >= 25 else 0
+    # Sums of the hinted elements, children before parents: each node adds to the next hinted element around it.
+    total: dict[int, tuple[float, int, bool]] = {}
+    for node in order:
+        p, long, article = total.pop(id(node), (0.0, 0, False))
+        own = _points(node)
+        p, long, article = p + own, long + (node.tag == "p" and node.chars > 80 and _density(node) < 0.25), article or node.tag in ("article", "main")
+        if node.hint:
+            points[id(node)] = [p, long, article]
+        if node.parent is not None:
+            a, b, c = total.get(id(node.parent), (0.0, 0, False))
+            total[id(node.parent)] = (a + p, b + long, c or article)
+    for node in suspects:
+        p, long, article = points[id(node)]
+        if node.hint == _WEAK:
+            plain[id(node)] = p >= 3 and _density(node) < 0.25
+        else:
+            plain[id(node)] = rest == 0 and _density(node) < 0.25 and (article or long >= 2)
+    for node in suspects:
+        if not plain[id(node)]:
+            node.tag, node.children = "hr" if node.tag in BLOCK else "span", []
+    return True
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -203,15 +324,12 @@ def main_nodes(root: Node) -> list[Node]:
     the best container and all that stands beside it and its ancestors, but for blocks and bare text that are mostly links."""
     candidates: list[Node] = []
     order = _measure(root)
+    if _weigh_hints(root, order):
+        order = _measure(root)
     for node in order:
-        if node.tag not in PARAGRAPHS or not node.chars:
+        points = _points(node)
+        if not points:
             continue
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        if node.tag in ("div", "section", "article", "main", "body", "li", "td", "dd") and _has_block(node) and own < 25:
-            continue
-        if node.chars < 2:
-            continue
-        points = (1 + node.commas + min(node.chars // 100, 3)) * (1 - _density(node))
         up, share = node.parent if node.tag != "body" else node, 1.0
         for level in range(5):
             if up is None:
@@ -277,7 +395,7 @@ def _blocks(nodes: list[Node]) -> Iterator[str]:
     def done() -> Iterator[str]:
         line = "".join(text)
         text.clear()
-        line = _SPACE.sub(" ", html.unescape(line) if "&" in line else line).strip()
+        line = _SPACE.sub(" ", line).strip()
         if line:
             yield line
 
@@ -308,8 +426,7 @@ def extract(page: str | None) -> str:
 def _extract_batches(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in slices(batch, "__html"):
                 texts = [extract(p.as_py()) for p in part.column("__html")]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
         trim()
@@ -318,7 +435,11 @@ def _extract_batches(names: list[str]):
 
 
 def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
-    """The columns of keep, text and n_chars (code points) of every page; a row for each row, whatever its nulls. No shuffle."""
+    """The columns of keep, text and n_chars (code points) of every page; a row for each row, whatever its nulls. No shuffle.
+
+    A null, an empty page and one without text give an empty text. Pages are read whole: time and memory are linear in a page's
+    length, however deep or unclosed its elements are, and a task holds one page's tree at a time. An empty table gives no rows;
+    columns that are not kept are not looked at, whatever their names."""
     names = [f"__k{i}" for i in range(len(keep))]
     rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{html_col}`").alias("__html"))
     out = rows.mapInArrow(_extract_batches(names), extend(rows.drop("__html").schema, "text string, n_chars long"))
