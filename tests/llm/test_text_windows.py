@@ -3,13 +3,17 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, simhash, substring_dedup
 from lumenframe.llm.components import connected_components
+from lumenframe.llm.words import ALNUM, split_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, at int, fp string, items string"
 
@@ -159,7 +163,7 @@ BENCH = "item_id long, text string, lang string"
 def brute_hits(docs, items, window):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     out = []
-    split = [(str(i), re.findall(pattern, lower(t))) for i, t in items if i is not None and t is not None]
+    split = [(None if i is None else str(i), re.findall(pattern, lower(t))) for i, t in items if t is not None]
     for i, t in docs:
         words = re.findall(pattern, lower(t or ""))
         hit, owners = set(), set()
@@ -172,7 +176,7 @@ def brute_hits(docs, items, window):
                 if tuple(words[p : p + size]) in grams:
                     hit |= set(range(p, p + size))
                     owners.add(item)
-        out.append((i, len(words), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit)))
+        out.append((i, len(words), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners - {None})).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
@@ -191,11 +195,50 @@ def test_decontamination_matches_brute_force(spark, block_bytes):
     got = decontaminate.report(rows(spark, docs), bench, block_bytes=block_bytes).collect()
     # str.upper turns é into É, which A-Z lower-casing leaves alone: it is another word.
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == brute_hits(docs, items, 10)
-    kept = decontaminate.clean(rows(spark, docs), bench)
+    kept = decontaminate.clean(rows(spark, docs), bench, block_bytes=block_bytes, most_sent=0 if block_bytes == 60 else 1000)
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     assert kept.count() == sum(not x[-1] for x in brute_hits(docs, items, 10))
 
 
+def thue_morse(n, invert):
+    """Words of 2**n letters, equal under any polynomial hash modulo 2**64 for n of 10 or more, and their complements."""
+    return "".join("ab"[(bin(i).count("1") + invert) % 2] for i in range(2**n))
+
+
+def test_decontamination_tells_equal_hashes_apart(spark):
+    x, y = thue_morse(11, 0), thue_morse(11, 1)
+    words = split_words(pa.array([f"{x} {y}"]), ALNUM)
+    assert len(set(words.hashes(np.arange(2), np.arange(2)).tolist())) == 1
+    rest = "one two three four five six seven eight nine"
+    docs = [(1, f"so {x} {rest} it is"), (2, f"so {y} {rest} it is"), (3, f"{rest} {y}"), (4, f"{rest} {x}"), (5, y), (6, x)]
+    for items in ([(1, f"{x} {rest}")], [(1, f"{x} {rest}"), (2, f"{rest} {y}")], [(1, x)], [(7, y), (8, f"{x} {rest}")]):
+        bench = spark.createDataFrame([(i, t, "x") for i, t in items], BENCH)
+        got = decontaminate.report(rows(spark, docs), bench).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == brute_hits(docs, items, 10)
+
+
+def test_decontamination_of_one_word_again_and_again():
+    items = [("i", "la " * 30_000), ("j", "la " * 5)]
+    batch = pa.RecordBatch.from_pydict({"__text": ["la " * 50_000, "no", "la la", None], "__k0": [1, 2, 3, 4]})
+    began = time.time()
+    (out,) = decontaminate._hit_batches(items, 10, ["__k0"])(iter([batch]))
+    assert out.to_pydict() == {"__k0": [1, 2, 3, 4], "__n_words": [50_000, 1, 2, 0], "__spots": [[0, 50_000], [], [], []], "__items": [["i", "j"], [], [], []]}
+    assert time.time() - began < 30
+
+
+def test_decontamination_shards_over_many_pieces(monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randrange(40))) for _ in range(300)]
+    items = [(str(k), " ".join(r.choice("abcde") for _ in range(12))) for k in range(200)] + [("1", "a b"), (None, "e e e e e")]
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 200)
+    want = brute_hits(list(enumerate(texts)), items, 5)
+    for words in (1, 1000, 10**9):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        batches = [pa.RecordBatch.from_pydict({"__text": texts[a : a + 70], "__k0": list(range(a, min(300, a + 70)))}) for a in range(0, 300, 70)]
+        got = [x for b in decontaminate._hit_batches(items, 5, ["__k0"])(iter(batches)) for x in b.to_pylist()]
+        assert sorted(((x["__k0"], x["__n_words"], sum(x["__spots"][1::2]) - sum(x["__spots"][::2]), len(x["__items"])) for x in got), key=repr) == [w[:4] for w in want]
+
+
 def test_decontamination_without_items_or_documents(spark):
     docs, bench = rows(spark, [(1, "a b c")]), spark.createDataFrame([], BENCH)
     assert [r.contaminated for r in decontaminate.report(docs, bench).collect()] == [False]
