@@ -27,10 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that go to a Python worker at once: a row is a whole text here, so batches of Spark's default would take tens of megabytes.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set Arrow batches of BATCH_ROWS rows in the session, unless it has a number of its own below Spark's default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) >= 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 class Scratch:
     """Parquet tables under the shared folder. A table cuts the lineage, and survives the loss of the executor that wrote it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -53,6 +64,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

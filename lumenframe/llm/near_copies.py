@@ -1,9 +1,9 @@
 """Near copies by the Jaccard similarity of their shingle sets, exact: every pair of at least 4/5 is found, and no other.
 
 Of two sets that similar, the first fifths in any common order of all shingles share one (prefix filter). The order puts shingles
-that a sample shows to be common last, so that few sets meet. Meetings that sizes, positions or parity sketches rule out are dropped;
-the others are verified on the whole sets. Masses of near copies that meet under one shingle are linked to one of them first, and
-only those that this leaves in different components are looked at pair by pair.
+that are common in the corpus last, so that few sets meet. Meetings that sizes, positions or parity sketches rule out are dropped; the
+others are verified on the whole sets, first one for each set, then those that this leaves in different components. Masses of near
+copies that meet under one shingle are linked to one of them first.
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.components import connected_components
 from lumenframe.llm.frames import Scratch, extend, shuffle_partitions
-from lumenframe.llm.words import SPACED, slices, split_words, trim
+from lumenframe.llm.words import SPACED, mix, slices, split_words, trim
 
-#: A bucket of more sets than this is not compared pair by pair at once.
+#: A bucket of more sets than this is not compared pair by pair at once; its shingle is common.
 MOST_PAIRED = 48
-#: Documents looked at, about, to tell which shingles are common, and the shingles remembered. Both change speed only.
-SAMPLED, MOST_COMMON = 10_000, 100_000
-#: Sets to verify whose numbers are sent to every task, so that only they are shuffled; of more, all are.
-MOST_SENT = 4_000_000
-#: Numbers of 64 bits in a set's parity sketch.
-SKETCH = 8
+#: Common shingles that the order of shingles knows, the most common ones: they go to every task. Of more, the others count as rare,
+#: which costs meetings and changes no result.
+MOST_COMMON = 100_000
+#: Texts to verify whose numbers are sent to every task, so that only they are shuffled; of more, all are.
+MOST_SENT = 1_000_000
+#: Least numbers of 64 bits in a set's parity sketch; a sketch has two to four bits for each shingle.
+LEAST_SKETCH = 4
+#: Numbers of a sketch that are compared first.
+FIRST_SKETCH = 16
 
 
 def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -51,37 +54,82 @@ def _name(found: np.ndarray) -> int:
 
 
 def _sketch(found: np.ndarray) -> np.ndarray:
-    """A bit for each residue of the hashes: whether an odd number has it. Sets differ in at least as many elements as sketches in bits."""
-    odd = np.bincount((found.view(np.uint64) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """A bit for each residue of the hashes: whether an odd number has it. Sets differ in at least as many elements as sketches in bits.
+    Of a sketch of twice the size, the two halves differ where the smaller one has a 1."""
+    size = max(LEAST_SKETCH, 1 << max(0, 2 * len(found) - 1).bit_length() >> 6)
+    odd = np.bincount((found.view(np.uint64) & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _shingle_batches(shingle: int):
+def _prefix(found: np.ndarray, size: int, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first elements of a set: rare ones by their hash, then common ones, the least common first."""
+    seen = np.zeros(len(found), np.int64)
+    if len(common) and len(found):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        seen = np.where(common[at] == found, often[at], 0)
+    return found[np.lexsort((found, seen))[:size]]
+
+
+def _tally_batches(shingle: int, parts: int):
+    """To rows (part, hashes, counts): how often shingles stand among the first fourths of the sets, by hash alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first = [np.zeros(0, np.int64)]
             for part in slices(batch, "__text"):
-                for found in _sets(part.column("__text"), shingle):
-                    yield pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
+                first += [x[: len(x) // 4 + 1] for x in _sets(part.column("__text"), shingle)]
+            values, counts = np.unique(np.concatenate(first), return_counts=True)
+            if not len(values):
+                continue
+            part = (mix(values.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            values, counts, part = values[order], counts[order].astype(np.int32), part[order]
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            columns = [pa.array(part[cuts[:-1]]), pa.array([values[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "hashes", "counts"])
+        trim()
 
     return run
 
 
-def _set_batches(shingle: int, names: list[str], common: np.ndarray, often: np.ndarray):
-    def prefix(found: np.ndarray) -> np.ndarray:
-        if not len(found):
-            return found
-        seen = np.zeros(len(found), np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-            seen = np.where(common[at] == found, often[at], 0)
-        return found[np.lexsort((found, seen))[: len(found) // 5 + 1]]
+def _common_batches(most: int):
+    """Of all tallies of a part: the shingles that stand there more than `most` times."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for part, h, n in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "counts")), strict=True):
+                held.setdefault(part, []).append((h, n))
+        for packs in held.values():
+            h = np.frombuffer(b"".join(x for x, _ in packs), np.int64)
+            n = np.frombuffer(b"".join(x for _, x in packs), np.int32)
+            order = np.argsort(h)
+            h, n = h[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            total = np.add.reduceat(n, first)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first][total > most]), pa.array(total[total > most])], names=["h", "n"])
+        trim()
+
+    return run
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of the corpus, ascending, and how often each was counted."""
+    parts = shuffle_partitions(texts.sparkSession)
+    dealt = texts.mapInArrow(_tally_batches(shingle, parts), "part int, hashes binary, counts binary").repartitionById(parts, "part")
+    seen = dealt.mapInArrow(_common_batches(MOST_PAIRED), "h long, n long").orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    seen.sort()
+    return np.array([r.h for r in seen], np.int64), np.array([r.n for r in seen], np.int64)
+
+
+def _set_batches(shingle: int, names: list[str], common: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 every = list(_sets(part.column("__text"), shingle))
                 columns = [pa.array([_name(x) for x in every], pa.int64()), pa.array([len(x) for x in every], pa.int32())]
-                columns += [pa.array([prefix(x) for x in every], pa.list_(pa.int64())), pa.array([_sketch(x) for x in every], pa.list_(pa.int64()))]
+                columns += [pa.array([_prefix(x, len(x) // 5 + 1, common, often) for x in every], pa.list_(pa.int64())), pa.array([_sketch(x) for x in every], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=[*names, "fp", "n", "prefix", "sketch"])
         trim()
 
@@ -145,43 +193,69 @@ def _meet_batches(most: int):
 
 
 def _possible(x: str, y: str) -> Column:
-    """Whether sizes and sketches of two sets leave room for a similarity of 4/5: they may differ in a ninth of their elements."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * differ <= n + m)
-
-
-def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a similarity of at least 4/5."""
-    light = distinct.select("fp", "n", "sketch")
-    met = pairs.join(light.alias("x"), F.col("a") == F.col("x.fp")).join(light.alias("y"), F.col("b") == F.col("y.fp"))
-    close = scratch.save(met.where(_possible("x", "y")).select("a", "b"), "close")
-    need = scratch.save(close.select(F.col("a").alias("fp")).union(close.select(F.col("b").alias("fp"))).distinct(), "need")
-    need = F.broadcast(need) if need.count() <= MOST_SENT else need
-    whole = texts.mapInArrow(_whole_batches(shingle), "fp long, shingles array<long>").join(need, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("s"))
-    whole = scratch.save(whole, "whole")
-    both = close.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return scratch.save(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+    """Whether sizes and sketches of two sets leave room for a similarity of 4/5: they may differ in a ninth of their elements. Sizes
+    that do have sketches of one size, or one of twice the other's."""
+    n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    xor = lambda u, v: u.bitwiseXOR(v)
+    fold = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), xor)
+    p, q = F.when(F.size(p) > F.size(q), fold(p)).otherwise(p), F.when(F.size(q) > F.size(p), fold(q)).otherwise(q)
+    differ = F.aggregate(F.zip_with(p, q, xor), F.lit(0), lambda total, v: total + F.bit_count(v))
+    # Most pairs differ enough in the first numbers already: a plain sum, before the loop over all.
+    some = sum((F.coalesce(F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))), F.lit(0)) for i in range(FIRST_SKETCH)), F.lit(0))
+    first = (F.size(f"{x}.sketch") != F.size(f"{y}.sketch")) | (9 * some <= n + m)
+    return F.when(~(5 * F.least(n, m) >= 4 * F.greatest(n, m)) | ~first, False).otherwise(9 * differ <= n + m)
+
+
+class _Verifier:
+    """Whole sets against each other."""
+
+    def __init__(self, distinct: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch):
+        self.distinct, self.texts, self.shingle, self.scratch = distinct, texts, shingle, scratch
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that sizes and sketches do not rule out."""
+        light = self.distinct.select("fp", "n", "sketch")
+        met = pairs.join(light.alias("x"), F.col("a") == F.col("x.fp")).join(light.alias("y"), F.col("b") == F.col("y.fp"))
+        return self.scratch.save(met.where(_possible("x", "y")).select("a", "b"), "close")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets have a similarity of at least 4/5."""
+        need = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        need = self.scratch.save(need.join(self.distinct, "fp").select("fp", "text_hash"), "need")
+        few = need.count() <= MOST_SENT
+        send = F.broadcast if few else lambda df: df
+        rows = self.texts.join(send(need.select("text_hash")), F.xxhash64("__text") == F.col("text_hash"), "left_semi")
+        whole = rows.mapInArrow(_whole_batches(self.shingle), "fp long, shingles array<long>").join(send(need.select("fp")), "fp", "left_semi")
+        whole = self.scratch.save(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "whole")
+        both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        out = self.scratch.save(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+        self.scratch.drop(whole)
+        return out
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes are not known to be connected."""
+    x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: str = "text", shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """The columns of keep with fp, a number for the row's shingle set; and for each fp its label (its component) and component_id,
-    the least id in the component. Words are those of simhash.fingerprints; texts without words are one set."""
+    the least id in the component. Words are those of simhash.fingerprints; texts without words, and nulls, are one set. Rows that
+    repeat share an fp. An empty table gives no rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_copies")
     text = F.col(f"`{text_col}`")
     texts = docs.select(text.alias("__text"))
-    every = max(1, docs.count() // SAMPLED)
-    sample = texts.where(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).mapInArrow(_shingle_batches(shingle), "h long")
-    seen = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
-    seen.sort()
-    common, often = np.array([r.h for r in seen], np.int64), np.array([r["count"] for r in seen], np.int64)
-    rows = docs.select(*keep, text.alias("__text"))
+    common, often = _common(texts, shingle)
+    rows = docs.select(*keep, F.xxhash64(text).alias("text_hash"), text.alias("__text"))
     names = [c for c in rows.columns if c != "__text"]
     made = rows.mapInArrow(_set_batches(shingle, names, common, often), extend(rows.drop("__text").schema, "fp long, n int, prefix array<long>, sketch array<long>"))
     made = scratch.save(made, "sets")
-    distinct = scratch.save(made.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "distinct")
+    distinct = made.groupBy("fp").agg(F.min(id_col).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "text_hash")])
+    distinct = scratch.save(distinct, "distinct")
+    verifier = _Verifier(distinct, texts, shingle, scratch)
 
     dealt = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "fp", "n", "pos")
     dealt = dealt.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "fp")
@@ -189,19 +263,25 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
     crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("fp"))
     hubs = crowd.groupBy("h").agg(F.min("fp").alias("a"))
     star = crowd.join(hubs, "h").where("a < fp").select("a", F.col("fp").alias("b"))
-    links = _verified(met.where("h IS NULL").select("a", "b").union(star).distinct(), distinct, texts, shingle, scratch)
+    close = verifier.close(met.where("h IS NULL").select("a", "b").union(star).distinct())
+    # One pair for each set first: of masses of copies, that leaves few of the other pairs to look at.
+    links = verifier.links(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = connected_components(links)
-
+    rest = scratch.save(_apart(close, labels), "rest")
+    if not rest.isEmpty():
+        links = links.union(verifier.links(rest))
+        labels = connected_components(links)
     if not crowd.isEmpty():  # of crowded buckets, what the stars did not bring together
         light = distinct.select("fp", "n", "sketch")
         placed = crowd.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         split = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
         open_ = scratch.save(placed.join(split, "h").join(light, "fp"), "open")
         cross = open_.alias("x").join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _possible("x", "y"))
-        cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-        links = links.union(_verified(cross, distinct, texts, shingle, scratch))
-        labels = connected_components(links)
+        cross = scratch.save(cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "cross")
+        if not cross.isEmpty():
+            links = links.union(verifier.links(cross))
+            labels = connected_components(links)
 
     of = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     roots = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    return made.select(*names, "fp"), scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups")
+    return made.select(*[n for n in names if n != "text_hash"], "fp"), scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups")

@@ -27,8 +27,14 @@ from lumenframe.llm.words import SPACED, Words, lower_ascii, same_bytes, slices,
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Words whose ids a worker remembers, twice over; older ones are forgotten, so the bound changes speed only.
-CACHE_WORDS = 200_000
+#: Bytes of words and ids that a worker remembers, about, twice over; older ones are forgotten, so the bound changes speed only. A
+#: word of over LONG_WORD bytes is not remembered.
+CACHE_BYTES = 16 << 20
+LONG_WORD = 64
+#: What a remembered word takes besides its letters and ids.
+_ENTRY = 180
+#: Text that is encoded in one go.
+PIECE_BYTES = 1 << 20
 #: Characters that the encoder cuts off the ends of words: none of them joins a token with a letter before it.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?*&%$#")] = True
@@ -58,6 +64,7 @@ class Encoder:
             self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(made["model"]["end_of_word_suffix"])]] = True
         self.new: dict[bytes, bytes] = {}  # ids as the bytes of 32-bit numbers
         self.old: dict[bytes, bytes] = {}
+        self.bytes = 0  # of new
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, and the ids of all texts. A null is empty."""
@@ -113,15 +120,15 @@ class Encoder:
 
     def _ids(self, spelled: list[bytes]) -> list[bytes]:
         new, old = self.new, self.old
+        added = [w for w in spelled if w not in new]
         fresh = []
-        for w in spelled:
-            if w not in new:
-                found = old.get(w)
-                if found is None:
-                    fresh.append(w)
-                else:
-                    new[w] = found
-        plain = [w for w in fresh if _LETTERS.fullmatch(w)] if self.ends.any() else []
+        for w in added:
+            found = old.get(w)
+            if found is None:
+                fresh.append(w)
+            else:
+                new[w] = found
+        plain = [w for w in fresh if len(w) <= LONG_WORD and _LETTERS.fullmatch(w)] if self.ends.any() else []
         for i in range(0, len(plain), _JOINED * 50):
             groups = [plain[j : j + _JOINED] for j in range(i, min(i + _JOINED * 50, len(plain)), _JOINED)]
             for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
@@ -131,13 +138,17 @@ class Encoder:
                     raw = ids.tobytes()
                     new.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         rest = [w for w in fresh if w not in new]
-        for i in range(0, len(rest), 5_000):
-            part = rest[i : i + 5_000]
+        for i in range(0, len(rest), 2_000):
+            part = rest[i : i + 2_000]
             for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 new[w] = np.array(found.ids, np.int32).tobytes()
         out = [new[w] for w in spelled]
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del new[w]
+        self.bytes += sum(map(len, added)) * 2 + _ENTRY * len(added)  # ids take about as much as letters
+        if self.bytes > CACHE_BYTES:
+            self.old, self.new, self.bytes = new, {}, 0
         return out
 
 
@@ -157,7 +168,7 @@ def token_count(tokenizer: str, text_col: str = "text") -> Column:
     def count(texts: pa.Array) -> pa.Array:
         tokens = encoder(tokenizer)
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        out = [np.diff(tokens.encode(part.column("text"))[0]) for part in slices(batch, "text", 4 << 20)]
+        out = [np.diff(tokens.encode(part.column("text"))[0]) for part in slices(batch, "text", PIECE_BYTES)]
         trim()
         return pa.array(np.concatenate([np.zeros(0, np.int64), *out]), pa.int64())
 
@@ -168,7 +179,7 @@ def _encode_batches(path: str, end_id: int | None, names: list[str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
+            for part in slices(batch, "__text", PIECE_BYTES):
                 bounds, ids = tokens.encode(part.column("__text"))
                 if end_id is not None:
                     ids = np.insert(ids, bounds[1:], np.int32(end_id))
@@ -223,9 +234,11 @@ def _positions(store: DataFrame) -> DataFrame:
 
 
 def _with_starts(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """start: the number of ids in all documents before. One row per file is summed in one place; the rest file by file."""
+    """start: the number of ids in all documents before. One row per file is summed in one place; the rest file by file. Files stand in
+    the order of their part numbers, which Spark pads to five digits only."""
+    number = F.regexp_extract("__file", r"^part-(\d+)", 1).cast("long")
     files = _positions(store.select("n_tokens")).groupBy("__file").agg(F.sum("n_tokens").alias("__sum"))
-    before = files.select("__file", (F.sum("__sum").over(W.orderBy("__file")) - F.col("__sum")).alias("__before"))
+    before = files.select("__file", (F.sum("__sum").over(W.orderBy(number, "__file")) - F.col("__sum")).alias("__before"))
     inside = F.sum("n_tokens").over(W.partitionBy("__file").orderBy("__row")) - F.col("n_tokens")
     return rows.withColumn("__inside", inside).join(before, "__file").withColumn("start", F.col("__before") + F.col("__inside"))
 
@@ -256,7 +269,8 @@ def _crc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """Per stored document: doc_id, start, n_tokens and the CRC-32 of its ids as little-endian 32-bit numbers, from the files' ids."""
+    """Per stored document: doc_id, start, n_tokens and the CRC-32 of its ids as little-endian 32-bit numbers, from the files' ids.
+    A null id stays null, a document without ids has n_tokens 0; rows that repeat are each there; an empty store gives no rows."""
     store = spark.read.parquet(path)
     rows = _positions(store).select("doc_id", "n_tokens", "tokens", "__file", "__row")
     checked = rows.mapInArrow(_crc_batches, "doc_id long, n_tokens long, __file string, __row long, ids_crc32 long, n_stored long")

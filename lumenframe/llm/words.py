@@ -29,10 +29,10 @@ _LOWER[0x41:0x5B] += 0x20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -45,7 +45,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, (n - 1).bit_length()))
+    """At least n powers. Tables for a block of text are kept; those for a longer word are made for it and forgotten."""
+    size = 1 << max(16, (n - 1).bit_length())
+    return _powers(2 * _BLOCK) if size <= 2 * _BLOCK else _powers.__wrapped__(size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,12 +134,13 @@ def split_words(texts: pa.Array, in_word: np.ndarray, lower: bool = False) -> Wo
 
 def trim() -> None:
     """Give freed memory back to the system: a worker stays when its task is done, and several share an executor's limit."""
+    _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about max_bytes; a longer text is a run of its own, and whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0

@@ -48,10 +48,10 @@ def copies(seed):
     return out
 
 
-@pytest.mark.parametrize("most,sampled", [(48, 10_000), (2, 10_000), (1, 5)])
-def test_groups_match_brute_force(spark, monkeypatch, most, sampled):
+@pytest.mark.parametrize("most,common", [(48, 100_000), (2, 100_000), (1, 5), (2, 0)])
+def test_groups_match_brute_force(spark, monkeypatch, most, common):
     monkeypatch.setattr(near_copies, "MOST_PAIRED", most)
-    monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+    monkeypatch.setattr(near_copies, "MOST_COMMON", common)
     texts = copies(3)
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     fps, groups = near_copies.groups(docs, ["id"])
@@ -71,3 +71,13 @@ def test_stage_removes_a_copy_of_several_bits(spark):
     rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((base, near, far))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_stage_keeps_one_row_of_each_component(spark):
+    """Whole rows that repeat, rows of one id with other contents, and rows without an id."""
+    far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, far[0], "en", "s", 1)] * 3 + [(1, far[1], "en", "s", 1), (2, far[0], "de", "t", 2), (1, far[0], "fr", "s", 1), (None, far[2], None, None, None), (None, far[2], None, None, None), (7, far[2], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for most in (corpus_pipeline.MOST_SENT, 0):
+        got = corpus_pipeline.near_duplicates(spark, docs, "", most_sent=most).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == [(1, far[0]), (1, far[1]), (7, far[2])]
