@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, language_id, mixing, near_copies, token_output
 from lumenframe.llm.frames import Scratch, table
 from lumenframe.llm.queries import encoded, mix_levels, mix_weights, tokenizer_path
 
+#: Rows to leave out whose keys are sent to every task; of more, texts are shuffled once.
+MOST_SENT = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,18 +25,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, most_sent: int = MOST_SENT) -> DataFrame:
     """Near copies, of a Jaccard similarity of 0.8 or more in shingles of 5 words: of each component the document with the smallest
-    id stays, one of its rows if the id repeats."""
-    keep = [F.col(c) for c in COLUMNS]
-    fps, groups = near_copies.groups(docs, [F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row")])
-    # Only rows that carry their component's id can stay: one narrow row for each component, however large.
-    first = fps.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("row", "id")).alias("r"))
-    stays = first.select(F.col("r.id").alias("__id"), F.col("r.row").alias("__row"))
-    rows = docs.select(*keep, F.xxhash64(*COLUMNS).alias("__own"))
-    found = rows.join(stays, rows.doc_id.eqNullSafe(stays["__id"]) & (rows["__own"] == stays["__row"]))
-    once = found.withColumn("__n", F.row_number().over(W.partitionBy("__id", "__row").orderBy("doc_id"))).where("__n = 1")
-    return once.select(*COLUMNS)
+    id stays (a null id counts as larger than any), one of its rows if the id repeats. Texts without words are copies of each other."""
+    own = F.xxhash64(*COLUMNS)
+    fps, groups = near_copies.groups(docs, [F.col("doc_id").alias("id"), own.alias("row")])
+    # The choice is made on narrow rows; only rows that carry their component's id can stay.
+    scratch = Scratch(spark, "near_duplicates")
+    counted = fps.groupBy("fp", "id", "row").agg(F.count("*").alias("n"))
+    placed = counted.join(groups, "fp")
+    first = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("row", "id", "n")).alias("r"))
+    stays = scratch.save(first.select("r.*"), "stays")
+    keys = lambda df: df.select(F.col("id").alias("__id"), F.col("row").alias("__row"))
+    rows = docs.select(*COLUMNS, own.alias("__own"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row"))
+    twins = keys(stays.where("n > 1"))
+    once = rows.join(twins, same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    gone = scratch.save(counted.select("id", "row").join(stays.where("n = 1").select(F.col("id").alias("i"), F.col("row").alias("r")), F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left_anti"), "gone")
+    if gone.limit(most_sent + 1).count() <= most_sent:  # the texts stay where they are
+        whole = rows.join(F.broadcast(keys(gone)), same, "left_anti")
+    else:
+        whole = rows.join(keys(stays.where("n = 1")), same, "left_semi")
+    return whole.select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
