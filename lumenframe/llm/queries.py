@@ -76,8 +76,9 @@ def mix_weights() -> dict[tuple, float]:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(), epochs=4, seed=20, tokens=token_output.token_count(tokenizer_path()), share=0.8)
-    return mixed.where("__epochs > 0").select("doc_id", F.col("__path").alias("leaf"), F.col("__tokens").alias("n_tokens"), F.col("__epochs").alias("epochs"))
+    tokens = token_output.token_count(tokenizer_path())
+    mixed = mixing.Mix(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(), epochs=4, seed=20, tokens=tokens, share=0.8)
+    return mixed.report().where("epochs > 0").select(F.col("id").alias("doc_id"), F.col("path").alias("leaf"), F.col("tokens").alias("n_tokens"), "epochs")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_encoder_equals_the_library():
 
 
 def test_encoder_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(token_output, "CACHE_WORDS", 5)
+    monkeypatch.setattr(token_output, "CACHE_BYTES", 5)
     encoder = token_output.Encoder(queries.tokenizer_path())
     for text in ["one two three four five six", "six seven eight one", "one two nine"] * 3:
         _, ids = encoder.encode(pa.array([text]))
@@ -281,27 +281,72 @@ def test_codewords_are_apart():
 
 # Mixing
 
-def test_share_out():
-    assert mixing.share_out(10, [1, 1], [100, 100]) == [5, 5]
-    assert mixing.share_out(10, [1, 1], [2, 100]) == [2, 8]
-    assert mixing.share_out(10, [3, 1, 0], [4, 2, 100]) == [4, 2, 0]
-    assert mixing.share_out(12, [1, 1, 2], [1, 3, 100]) == [1, 3, 8]
+def share_out(amount, weights, room):
+    given = [0.0] * len(weights)
+    live = [i for i, w in enumerate(weights) if w > 0]
+    while live and amount > 0:
+        whole = sum(weights[i] for i in live)
+        full = [i for i in live if room[i] <= amount * weights[i] / whole]
+        if not full:
+            for i in live:
+                given[i] = amount * weights[i] / whole
+            break
+        for i in full:
+            given[i] = room[i]
+        amount -= sum(room[i] for i in full)
+        live = [i for i in live if i not in full]
+    return given
+
+
+def brute_budgets(tokens, weights, total, epochs):
+    """By recursion from the root: what a node can hold, and what it gets."""
+    depth = len(next(iter(tokens)))
+    weight = lambda p: weights.get(p, 1.0)
+    below = lambda p: sorted({t[: len(p) + 1] for t in tokens if t[: len(p)] == p}, key=repr)
+    room = lambda p: tokens[p] * epochs if len(p) == depth else sum(room(c) for c in below(p) if weight(c) > 0)
+    out = {}
+
+    def go(p, amount):
+        if len(p) == depth:
+            out[p] = int(amount + 1e-6)
+            return
+        for c, part in zip(below(p), share_out(amount, [weight(c) for c in below(p)], [room(c) for c in below(p)])):
+            go(c, part)
+
+    go((), min(total, room(())))
+    return out
+
+
+def spark_budgets(spark, have, weights, total, epochs):
+    depth = len(next(iter(have)))
+    leaves = spark.createDataFrame([(*p, n) for p, n in have.items()], ", ".join(f"l{i} string" for i in range(depth)) + ", n long")
+    return {tuple(r)[:depth]: r.budget for r in mixing.budgets(leaves, weights, total, epochs, depth).collect()}
+
+
+def test_budgets_go_to_siblings_before_ancestors(spark):
+    have = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100, ("b", "y"): 100}
+    assert spark_budgets(spark, have, {}, 120, 1) == {("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 30, ("b", "y"): 30}  # the sibling takes all of the shortage
+    assert spark_budgets(spark, have, {}, 280, 1) == {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 85, ("b", "y"): 85}  # what it cannot take goes up
+    assert sum(spark_budgets(spark, have, {}, 10_000, 2).values()) == 620
+    assert spark_budgets(spark, have, {("a",): 0.0}, 100, 1)[("a", "y")] == 0
+    assert spark_budgets(spark, have, {("a", "x"): 0.0}, 120, 1)[("a", "y")] == 60
 
 
-def test_budgets_go_to_siblings_before_ancestors():
-    have = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100, ("b", "y"): 100}
-    given = mixing.budgets(have, {}, 120, 1)
-    assert given == {("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 30, ("b", "y"): 30}  # the sibling takes all of the shortage
-    given = mixing.budgets(have, {}, 280, 1)
-    assert given == {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 85, ("b", "y"): 85}  # what it cannot take goes up
-    assert sum(mixing.budgets(have, {}, 10_000, 2).values()) == 620
-    assert mixing.budgets(have, {("a",): 0.0}, 100, 1)[("a", "y")] == 0
-    assert mixing.budgets(have, {("a", "x"): 0.0}, 120, 1)[("a", "y")] == 60
+def test_budgets_match_brute_force(spark):
+    r = random.Random(9)
+    for depth in (1, 3):
+        paths = list({tuple(r.choice(["a", "b", "c", None]) for _ in range(depth)) for _ in range(30)})
+        have = {p: r.choice([0, 1, 50, 1000]) for p in paths}
+        weights = {p[:d]: r.choice([0.0, 0.5, 1.0, 7.0]) for p in paths for d in range(1, depth + 1) if r.random() < 0.7}
+        for total in (0, 10, 700, 10**6):
+            got, want = spark_budgets(spark, have, weights, total, 2), brute_budgets(have, weights, total, 2)
+            assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 1 for p in want)
 
 
 def brute_mix(rows, budgets, epochs, order):
-    """rows: (key, leaf, tokens); whole epochs, then the longest prefix in order that fits. Equal keys stay together."""
-    taken = {}
+    """rows: (key, leaf, tokens); whole epochs, then the longest prefix in order that fits, then the next documents that fit what is
+    left below a node. Equal keys stay together."""
+    taken, unused, following = {}, {}, {}
     for leaf, budget in budgets.items():
         own = [r for r in rows if r[1] == leaf]
         total = sum(r[2] for r in own)
@@ -312,36 +357,62 @@ def brute_mix(rows, budgets, epochs, order):
         if left > 0:
             run = 0
             for key in sorted({r[0] for r in own}, key=lambda k: order[k, leaf, whole]):
-                run += sum(r[2] for r in own if r[0] == key)
-                if run > left:
+                size = sum(r[2] for r in own if r[0] == key)
+                if run + size > left:
+                    unused[leaf], following[leaf] = left - run, (size, key)
+                    break
+                run += size
+                taken[key, leaf] += 1
+    depth = len(next(iter(budgets)))
+    left = {leaf: n for leaf, n in unused.items()}
+    for d in range(depth - 1, -1, -1):
+        for node in {leaf[:d] for leaf in unused}:
+            below = [leaf for leaf in unused if leaf[:d] == node]
+            pool = sum(left[leaf] for leaf in below)
+            for leaf in sorted((x for x in below if x in following), key=lambda x: (following[x][0], [(v is not None, v or "") for v in x])):
+                size, key = following[leaf]
+                if size > pool:
                     break
+                pool -= size
                 taken[key, leaf] += 1
+                del following[leaf]
+            for leaf in below:
+                left[leaf] = 0
+            left[below[0]] = pool
     return taken
 
 
-@pytest.mark.parametrize("bucket_rows", [1000, 3])
-def test_mix_matches_brute_force(spark, monkeypatch, bucket_rows):
+@pytest.mark.parametrize("bucket_rows,sent", [(1000, 50_000), (3, 0)])
+def test_mix_matches_brute_force(spark, monkeypatch, bucket_rows, sent):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
     r = random.Random(4)
     pairs = [(i, "w " * r.choice([0, 1, 3, 10, 40])) for i in range(150)] + [(150, None), (151, ""), (7, "w w"), (7, "w w"), (None, "a b c")]
     docs = docs_of(spark, pairs, {k: r.choice(["en", "de", None]) for k in range(len(pairs))})
+    for c in ("rest", "whole", "stop", "buckets", "more", "__row", "h", "n"):
+        docs = docs.withColumn(c, F.lit(1))
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     weights = {("en",): 3.0, ("de",): 1.0, ("en", "src1"): 5.0}
-    mixed = mixing.mix(docs, levels, weights, epochs=3, seed=5, share=1.2)
-    assert mixed.columns == [*docs.columns, "__path", "__tokens", "__epochs"]
-    got = mixed.withColumn("key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))).withColumn("h", F.array(*[F.xxhash64(F.lit(5), F.lit(e).cast("long"), F.col("key")) for e in range(4)])).collect()
-    assert len(got) == len(pairs)
-    leaf = lambda x: (x.lang, x.source)
-    rows = [((x.key.i, x.key.t), leaf(x), len((x.text or "").split())) for x in got]
-    have = Counter()
-    for _, path, n in rows:
-        have[path] += n
-    given = mixing.budgets(dict(have), weights, sum(have.values()) * 1.2, 3)
-    order = {((x.key.i, x.key.t), leaf(x), e): x.h[e] for x in got for e in range(4)}
-    want = brute_mix(rows, given, 3, order)
-    assert {((x.key.i, x.key.t), leaf(x)): x["__epochs"] for x in got} == want
-    repeated = mixing.repeat(mixed, docs.columns)
-    assert repeated.columns == docs.columns and repeated.count() == sum(x["__epochs"] for x in got)
+    for share in (1.2, 0.31):
+        made = mixing.Mix(docs, levels, weights, epochs=3, seed=5, share=share)
+        mixed = made.rows()
+        assert mixed.columns == [*docs.columns, "__path", "__tokens", "__epochs"]
+        got = mixed.withColumn("key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))).withColumn("h", F.array(*[F.xxhash64(F.lit(5), F.lit(e).cast("long"), F.col("key")) for e in range(4)])).collect()
+        assert len(got) == len(pairs)
+        leaf = lambda x: (x.lang, x.source)
+        rows = [((x.key.i, x.key.t), leaf(x), len((x.text or "").split())) for x in got]
+        have = Counter()
+        for _, path, n in rows:
+            have[path] += n
+        given = brute_budgets(dict(have), weights, sum(have.values()) * share, 3)
+        order = {((x.key.i, x.key.t), leaf(x), e): x.h[e] for x in got for e in range(4)}
+        want = brute_mix(rows, given, 3, order)
+        assert {((x.key.i, x.key.t), leaf(x)): x["__epochs"] for x in got} == want
+        took = sum(len((x.text or "").split()) * x["__epochs"] for x in got)
+        assert took <= sum(have.values()) * share
+        assert Counter((x.doc_id, x["__tokens"], x["__epochs"]) for x in got) == Counter((x.id, x.tokens, x.epochs) for x in made.report().collect())
+        repeated = mixing.repeat(mixed, docs.columns)
+        assert repeated.columns == docs.columns and repeated.count() == sum(x["__epochs"] for x in got)
     assert mixing.mix(docs.where("false"), levels, weights).count() == 0
 
 
