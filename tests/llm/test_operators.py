@@ -1,9 +1,11 @@
 """Token output, HTML, PII, language ID, mixing, URL filters and vector search: brute force, round trips, held-out accuracy."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -460,35 +462,51 @@ def test_bloom_filter_holds_its_keys_and_few_others(spark):
 # Vector search
 
 def brute_top(rows, every, k):
-    ok = [(n, i, [int(np.floor(1024 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(n, i, [math.floor(1024 * Fraction(x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for n, i, q in ok:
         if i % every:
             continue
         scores = sorted((-sum(a * b for a, b in zip(q, v)), j, m) for m, j, v in ok if m != n and len(v) == len(q))
-        out += [(i, rank, j, -s) for rank, (s, j, _) in enumerate(scores[:k], 1)]
+        scores = sorted((max(-(2**63) + 1, min(2**63, s)), j, m) for s, j, m in scores)  # scores are longs
+        out += [(i, rank, j, -s if s > -(2**63) else 2**63 - 1) for rank, (s, j, _) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,page,block", [(2048, 64, 8192), (40, 4, 7)])
+@pytest.mark.parametrize("shard,page,block", [(2048, 64, 4096), (40, 4, 7)])
 def test_vector_search_matches_brute_force(spark, monkeypatch, shard, page, block):
     monkeypatch.setattr(vector_search, "SHARD_ROWS", shard)
-    monkeypatch.setattr(vector_search, "PAGE", page)
+    monkeypatch.setattr(vector_search, "PAGE_BYTES", page * 20)
+    monkeypatch.setattr(vector_search, "TASK_QUERIES", block)
     monkeypatch.setattr(vector_search, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(vector_search, "MOST_PIVOTS", 4)
     r = np.random.default_rng(1)
     centers = r.normal(size=(6, 5))
     rows = [(i, (centers[i % 6] + 0.05 * r.normal(size=5)).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[10][1]) for i in range(120)] + [(10, rows[10][1]), (20, [0.0] * 5), (2000, [0.5, 1.0]), (2010, [1.0, 1.0]), (2020, [])]
     rows += [(3000, [9000.0, -16000.5, 12345.6]), (3010, [16000.25, 9000.0, -1.0]), (3020, [16000.25, 9000.0, -1.0])]  # products over 2**53
+    rows += [(3100, [20000.0, 1.0, 2.0]), (3101, [-3e9, 1.5, 2.0]), (3110, [3e38, -1.0, 1e-30]), (3111, [1e-30, -1e-30, 3e30]), (3120, [30000.0] * 5), (3121, [-2e18, 0.0])]
     rows += [(30, None), (40, [1.0, None, 0.0, 0.0, 0.0]), (50, [float("nan")] * 5), (60, [float("inf")] * 5), (None, [1.0] * 5)]
+    rows = [(i, v if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int").repartition(4)
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in vector_search.VectorIndex(frame).top(every=10, k=10).collect())
     assert got == brute_top(rows, 10, 10)
     assert vector_search.VectorIndex(frame.where("false")).top().count() == 0
 
 
+def test_queries_see_few_shards_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "SHARD_ROWS", 100)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(30, 8))[np.repeat(np.arange(30), 60)] * 3 + 0.02 * r.normal(size=(1800, 8))
+    index = vector_search.VectorIndex(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    shards, seen = index.pages.select("shard").distinct().count(), []
+    monkeypatch.setattr(index.scratch, "save", lambda df, name, save=index.scratch.save: seen.append(out.count()) or out if (out := save(df, name)) is not None and name == "dealt" else out)
+    assert index.top(every=10).count() == 1800
+    assert shards > 20 and seen[0] == 180 and seen[1] < 0.3 * 180 * shards
+
+
 def test_search_passes_over_what_it_can(monkeypatch):
-    monkeypatch.setattr(vector_search, "PAGE", 64)
+    monkeypatch.setattr(vector_search, "PAGE_BYTES", 64 * 32)
     monkeypatch.setattr(vector_search, "FANOUT", 16)
     r = np.random.default_rng(2)
     x = np.floor(1024 * (r.normal(size=(40, 8))[np.repeat(np.arange(40), 50)] + 0.01 * r.normal(size=(2000, 8)))).astype(np.int64)
