@@ -7,7 +7,9 @@ Equal windows have equal minimisers, so all their occurrences meet in one bucket
 Before that, each task keeps one of its equal super-k-mers, the earliest, and marks the windows of the others itself: a group of
 copies sends a bucket at most one string per task, however large the group is. And a first pass over the minimisers alone, eight
 bytes for a super-k-mer, finds those that occur once: no window there can repeat, and its string stays at home. What is known of the
-others fits a bitmap of bounded size; where it is too small for the corpus, strings travel in vain, and the result is the same.
+others fits a bitmap of bounded size; where it is too small for the corpus, strings travel in vain, and the result is the same. It
+also finds minimisers that a bucket's task would choke on: these come last in the order of runs, for all windows alike, so that their
+windows are spread by the next least run (and by their own hash, where a window has no other).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,29 +34,44 @@ FILTER_BYTES = 16 << 20
 SCOPE_BYTES = 8 << 20
 #: Text that is looked at in one go.
 PIECE_BYTES = 1 << 20
+#: A minimiser that fills over a fourth of its part, with at least so many super-k-mers, is hot: its windows go by their next minimiser.
+HOT_LEAST = 1_000
 #: Packed text that a bucket task takes at a time; a minimiser's strings stay together.
 CHUNK_BYTES = 1 << 20
 
+_LAST = np.uint64(2**64 - 1)
 _KMER = "part int, mini long, words binary, id long, hash long, at int, run int"
 
 
-def minimisers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the word it starts with and its minimiser; the hashes of the runs that start at each word."""
+def minimisers(words: Words, window: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the word it starts with, its minimiser, and whether hot runs had a say in that; the hashes of the runs that start
+    at each word. hot: runs that come after all others in the order; windows of nothing else have their own hash as minimiser."""
     run = min(RUN, window)
     at = windows(words, run)
-    runs = np.full(len(words.start), np.uint64(2**64 - 1))
+    runs = np.full(len(words.start), _LAST)
     if len(at):
         runs[at] = words.hashes(at, at + run - 1)
-    wide, least = 1, runs
-    span = window - run + 1
-    while wide * 2 <= span:
-        least = np.minimum(least[: len(least) - wide], least[wide:]) if len(least) > wide else least[:0]
-        wide *= 2
-    if wide < span:
-        gap = span - wide
-        least = np.minimum(least[: len(least) - gap], least[gap:]) if len(least) > gap else least[:0]
+
+    def least(values: np.ndarray) -> np.ndarray:
+        wide, span = 1, window - run + 1
+        while wide * 2 <= span:
+            values = np.minimum(values[: len(values) - wide], values[wide:]) if len(values) > wide else values[:0]
+            wide *= 2
+        if wide < span:
+            gap = span - wide
+            values = np.minimum(values[: len(values) - gap], values[gap:]) if len(values) > gap else values[:0]
+        return values
+
     at = windows(words, window)
-    return at, least[at], runs
+    mini = least(runs)[at]
+    moved = np.zeros(len(at), bool)
+    if hot is not None and len(hot) and len(at):
+        moved = np.isin(mini, hot)
+        if moved.any():
+            mini = least(np.where(np.isin(runs, hot), _LAST, runs))[at]
+            alone = np.flatnonzero(moved & (mini == _LAST))
+            mini[alone] = words.hashes(at[alone], at[alone] + window - 1)
+    return at, mini, moved, runs
 
 
 def _runs(at: np.ndarray, mini: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +87,7 @@ class Repeated:
     """A bitmap of the minimisers that occur more than once, a slice of it for each part; it may hold others as well."""
 
     bits: np.ndarray  # parts x bytes
+    hot: np.ndarray  # hot minimisers
 
     def holds(self, mini: np.ndarray) -> np.ndarray:
         part, place = _place(mini, *self.bits.shape)
@@ -84,7 +103,7 @@ def _place(mini: np.ndarray, parts: int, size: int) -> tuple[np.ndarray, np.ndar
 def _occurrences(words: Words, window: int) -> list[np.ndarray]:
     """The minimiser of each super-k-mer, and once more of those whose minimal run stands in them twice: they may repeat a window
     of their own."""
-    at, mini, runs = minimisers(words, window)
+    at, mini, _, runs = minimisers(words, window)
     if not len(at):
         return []
     first, last = _runs(at, mini)
@@ -96,7 +115,8 @@ def _occurrences(words: Words, window: int) -> list[np.ndarray]:
 
 
 def _mini_batches(window: int, parts: int):
-    """To rows (part, minis): the minimisers of all super-k-mers, once or twice each for a piece of text that holds them more often."""
+    """To rows (part, minis, counts): the minimisers of all super-k-mers of a batch; counts has the numbers of the first of them, those
+    that stand there more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,45 +124,58 @@ def _mini_batches(window: int, parts: int):
             for piece in slices(batch, "__text", PIECE_BYTES):
                 found += _occurrences(split_words(piece.column("__text"), SPACED), window)
             values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-            values = np.concatenate([values, values[counts > 1]])
             if not len(values):
                 continue
             part, _ = _place(values, parts, 1)
-            order = np.argsort(part, kind="stable")
-            values, part = values[order], part[order]
+            order = np.lexsort((counts == 1, part))
+            values, counts, part = values[order], counts[order].astype(np.int32), part[order]
             cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-            packs = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary())], names=["part", "minis"])
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            more = [counts[a:b][counts[a:b] > 1].tobytes() for a, b in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([values[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(more, pa.binary())], names=["part", "minis", "counts"])
         trim()
 
     return run
 
 
 def _bitmap_batches(parts: int, size: int):
-    """Of all minimisers of a part: the slice of the bitmap with those that come twice."""
+    """Of all minimisers of a part: the slice of the bitmap with those that come twice, and the hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            for part, minis in zip(batch.column("part").to_pylist(), batch.column("minis").to_pylist(), strict=True):
-                held.setdefault(part, []).append(minis)
+            for part, minis, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "minis", "counts")), strict=True):
+                held.setdefault(part, []).append((minis, counts))
         for part, packs in held.items():
-            values = np.sort(np.frombuffer(b"".join(packs), np.uint64))
-            _, place = _place(values[1:][values[1:] == values[:-1]], parts, size)
+            values = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in packs])
+            counts = np.ones(len(values), np.int64)
+            at = 0
+            for minis, more in packs:
+                counts[at : at + len(more) // 4] = np.frombuffer(more, np.int32)
+                at += len(minis) // 8
+            order = np.argsort(values)
+            values, counts = values[order], counts[order]
+            first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            values, counts = values[first], np.add.reduceat(counts, first)
+            _, place = _place(values[counts > 1], parts, size)
             bits = np.zeros(8 * size, bool)
             bits[place] = True
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+            hot = values[(counts >= HOT_LEAST) & (4 * counts > counts.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary())], names=["part", "bits", "hot"])
+        trim()
 
     return run
 
 
 def repeated_minimisers(rows: DataFrame, window: int, parts: int) -> Repeated:
+    """The driver gets the bitmap, FILTER_BYTES in all, and fewer than four hot minimisers of each part."""
     size = max(64, FILTER_BYTES // parts)
-    dealt = rows.select("__text").mapInArrow(_mini_batches(window, parts), "part int, minis binary").repartitionById(parts, "part")
-    bits = np.zeros((parts, size), np.uint8)
-    for r in dealt.mapInArrow(_bitmap_batches(parts, size), "part int, bits binary").toLocalIterator():
+    dealt = rows.select("__text").mapInArrow(_mini_batches(window, parts), "part int, minis binary, counts binary").repartitionById(parts, "part")
+    bits, hot = np.zeros((parts, size), np.uint8), [b""]
+    for r in dealt.mapInArrow(_bitmap_batches(parts, size), "part int, bits binary, hot binary").toLocalIterator():
         bits[r.part] = np.frombuffer(r.bits, np.uint8)
-    return Repeated(bits)
+        hot.append(bytes(r.hot))
+    return Repeated(bits, np.sort(np.frombuffer(b"".join(hot), np.uint64)))
 
 
 class _Scope:
@@ -150,14 +183,16 @@ class _Scope:
 
     def __init__(self, window: int, repeated: Repeated):
         self.window, self.repeated, self.kept, self.marked, self.bytes = window, repeated, {}, {}, 0
+        self.more: dict[tuple[bytes, int], tuple] = {}  # by words and text: other texts of the same id, at the same place
 
     def add(self, ids: list, hashes: list, words: Words) -> None:
-        at, mini, _ = minimisers(words, self.window)
+        at, mini, moved, _ = minimisers(words, self.window, self.repeated.hot)
         self.bytes += len(words.buf)
         if not len(at):
             return
         first, last = _runs(at, mini)
-        again = self.repeated.holds(mini[first])
+        # Of minimisers that took a hot one's place nothing is known: their windows may repeat.
+        again = self.repeated.holds(mini[first]) | np.logical_or.reduceat(moved, first)
         first, last = first[again], last[again]
         buf = words.buf.tobytes()
         doc = words.doc_of()[at[first]].tolist()
@@ -178,7 +213,7 @@ class _Scope:
                 kept[key] = here
                 self.mark(held)
             elif held[2] != here[2]:  # another text of the same id: it shares the place, and needs its own answer
-                kept.setdefault(key + b" " * (len(kept) + 1), here)
+                self.more.setdefault((key, here[2]), here)
 
     def mark(self, kmer: tuple) -> None:
         runs = self.marked.setdefault((kmer[0], kmer[2]), [])
@@ -188,12 +223,13 @@ class _Scope:
             runs.append([kmer[1], kmer[3]])
 
 
-def _kmer_batches(window: int, parts: int, repeated: Repeated):
+def _kmer_batches(window: int, parts: int, sent: Broadcast):
     """To super-k-mers, each with its part; the marked runs of windows among them have no words."""
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def flush(scope: _Scope) -> Iterator[pa.RecordBatch]:
-        rows = [(v[4], k.rstrip(b" "), v[0], v[2], v[1], v[3]) for k, v in scope.kept.items()]
+        rows = [(v[4], k, v[0], v[2], v[1], v[3]) for k, v in scope.kept.items()]
+        rows += [(v[4], k, v[0], v[2], v[1], v[3]) for (k, _), v in scope.more.items()]
         # A marked run goes wherever its document's hash leads: it only passes through.
         rows += [(int(h), None, i, h, p, n) for (i, h), runs in scope.marked.items() for p, n in runs]
         if rows:
@@ -202,6 +238,7 @@ def _kmer_batches(window: int, parts: int, repeated: Repeated):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *columns], names=["part", "mini", "words", "id", "hash", "at", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = sent.value
         scope = _Scope(window, repeated)
         for batch in batches:
             for piece in slices(batch, "__text", PIECE_BYTES):
@@ -294,7 +331,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__text"))
-    kmers = rows.mapInArrow(_kmer_batches(window, parts, repeated_minimisers(rows, window, parts)), _KMER).repartitionById(parts, "part")
+    repeated = spark.sparkContext.broadcast(repeated_minimisers(rows, window, parts))
+    kmers = rows.mapInArrow(_kmer_batches(window, parts, repeated), _KMER).repartitionById(parts, "part")
     return kmers.sortWithinPartitions("mini", "words", "id", "at").mapInArrow(_bucket_batches(window), "__id long, __hash long, at int, run int")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, simhash, substring_dedup
 from lumenframe.llm.components import connected_components
-from lumenframe.llm.words import ALNUM, split_words
+from lumenframe.llm.frames import NO_ID
+from lumenframe.llm.words import ALNUM, SPACED, split_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, at int, fp string, items string"
 
@@ -59,13 +60,38 @@ def brute_repeats(docs, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,window", [(1, 20), (2, 20), (3, 7)])
-def test_repeats_match_brute_force(spark, seed, window):
+@pytest.mark.parametrize("seed,window,hot", [(1, 20, 1000), (2, 20, 1), (3, 7, 1)])
+def test_repeats_match_brute_force(spark, monkeypatch, seed, window, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
     docs = some_docs(seed)
     got = substring_dedup.remove_repeats(rows(spark, docs), window=window).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == brute_repeats(docs, window)
 
 
+def test_hot_minimisers_come_last():
+    words = split_words(pa.array([t for _, t in some_docs(2)]), SPACED)
+    at, mini, moved, runs = substring_dedup.minimisers(words, 20)
+    assert not moved.any()
+    values, counts = np.unique(mini, return_counts=True)
+    hot = np.sort(values[counts > 5])
+    at2, mini2, moved2, _ = substring_dedup.minimisers(words, 20, hot)
+    assert (at2 == at).all() and (moved2 == np.isin(mini, hot)).all() and (mini2 == mini)[~moved2].all() and moved2.any()
+    of = {}
+    for a, m in zip(at2.tolist(), mini2.tolist()):
+        text = words.buf[words.start[a] : words.end[a + 19]].tobytes()
+        assert of.setdefault(text, m) == m and m not in set(hot.tolist())
+
+
+def test_repeats_of_many_texts_without_an_id():
+    """One first line under 4,000 texts of one (null) id: memory is linear in the text."""
+    line = " ".join(f"l{i}" for i in range(200))
+    texts = [f"{line} {i} x y z" for i in range(4000)]
+    scope = substring_dedup._Scope(20, substring_dedup.Repeated(np.full((1, 64), 255, np.uint8), np.zeros(0, np.uint64)))
+    scope.add([NO_ID] * 4000, list(range(4000)), split_words(pa.array(texts), SPACED))
+    size = sum(len(k) for k in scope.kept) + sum(len(k) for k, _ in scope.more)
+    assert size < 20 * sum(map(len, texts)) and len(scope.more) >= 3999
+
+
 def test_repeats_tell_equal_hashes_apart(spark, monkeypatch):
     """Windows are told apart by their words: with a hash that is the same for all, the result is the same."""
     import numpy as np
