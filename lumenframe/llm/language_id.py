@@ -2,8 +2,8 @@
 
 Each language has a codeword. For each of its bits a binary classifier weighs hashed byte n-grams: the log odds of a gram in the
 languages whose bit is 1 against the others. A text's codeword bits are the signs of its mean weights, and the languages are ranked
-by the loss of their codewords, each bit weighted by how sure it was on the training texts. The nearest codeword wins; a
-text whose second codeword is about as near is flagged as ambiguous.
+by the loss of their codewords, each bit weighted by how sure it was on labelled texts that the counts have not seen. The nearest
+codeword wins; a text whose second codeword is about as near is flagged as ambiguous.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from lumenframe.llm.words import mix, slices, text_buffer, trim
 #: Hashed grams, and the lengths of grams in bytes.
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
-#: Labelled rows that training reads at most, about (rows are chosen by a hash of their text). Prediction covers every row.
+#: Labelled rows that training reads at most, about (rows are chosen by a hash of id and text). Prediction covers every row.
 MOST_LABELLED = 60_000
-#: Training rows on which the bits' scale and certainty are measured, about.
-CALIBRATION_ROWS = 4_000
+#: On one in so many of these, chosen by their text, the bits' scale and certainty are measured, with the counts of the others.
+CALIBRATION_SHARE = 5
 #: Length of the codewords of over seven languages.
 LONG_CODE = 31
 _STEP = 1 << 18
@@ -113,56 +113,76 @@ class Model:
 
 
 def _count_batches():
+    """To gram counts by language, apart for the rows that the calibration takes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
-            labels = np.array(batch.column("lang").to_pylist(), object)
-            for lang in set(labels):
-                chosen = batch.column("__text").filter(pa.array(labels == lang))
+            labels = list(zip(batch.column("lang").to_pylist(), batch.column("apart").to_pylist(), strict=True))
+            for label in set(labels):
+                chosen = batch.column("__text").filter(pa.array([x == label for x in labels]))
                 for part in slices(pa.RecordBatch.from_arrays([chosen], names=["t"]), "t"):
                     buf, bounds = prepared(part.column("t"))
                     for size in GRAMS:
                         x = gram_buckets(buf, size)[_useful(buf, size, bounds[1:])]
-                        totals[lang] = totals.get(lang, 0) + np.bincount(x, minlength=BUCKETS)
-        for lang, n in totals.items():
+                        totals[label] = totals.get(label, 0) + np.bincount(x, minlength=BUCKETS)
+        for (lang, apart), n in totals.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([apart] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "apart", "bucket", "n"])
+        trim()
 
     return run
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
-    """Learn from rows with a label and a text. The driver gets one count per gram bucket and language, and two sums per bit."""
-    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("__text")).where("lang is not null and __text is not null")
-    n = rows.count()
-    if n > most:
-        share = int(most / n * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64("__text"), F.lit(1_000_000)) < share)
-    counted = rows.mapInArrow(_count_batches(), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+def _weights(grams: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log odds of each gram bucket for each bit: its mean share in the languages whose bit is 1, against the others."""
+    share = (grams + 0.5) / (grams + 0.5).sum(1, keepdims=True)
+    out = np.zeros((BUCKETS, code.shape[1]), np.float32)
+    for b in range(code.shape[1]):
+        plus, minus = share[code[:, b] > 0], share[code[:, b] < 0]
+        if len(plus) and len(minus):
+            out[:, b] = np.log(plus.mean(0)) - np.log(minus.mean(0))
+    return out
+
+
+def _below(chance: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among that share of all, in steps of one hash."""
+    return chance < F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
+
+
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str | None = "doc_id", most: int = MOST_LABELLED) -> Model:
+    """Learn from rows with a label and a text. The driver gets one count per gram bucket and language, and two sums per bit.
+
+    Nulls are left out; an empty table, or one without labels, gives a model without languages, under which every text is unknown. Of
+    more than `most` labelled rows a share is drawn by a hash of id and text, so copies with ids of their own are drawn one by one.
+    Copies of one text are all measured on, or none.
+    """
+    label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    chance = F.xxhash64(F.lit("sample"), *([F.col(f"`{id_col}`")] if id_col else []), text)
+    known = labelled.where(label.isNotNull())
+    n = known.count()
+    rows = known.where(_below(chance, most / n)) if n > most else known
+    rows = rows.select(label.alias("lang"), text.alias("__text")).where("__text is not null")
+    rows = rows.withColumn("apart", F.pmod(F.xxhash64(F.lit("calibration"), F.col("__text")), F.lit(CALIBRATION_SHARE)) == 0)
+    counted = rows.mapInArrow(_count_batches(), "lang string, apart boolean, bucket long, n long").groupBy("lang", "apart", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counted.lang.unique()))
-    grams = np.full((len(languages), BUCKETS), 0.5)
+    grams = np.zeros((2, len(languages), BUCKETS))
     for i, lang in enumerate(languages):
-        own = counted[counted.lang == lang]
-        grams[i, own.bucket.to_numpy()] += own.n.to_numpy()
-    share_of = grams / grams.sum(1, keepdims=True)
+        for apart in (False, True):
+            own = counted[(counted.lang == lang) & (counted.apart == apart)]
+            grams[int(apart), i, own.bucket.to_numpy()] += own.n.to_numpy()
     code = codewords(len(languages))
-    weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        plus, minus = share_of[code[:, b] > 0], share_of[code[:, b] < 0]
-        if len(plus) and len(minus):
-            weights[:, b] = np.log(plus.mean(0)) - np.log(minus.mean(0))
     bits = code.shape[1]
-    plain = Model(languages, code, weights, np.ones(bits), np.ones(bits))
+    weights = _weights(grams.sum(0), code)
     if len(languages) < 2:
-        return plain
-    every = max(1, min(n, most) // CALIBRATION_ROWS)
-    some = rows.where(F.pmod(F.xxhash64(F.lit("calibration"), F.col("__text")), F.lit(every)) == 0)
-    sums = some.mapInArrow(_calibrate_batches(plain), "bit int, size double, hits double, n long").groupBy("bit").agg(*[F.sum(c).alias(c) for c in ("size", "hits", "n")]).collect()
-    size, hits = np.ones(bits), np.full(bits, 0.9)
+        return Model(languages, code, weights, np.ones(bits), np.ones(bits) / bits)
+    blind = Model(languages, code, _weights(grams[0], code), np.ones(bits), np.ones(bits) / bits)
+    sums = rows.where("apart").mapInArrow(_calibrate_batches(blind), "bit int, size double, hits double, n long").groupBy("bit").agg(*[F.sum(c).alias(c) for c in ("size", "hits", "n")]).collect()
+    size, hits = np.ones(bits), np.full(bits, 0.5)
     for r in sums:
-        size[r.bit], hits[r.bit] = r["size"] / max(r.n, 1), r.hits / max(r.n, 1)
-    hits = np.clip(hits, 0.5, 0.999)
-    trust = np.log(hits / (1 - hits)) + 1e-3
+        size[r.bit] = r["size"] / max(r.n, 1)
+        hits[r.bit] = (r.hits + 1) / (r.n + 2)
+    trust = np.log(np.maximum(hits, 0.51) / (1 - np.maximum(hits, 0.51)))  # a bit that is right half the time says nothing
     return Model(languages, code, weights, np.maximum(size, 1e-6) / 4, trust / trust.sum())
 
 
@@ -175,7 +195,7 @@ def _calibrate_batches(model: Model):
         for batch in batches:
             for part in slices(batch, "__text"):
                 m = model.margins(part.column("__text"))
-                sign = model.code[[model.languages.index(x) for x in part.column("lang").to_pylist()]]
+                sign = model.code[[model.languages.index(x) for x in part.column("lang").to_pylist()]].reshape(len(m), bits)
                 size += np.abs(m).sum(0)
                 hits += (m * sign > 0).sum(0)
                 n += len(m)
@@ -235,8 +255,9 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: the id, held_out (its fold is 1; the model learns from the others), lang_pred, score and ambiguous."""
-    model = fit(docs.where(fold(id_col) != 1), lang_col, text_col)
+    """Per row: the id, held_out (its fold is 1; the model learns from the others), lang_pred, score and ambiguous. Nulls, empty and
+    very long texts, empty tables: as in fit() and predict(); rows that repeat are each answered; other columns are not looked at."""
+    model = fit(docs.where(fold(id_col) != 1), lang_col, text_col, id_col)
     keep = [F.col(f"`{id_col}`").alias("__k0"), (fold(id_col) == 1).alias("__k1")]
     out = predict(docs, model, keep, text_col)
     return out.withColumnsRenamed({"__k0": id_col, "__k1": "held_out"})

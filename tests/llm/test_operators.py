@@ -281,6 +281,58 @@ def test_codewords_are_apart():
         assert len({tuple(c) for c in code}) == n and min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= code.shape[1] // 4
 
 
+def brute_margins(model, text):
+    """Mean weight of the grams of a text with the space after it, gram by gram."""
+    buf = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in (text.lower() + " ").encode())
+    found = []
+    for size in language_id.GRAMS:
+        for i in range(len(buf) - size + 1):
+            if buf[i : i + 2] != b"  ":
+                found.append(int(language_id.gram_buckets(np.frombuffer(buf[i : i + size], np.uint8), size)[0]))
+    return np.mean([model.weights[b].astype(float) for b in found], 0) if found else np.zeros(model.weights.shape[1])
+
+
+def test_language_id_matches_brute_force(spark):
+    r = random.Random(12)
+    words = {"en": ["the", "and", "house", "with"], "de": ["der", "und", "haus", "größe"], "xx": ["zzz", "qqq", "zq"]}
+    pairs = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 30))), lang) for i, lang in enumerate(list(words) * 40)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ("de", "en", "xx") and abs(model.trust.sum() - 1) < 1e-9 and (model.trust > 0).all()
+    texts = [t for _, t, _ in pairs[:20]] + ["the und the und", "der with zzz", "a", "Ö  ! ö", "12", "", None]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in language_id.predict(asked, model, [F.col("doc_id")]).collect():
+        text = texts[x.doc_id]
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (x.lang_pred, x.score, x.ambiguous) == ("und", 0.0, True)
+            continue
+        z = brute_margins(model, text) / model.scale
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-z[b] * model.code[k, b])) for b in range(len(z))) for k in range(3)]
+        best = int(np.argmin(loss))
+        assert x.lang_pred == model.languages[best] and x.ambiguous == (sorted(loss)[1] - loss[best] < language_id.SURE)
+        assert abs(x.score - 1 / sum(np.exp(language_id.SHARPNESS * (loss[best] - v)) for v in loss)) < 1e-6
+
+
+def test_loss_weights_follow_the_bits_that_err(spark):
+    """Two languages that share all their words: bits that part them are right half the time, and weigh less than the others."""
+    r = random.Random(2)
+    same = ["alpha", "beta", "gamma", "delta"]
+    pairs = [(i, " ".join(r.choice(same if k < 2 else ["other", "words"]) for _ in range(8)), ["aa", "bb", "cc"][k]) for i, k in enumerate([0, 1, 2] * 200)]
+    model = language_id.fit(spark.createDataFrame(pairs, "doc_id long, text string, lang string"))
+    apart = model.code[0] != model.code[1]
+    both = ~apart & (model.code[0] != model.code[2])
+    assert model.trust[both].min() > 2 * model.trust[apart].max()
+
+
+def test_samples_of_labelled_rows_never_end(spark):
+    """A share of a millionth still draws rows, and copies of one text are drawn one by one."""
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"))
+    chance = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    for share, least, most in ((0.5, 49_000, 51_000), (0.01, 800, 1200), (1.0, 99_999, 100_000)):
+        assert least <= rows.where(language_id._below(chance, share)).count() <= most
+    assert rows.select(language_id._below(F.lit(-(2**63)).cast("long"), 60_000 / 6e13).alias("x")).first().x
+
+
 # Mixing
 
 def share_out(amount, weights, room):
