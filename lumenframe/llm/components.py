@@ -27,17 +27,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label, the least node reachable from it, for every node of an edge. Self-edges and repeats are harmless.
 
     Each round is written to the shared folder, so a lost executor costs a round's tasks, not the rounds before. The edges never
-    grow beyond the input's; rounds grow with the logarithm of the longest chain. Raises if most_rounds do not suffice.
+    grow beyond the input's; rounds grow with the logarithm of the longest chain, and end when a round changes nothing. An empty table gives no rows.
     """
     scratch = Scratch(edges.sparkSession, "components")
     one = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
     now = scratch.save(one, "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         after = scratch.save(_small_star(_large_star(now)), "round")
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now)
@@ -46,4 +46,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
             ends = now.select(F.col("b").alias("node"), F.col("a").alias("label"))
             return ends.union(now.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
         seen = tuple(sums)
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -275,9 +275,13 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
         light = distinct.select("fp", "n", "sketch")
         placed = crowd.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         split = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-        open_ = scratch.save(placed.join(split, "h").join(light, "fp"), "open")
-        cross = open_.alias("x").join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _possible("x", "y"))
-        cross = scratch.save(cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "cross")
+        # Each set brings the crowded shingles that it stands under, so that two sets are a pair under the first that they share only.
+        open_ = placed.join(split, "h")
+        under = open_.groupBy("fp").agg(F.array_sort(F.collect_list("h")).alias("every"))
+        open_ = scratch.save(open_.join(under, "fp").join(light, "fp"), "open")
+        first = F.col("x.h") == F.array_min(F.array_intersect("x.every", "y.every"))
+        cross = open_.alias("x").join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _possible("x", "y") & first)
+        cross = scratch.save(cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")), "cross")
         if not cross.isEmpty():
             links = links.union(verifier.links(cross))
             labels = connected_components(links)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,9 +23,8 @@ from lumenframe.llm.words import slices, trim
 
 #: Entities that had to draw again: up to so many go to every task; beyond, they are joined to the documents that need them.
 MOST_SENT = 50_000
-#: After so many draws a surrogate may be longer than its entity, as its form may have no free values left.
+#: After so many draws a surrogate may be longer than its entity, as its form may have no free values left: draws come to an end.
 DRAWS_IN_FORM = 8
-MOST_ROUNDS = 64
 
 # Titles, with the gender of the person they name.
 TITLES = {
@@ -39,30 +39,82 @@ SYLLABLES = {
     "greek": (["βα", "δε", "κι", "λο", "μα", "νε", "πι", "ρο", "σα", "τε", "φι", "χο"], {"m": ["ς", "ος", "ης", "ας"], "f": ["α", "η", "ια", "ινα"], "x": ["ου", "ω", "ι", "ε"]}),
 }
 
+# Given names that are people's without a title, with their gender.
+GIVEN = {
+    "m": "Alexander Andreas Andrew Anthony Antonio Benjamin Carlos Charles Christian Christopher Daniel David Edward Fernando François Frank George Hans Henry Jacques James Javier Jean Johannes John José Joseph Juan Jürgen Kenneth Klaus Louis Luis Manuel Mark Markus Martin Matthew Michael Michel Miguel Nicolas Patrick Paul Pedro Peter Philippe Pierre Richard Robert Ronald Stefan Stephen Steven Thomas Timothy Walter William Wolfgang",
+    "f": "Alice Amanda Ana Andrea Angela Anna Anne Barbara Birgit Brigitte Carmen Catherine Charlotte Christine Claudia Cristina Deborah Dorothy Elena Elizabeth Emily Emma Gabriele Helen Isabel Isabelle Jennifer Jessica Julia Karen Katharina Laura Linda Lisa Lucía Maria María Margaret Marie Martina Mary Monika Nancy Nathalie Olivia Patricia Petra Rebecca Renate Ruth Sabine Sandra Sarah Sophie Stephanie Susan Susanne Teresa Ursula",
+}
+_GENDER = {name: gender for gender, names in GIVEN.items() for name in names.split()}
+
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
 _PATTERNS = [
     ("email", re.compile(r"(?<![\w.+-])[\w+][\w.+-]*@[^\W_][\w-]*(?:\.[\w-]*[^\W_])+")),
-    ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)\s*[=:]\s*[\"']?([^\s\"']{6,})")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END (?:[A-Z]+ )*PRIVATE KEY-----")),
+    ("secret", re.compile(r"(?<![\w-])(eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+)")),
+    ("secret", re.compile(r"\bBearer +([\w.~+/-]{16,}=*)")),
+    ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)(\s*[=:]\s*)[\"']?([^\s\"']{6,})")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?<![\w-])((?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza)[\w-]{16,})(?![\w-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")),
-    ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")),
+    ("ipv6", re.compile(rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:|::(?:{_HEX}:){{1,6}}{_HEX})(?![\w:]|\.\d)")),
+    ("card", re.compile(r"(?<![\w.-])(?:[2-6]\d{12,18}|[2-6]\d{3}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -])\d{6}\2\d{5})(?![\w-]|[. ]\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{8,15}(?!\w)")),
-]
-#: What a text must hold for each pattern to be worth a search: one of these, and two digits next to each other for most.
-_MARKS = [("@",), ("=", ":"), ("AKIA",), ("",), (".",), ("",), ("-",), ("",)]
-_WITHOUT_DIGITS = ("email", "secret", "ip")
+    ("phone", re.compile(
+        r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}"  # with a country code
+        r"|\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}"  # with an area code in brackets
+        r"|\d{3}([.-])\d{3}\1\d{4}"
+        r"|0\d{1,4}(?:[ ./-]\d{2,8}){1,4})(?![\w-]|\.\d)"  # with a trunk zero
+    )),
+    ("address", re.compile(
+        rf"(?<![\w.,])\d{{1,5}}[a-z]? (?:{_CAPITAL} ){{1,3}}(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Lane|Drive|Boulevard|Blvd\.|Court|Square|Terrace)(?!\w)"
+        rf"|(?<!\w)[A-ZÄÖÜ][\wäöüß-]+(?:straße|strasse|str\.|gasse|allee|platz) \d{{1,4}}[a-z]?(?!\w)"
+        rf"|(?<![\w.,])\d{{1,4}},? (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la|le|les|l'|d') ?)*{_CAPITAL}(?: {_CAPITAL})?"
+        rf"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza) (?:(?:de|del|la|las|los) )*{_CAPITAL}(?: {_CAPITAL})?,? \d{{1,4}}(?!\w)"
+    )),
+]
+#: What a text must hold for each pattern to be worth a search: one of these.
+_MARKS = [("@",), ("PRIVATE KEY",), ("eyJ",), ("Bearer",), ("=", ":"), ("AKIA", "ASIA"), ("_", "-", "AIza"), ("",), (".",), (":",), ("",), ("-",), ("",), ("",)]
+# Words and endings of street names.
+_STREETS = set("Street St Avenue Ave Road Rd Lane Drive Boulevard Blvd Court Square Terrace Calle Avenida Plaza".split())
+_STREET_WORD = re.compile(r"(\d+|[A-ZÀ-ÖØ-Þ][\w'’-]*?)(straße|strasse|str|gasse|allee|platz)?(?![\w'’-])")
+_WITHOUT_DIGITS = ("email", "secret", "ip", "ipv6", "address")
 _TWO_DIGITS = re.compile(r"\d\d")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))}) ({_NAME}(?: {_NAME}){{0,2}})")
-_DIGIT = re.compile(r"[\d@=:]")
+_NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})(?: [A-Z]\.)?(?: {_NAME}){{1,2}}")
+_SOME = re.compile(r"[\d@=:]|PRIVATE KEY|eyJ|Bearer")
+_DATE = re.compile(r"(?:(?:1[6-9]|2\d)\d\d[-./](?:0?[1-9]|1[0-2])[-./](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-./](?:0?[1-9]|[12]\d|3[01])[-./](?:(?:1[6-9]|2\d)\d\d|\d\d))(?!\d)")
+_VERSION = re.compile(r"(?i:\b(?:version|release|rev|build)|\bv)\.?[ :]*$")
 
 
 def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+def _secret_like(assigned: str, value: str) -> bool:
+    """Whether what follows a word like token is a value, and not the next word of a sentence."""
+    return "=" in assigned or any(c.isdigit() for c in value) or not value.rstrip(".,;:!?)").isalpha()
+
+
+def _accepted(kind: str, m: re.Match, value: str, digits: str) -> bool:
+    if kind == "secret" and m.re.groups == 2:
+        return _secret_like(m[1], value)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and _luhn(digits)
+    if kind == "phone":
+        return 8 <= len(digits) <= 15 and not _DATE.match(value.lstrip("(")) and (value[0] in "+(" or len(digits) >= 9)
+    if kind == "iban":
+        return _iban_ok(value)
+    if kind == "ip":
+        return not _VERSION.search(m.string, max(0, m.start() - 12), m.start())
+    if kind == "ipv6":
+        return len(digits) + sum(c in "abcdefABCDEF" for c in value) >= 4
+    return True
+
+
 def _luhn(number: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(number)):
@@ -87,26 +139,35 @@ def _words_of(at: int, rank: int, names: list[str], kinds: list[str]) -> Iterato
         at += len(name) + 1
 
 
+def _people(text: str) -> Iterator[tuple[int, list[str], list[str]]]:
+    """Names after a title, and those that begin with a listed given name: where, the words and their kinds."""
+    if any(t in text for t in TITLES):
+        for m in _PERSON.finditer(text):
+            names = m[2].split(" ")
+            yield m.start(2), names, [f"given-{TITLES[m[1]]}"] * (len(names) - 1) + ["family"]
+    for m in _NAMED.finditer(text):
+        names = m[0].split(" ")
+        yield m.start(), names, [f"given-{_GENDER[names[0]]}"] * (len(names) - 1) + ["family"]
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """Entities in order, without overlaps: begin, end, kind and canonical value. A name counts word by word, the last word as a
-    family name. It is found after a title; then all mentions of the full name or of the family name alone, anywhere in the text and
-    without a title too, are the same entities."""
+    family name. It is found after a title, or where it begins with a listed given name and has a family name; then all mentions of
+    the full name or of the family name alone, anywhere in the text, are the same entities. Dates, plain rows of numbers, versions
+    and words after "token:" are no entities."""
     if not text:
         return []
     found: list[tuple[int, int, int, str, str]] = []
-    if _DIGIT.search(text):
+    if _SOME.search(text):
+        two = _TWO_DIGITS.search(text) is not None
         for rank, (kind, pattern) in enumerate(_PATTERNS):
-            if not any(mark in text for mark in _MARKS[rank]) or kind not in _WITHOUT_DIGITS and not _TWO_DIGITS.search(text):
+            if not any(mark in text for mark in _MARKS[rank]) or kind not in _WITHOUT_DIGITS and not two:
                 continue
             for m in pattern.finditer(text):
-                g = 1 if m.re.groups else 0
+                g = m.re.groups if kind == "secret" else 0
                 value = m[g]
                 digits = _digits(value)
-                if kind == "card" and not (13 <= len(digits) <= 19 and _luhn(digits)):
-                    continue
-                if kind == "phone" and not (10 <= len(digits) <= 15 or value[0] == "+" and len(digits) >= 8):
-                    continue
-                if kind == "iban" and not _iban_ok(value):
+                if not _accepted(kind, m, value, digits):
                     continue
                 canonical = value
                 if kind in ("card", "ssn"):
@@ -115,22 +176,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                     canonical = digits[-10:]
                 elif kind == "iban":
                     canonical = value.replace(" ", "")
-                elif kind == "email":
+                elif kind in ("email", "ipv6"):
                     canonical = value.lower()
                 found.append((m.start(g), rank, m.end(g), kind, canonical))
-    if any(t in text for t in TITLES):
-        people: dict[str, list[str]] = {}
-        for m in _PERSON.finditer(text):
-            names = m[2].split(" ")
-            kinds = [f"given-{TITLES[m[1]]}"] * (len(names) - 1) + ["family"]
-            found += _words_of(m.start(2), 99, names, kinds)
-            for k in {0, len(names) - 1}:
-                for spelled in (" ".join(names[k:]), " ".join(names[k:]).upper()):
-                    people.setdefault(spelled, kinds[k:])
-        if people:
-            longest = sorted(people, key=lambda p: (-len(p), p))
-            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(p) for p in longest)})(?!\w)", text):
-                found += _words_of(m.start(), 100, m[0].split(" "), people[m[0]])
+    people: dict[str, list[str]] = {}
+    for at, names, kinds in _people(text):
+        found += _words_of(at, 99, names, kinds)
+        for k in {0, len(names) - 1}:
+            for spelled in (" ".join(names[k:]), " ".join(names[k:]).upper()):
+                people.setdefault(spelled, kinds[k:])
+    if people:
+        longest = sorted(people, key=lambda p: (-len(p), p))
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(p) for p in longest)})(?!\w)", text):
+            found += _words_of(m.start(), 100, m[0].split(" "), people[m[0]])
     out: list[tuple[int, int, str, str]] = []
     for begin, _, end, kind, canonical in sorted(found):
         if not out or begin >= out[-1][1]:
@@ -185,6 +243,10 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
             private = a in ("10", "127") or (a, b) == ("192", "168") or a == "172" and 16 <= int(b) < 32
             head = [a, b] if private else [str([11, 23, 37, 45, 58, 66, 74, 81, 93, 104, 129, 144, 151, 163, 178, 185, 199, 207, 216][draw.below(19)]), str(draw.below(256))]
             out = ".".join([*head, str(draw.below(256)), str(1 + draw.below(254))])
+        elif kind == "ipv6":
+            out = "".join("0123456789abcdef"[draw.below(16)] if c in "0123456789abcdef" else c for c in canonical)
+        elif kind == "address":
+            out = _STREET_WORD.sub(lambda m: m[0] if m[0] in _STREETS else _in_form(m[1], draw) + (m[2] or ""), canonical) + more
         elif kind == "card":
             body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:-1])
             out = next(body + str(d) for d in range(10) if _luhn(body + str(d)))
@@ -255,7 +317,7 @@ def assign(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     entities = scratch.save(texts.mapInArrow(_entity_batches, "kind string, canonical string").distinct(), "entities")
     real = entities.select(group.alias("group"), F.col("canonical").alias("surrogate")).distinct()
     taken, pending = None, entities
-    for attempt in range(MOST_ROUNDS):
+    for attempt in itertools.count():  # from DRAWS_IN_FORM on there are ten times as many values with each round
         drawn = scratch.save(pending.mapInArrow(_draw_batches(key, attempt), _DRAWN).withColumn("group", group), "drawn")
         free = drawn.join(real, ["group", "surrogate"], "left_anti")
         if taken is not None:
@@ -266,7 +328,6 @@ def assign(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
         pending = scratch.save(drawn.join(won, ["kind", "canonical"], "left_anti").select("kind", "canonical"), "pending")
         if pending.isEmpty():
             return taken.drop("group")
-    raise RuntimeError(f"entities without a free surrogate after {MOST_ROUNDS} draws")
 
 
 def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[str]]:
