@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.cube import SpectralCube
 from lumenframe.functions.validity import invalid_mask, nan
-from lumenframe.plans.gram import pixel_state
+from lumenframe.plans.gram import LAST, MERGED_AT_ONCE, pixel_state
 from lumenframe.plans.kernels import spectra_of, tiles
 
 _PART = "band int, n long, least double, most double, mean double, m2 double"
@@ -47,6 +47,26 @@ def _partial_stats(bands: int, nodata: float | None):
     return run
 
 
+def _merged_stats(bands: int):
+    """To one row per band, merged from the rows of some tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: list[tuple] = [(0, np.inf, -np.inf, 0.0, 0.0)] * bands
+        for batch in batches:
+            for band, n, least, most, mean, m2 in zip(*(c.to_numpy() for c in batch.columns), strict=True):
+                if not n:
+                    continue
+                k, low, high, centre, square = states[band]
+                with np.errstate(invalid="ignore"):
+                    total, delta = k + n, mean - centre
+                    states[band] = (total, min(low, least), max(high, most), centre + delta * n / total if k else mean, square + m2 + (delta * delta * k * n / total if k else 0.0))
+        columns = [np.arange(bands, dtype=np.int32), *(np.array(c) for c in zip(*states, strict=True))]
+        kinds = [pa.int32(), pa.int64(), *[pa.float64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["band", "n", "least", "most", "mean", "m2"])
+
+    return run
+
+
 class BandStats:
     """Per band: min, max, mean, population standard deviation and number of valid values. `frame` is lazy; the methods collect."""
 
@@ -79,8 +99,13 @@ class BandStats:
 
 
 def band_stats(cube: SpectralCube) -> BandStats:
-    """One pass; the shuffle carries one row per task and band. A band without valid values has NaN and a count of 0."""
+    """One pass; the shuffle carries one row per task and band, merged by levels of tasks where there are many, so that no row ever
+    gathers more than LAST states. A band without valid values has NaN and a count of 0."""
     parts = cube.frame.select("spectrum").mapInArrow(_partial_stats(cube.bands, cube.nodata), _PART)
+    n = parts.rdd.getNumPartitions()
+    while n > LAST:
+        n = -(-n // MERGED_AT_ONCE)
+        parts = parts.repartition(n).mapInArrow(_merged_stats(cube.bands), _PART)
     spark = cube.spark
     every = spark.range(cube.bands).select(F.col("id").cast("int").alias("band"), F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("least", "most", "mean", "m2")])
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))

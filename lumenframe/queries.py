@@ -7,6 +7,7 @@ digits on both sides, and a zero is never negative.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -23,11 +24,14 @@ from lumenframe.cube import SpectralCube
 from lumenframe.operators.statistics import matrix_frame
 from lumenframe.plans.gram import difference_gram
 from lumenframe.raster import Raster
-from lumenframe.sources import read_envi, read_parquet, read_zarr, read_zarr_window, write_envi, write_parquet, write_zarr
+from lumenframe.sources import read_envi, read_parquet, read_zarr, read_zarr_window, read_zarr_with_options, write_envi, write_parquet, write_zarr, zarr_cube_shape
 
 WIDTH, BANDS, NODATA = 25, 64, -9999.0
 WAVELENGTHS = [400.0 + 10 * i for i in range(BANDS)]
 REFERENCE = [0.1 + 0.01 * i for i in range(BANDS)]
+THREE = [3, 7, 20]
+ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
+ZARR_TYPES = ["float64", "float32", "uint8", "uint16", "uint32", "uint64", "int16", "int32", "int64"]
 TARGET = [405.0 + 7 * j for j in range(89)]
 
 
@@ -133,6 +137,107 @@ def _zarr_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, make)
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> SpectralCube:
+    """Three bands as whole numbers from 0 to 255, which every data type holds."""
+    cube = scene(spark, sf_dir).sel_bands(THREE)
+    return cube.with_frame(cube.frame.withColumn("spectrum", F.transform("spectrum", lambda v: F.round(v * 100) + 100)))
+
+
+def _envi_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of other programs: every data type in both byte orders, with a header that starts with empty lines."""
+    folder, cube, out = _folder(spark), _codes(spark, sf_dir), None
+    values = cube.data()
+    for code, kind in ENVI_TYPES.items():
+        for order in (0, 1):
+            name = folder / f"t{code}{order}"
+            name.with_suffix(".img").write_bytes(values.astype((">" if order else "<") + kind).tobytes())
+            name.with_suffix(".hdr").write_text(
+                f"\n  ENVI\nsamples = {cube.width}\nlines = {cube.height}\nbands = {cube.bands}\ndata type = {code}\ninterleave = BSQ\nbyte order = {order}\nwavelength = {{430, 470, 600}}\n"
+            )
+            one = _long(read_envi(name.with_suffix(".hdr"), spark)).withColumn("kind", F.lit(10 * code + order))
+            out = one if out is None else out.union(one)
+    return out
+
+
+def _foreign_zarr(folder: Path, values: np.ndarray, axes: str, kind: str) -> Path:
+    """A store as other programs write it: axes in their order, names in capitals, another array of three dimensions before it."""
+    store = folder / f"{axes}-{kind}.zarr"
+    block = values.transpose(["bsq".index(c) for c in {"bsq": "bsq", "bil": "sbq", "bip": "sqb"}[axes]])
+    arrays = {"Another": (np.zeros((2, 2, 2)), "float64"), "cube/REFLECTANCE": (block, kind), "meta/Wavelength_Centers": (np.array([430.0, 470.0, 600.0]), "float64"), "meta/FWHM": (np.array([9.0, 9.5, 10.0]), "float32")}
+    for name, (data, type_) in arrays.items():
+        at = store / name
+        at.mkdir(parents=True)
+        meta = {
+            "zarr_format": 3, "node_type": "array", "shape": list(data.shape), "data_type": type_, "fill_value": 0, "codecs": [{"name": "bytes", "configuration": {"endian": "big"}}],
+            "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(data.shape)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "."}}, "attributes": {},
+        }
+        (at / "zarr.json").write_text(json.dumps(meta))
+        (at / ("c." + ".".join("0" for _ in data.shape))).write_bytes(data.astype(np.dtype(type_).newbyteorder(">")).tobytes())
+    (store / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}))
+    return store
+
+
+def _zarr_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, values, out = _folder(spark), _codes(spark, sf_dir).data(), None
+    for axes in ("bsq", "bil", "bip"):
+        for kind in ZARR_TYPES:
+            one = _long(read_zarr(_foreign_zarr(folder, values, axes, kind), spark=spark)).withColumn("kind", F.lit(f"{axes} {kind}"))
+            out = one if out is None else out.union(one)
+    return out
+
+
+def _zarr_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = zarr_cube_shape(_foreign_zarr(_folder(spark), _codes(spark, sf_dir).data(), "bip", "uint16"))
+    return spark.createDataFrame([tuple(int(n) for n in shape)], "d0 long, d1 long, d2 long")
+
+
+def _zarr_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _foreign_zarr(_folder(spark), _codes(spark, sf_dir).data(), "bil", "int16")
+    cube = read_zarr_with_options(store, "/cube/REFLECTANCE", "meta/Wavelength_Centers", "meta/FWHM", 100.0, 2.0, -1.0, spark)
+    return cube.long_frame().select("row", "col", "band", F.lit(float(cube.fwhm()[1])).alias("fwhm"), _tidy(F.col("value")).alias("value"))
+
+
+def _three(spark: SparkSession, sf_dir: str) -> SpectralCube:
+    return scene(spark, sf_dir).sel_bands(THREE)
+
+
+def _axes(spark: SparkSession, components: np.ndarray, values: np.ndarray) -> DataFrame:
+    rows = [(i, b, float(x), float(values[i])) for i, row in enumerate(components) for b, x in enumerate(row)]
+    return spark.createDataFrame(rows, "component int, band int, weight double, size double").select("component", "band", _tidy(F.col("weight")).alias("weight"), _tidy(F.col("size")).alias("size"))
+
+
+def _pca_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = op.pca(_three(spark, sf_dir))
+    return _axes(spark, fit.components(), fit.explained_variance())
+
+
+def _pca_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = _three(spark, sf_dir)
+    fit = op.pca(cube, 1)
+    return _long(op.pca_inverse(op.pca_transform(cube, fit), fit))
+
+
+def _mnf_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = op.mnf(_three(spark, sf_dir))
+    return _axes(spark, fit.components(), fit.eigenvalues())
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all 64 components: how far they are from solving their eigenproblem, and from being a basis."""
+    cube = scene(spark, sf_dir)
+    n, gram = difference_gram(cube.frame, cube.bands)
+    noise, pixels = gram / (2 * max(n - 1, 1)), cube.height * cube.width
+    signal = op.covariance(cube) * pixels / (pixels - 1)
+    fits = [("pca", op.pca(cube), np.eye(cube.bands)), ("mnf", op.mnf(cube), noise)]
+    rows = []
+    for name, fit, metric in fits:
+        v, size = fit.components(), fit.explained_variance() if name == "pca" else fit.eigenvalues()
+        error = np.abs(signal @ v.T - (metric @ v.T) * size).max(0) / np.abs(signal).max()
+        basis = v @ metric @ v.T / np.sqrt(np.outer(np.diag(v @ metric @ v.T), np.diag(v @ metric @ v.T)))
+        rows += [(name, i, round(abs(float(e)), 6), round(float(np.abs(basis[i] - np.eye(len(v))[i]).max()), 6), bool(i == 0 or size[i] <= size[i - 1])) for i, e in enumerate(error)]
+    return spark.createDataFrame(rows, "method string, component int, residual double, skew double, ordered boolean")
+
+
 def _pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = scene(spark, sf_dir)
     scores = op.pca_transform(cube, op.pca(cube))
@@ -231,6 +336,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "zarr_roundtrip": _zarr_roundtrip,
         "zarr_window": _zarr_window,
         "zarr_scaled": _zarr_scaled,
+        "zarr_layouts": _zarr_layouts,
+        "zarr_shape": _zarr_shape,
+        "zarr_paths": _zarr_paths,
+        "envi_types": _envi_types,
+        "pca_three": _pca_three,
+        "pca_truncated": _pca_truncated,
+        "mnf_three": _mnf_three,
+        "mnf_denoise_truncated": partial(_with, lambda c: op.mnf_denoise(c.sel_bands(THREE), 1), _long, False),
+        "eigen_residuals": _residuals,
     }
     return out
 
@@ -306,6 +420,44 @@ def _sql_matrix(body: str, nodata: bool = False) -> str:
     return f"WITH {_HOLED if nodata else _CUBE}, {_VALUES}, {clean}, {body}"
 
 
+#: Means, covariances S and noise N of three bands, and a matrix M whose eigenvectors are wanted.
+_MOMENTS = f"""{_CUBE},
+  p AS (SELECT "row", col, s[4] AS x1, s[8] AS x2, s[21] AS x3 FROM cube),
+  d AS (SELECT lead(x1) OVER w - x1 AS d1, lead(x2) OVER w - x2 AS d2, lead(x3) OVER w - x3 AS d3 FROM p WINDOW w AS (PARTITION BY "row" ORDER BY col)),
+  mom AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(x3) AS a3, covar_samp(x1, x1) AS s11, covar_samp(x1, x2) AS s12, covar_samp(x1, x3) AS s13, covar_samp(x2, x2) AS s22, covar_samp(x2, x3) AS s23, covar_samp(x3, x3) AS s33 FROM p),
+  noi AS (SELECT sum(d1*d1)/k AS n11, sum(d1*d2)/k AS n12, sum(d1*d3)/k AS n13, sum(d2*d2)/k AS n22, sum(d2*d3)/k AS n23, sum(d3*d3)/k AS n33
+          FROM d, (SELECT 2 * (count(d1) - 1) AS k FROM d) WHERE d1 IS NOT NULL GROUP BY k)"""
+_PCA_MATRIX = "mat AS (SELECT s11 AS m11, s12 AS m12, s13 AS m13, s12 AS m21, s22 AS m22, s23 AS m23, s13 AS m31, s23 AS m32, s33 AS m33 FROM mom)"
+#: N^-1 S, the inverse by cofactors.
+_MNF_MATRIX = """inv AS (SELECT (n22*n33-n23*n23)/det AS i11, (n13*n23-n12*n33)/det AS i12, (n12*n23-n13*n22)/det AS i13, (n11*n33-n13*n13)/det AS i22, (n12*n13-n11*n23)/det AS i23, (n11*n22-n12*n12)/det AS i33
+    FROM noi, (SELECT n11*(n22*n33-n23*n23) - n12*(n12*n33-n13*n23) + n13*(n12*n23-n13*n22) AS det FROM noi)),
+  mat AS (SELECT i11*s11+i12*s12+i13*s13 AS m11, i11*s12+i12*s22+i13*s23 AS m12, i11*s13+i12*s23+i13*s33 AS m13, i12*s11+i22*s12+i23*s13 AS m21, i12*s12+i22*s22+i23*s23 AS m22, i12*s13+i22*s23+i23*s33 AS m23,
+    i13*s11+i23*s12+i33*s13 AS m31, i13*s12+i23*s22+i33*s23 AS m32, i13*s13+i23*s23+i33*s33 AS m33 FROM inv, mom)"""
+#: Eigenvalues by the cubic's three real roots, from the greatest; an eigenvector is the longest cross product of two rows of M - size I.
+_EIGEN = """cub AS (SELECT *, m11+m22+m33 AS c2, m11*m22-m12*m21+m11*m33-m13*m31+m22*m33-m23*m32 AS c1, m11*(m22*m33-m23*m32)-m12*(m21*m33-m23*m31)+m13*(m21*m32-m22*m31) AS c0 FROM mat),
+  tri AS (SELECT *, sqrt((c2*c2-3*c1)/9) AS q FROM cub),
+  lam AS (SELECT tri.*, CAST(k AS INTEGER) AS component, c2/3 + 2*q*cos((acos(greatest(-1::DOUBLE, least(1::DOUBLE, (2*c2*c2*c2-9*c2*c1+27*c0)/(54*q*q*q)))) - 2*pi()*k)/3) AS size FROM tri, range(3) AS t(k)),
+  cand AS (SELECT component, size, unnest([
+      [m12*m23-m13*(m22-size), m13*m21-(m11-size)*m23, (m11-size)*(m22-size)-m12*m21],
+      [m12*(m33-size)-m13*m32, m13*m31-(m11-size)*(m33-size), (m11-size)*m32-m12*m31],
+      [(m22-size)*(m33-size)-m23*m32, m23*m31-m21*(m33-size), m21*m32-(m22-size)*m31]]) AS v FROM lam),
+  best AS (SELECT component, size, max_by(v, list_dot_product(v, v)) AS v FROM cand GROUP BY component, size),
+  eig AS (SELECT component, size, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)) * sign(list_max(v) + list_min(v))) AS v FROM best)"""
+
+
+def _sql_axes(matrix: str) -> str:
+    return f"""WITH {_MOMENTS}, {matrix}, {_EIGEN}, flat AS (SELECT component, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS band, unnest(v) AS w, size FROM eig)
+      SELECT component, band, {_r("w")} AS weight, {_r("size")} AS size FROM flat"""
+
+
+def _sql_one_axis(matrix: str, left: str, scale: str) -> str:
+    """Pixels rebuilt from their first component: the mean, and along `left` what the component says, over `scale`."""
+    dot = "((x1-a1)*v[1] + (x2-a2)*v[2] + (x3-a3)*v[3])"
+    values = ", ".join(f"a{i} + {left.format(i=i)} * {dot} / ({scale})" for i in (1, 2, 3))
+    return f"""WITH {_MOMENTS}, {matrix}, {_EIGEN}, done AS (SELECT "row", col, [{values}] AS o FROM p, mom, noi, eig WHERE component = 0),
+      flat AS (SELECT "row", col, CAST(generate_subscripts(o, 1) - 1 AS INTEGER) AS band, unnest(o) AS v FROM done) SELECT "row", col, band, true AS valid, {_r("v")} AS value FROM flat"""
+
+
 def oracle_sql() -> dict[str, str]:
     pairs = 'pairs AS (SELECT a.band AS band_i, b.band AS band_j, a.v AS x, b.v AS y FROM clean a JOIN clean b USING ("row", col))'
     stats = lambda keep: f"SELECT band, {_r('min(v)')} AS min, {_r('max(v)')} AS max, {_r('avg(v)')} AS mean, {_r('stddev_pop(v)')} AS std, count(v) AS valid_count FROM vals WHERE {keep} GROUP BY band"
@@ -322,6 +474,7 @@ def oracle_sql() -> dict[str, str]:
     nd, ratio = _sql_divide("s[4] - s[9]", "(s[4] + s[9])"), _sql_divide("s[4]", "s[9]")
     hole_3 = f"s[4] = {NODATA}"
     same = _sql_long("s")
+    codes = _sql_long("list_transform([s[4], s[8], s[21]], lambda x: round(x * 100) + 100)")
     return {
         "sel_bands": _sql_long("[s[4], s[8], s[21]]"),
         "sel_wavelengths": _sql_long("s[6:11]"),
@@ -372,5 +525,14 @@ def oracle_sql() -> dict[str, str]:
         "zarr_roundtrip": same,
         "zarr_window": f"""WITH {_CUBE}, {_VALUES} SELECT CAST("row" - 2 AS INTEGER) AS "row", CAST(col - 3 AS INTEGER) AS col, CAST(band - 5 AS INTEGER) AS band, true AS valid, {_r("v")} AS value
           FROM vals WHERE "row" BETWEEN 2 AND 9 AND col BETWEEN 3 AND 17 AND band BETWEEN 5 AND 20""",
+        "zarr_layouts": f"SELECT * FROM ({codes}), (SELECT unnest([{', '.join(repr(a + ' ' + k) for a in ('bsq', 'bil', 'bip') for k in ZARR_TYPES)}]) AS kind)",
+        "zarr_shape": f"SELECT count(DISTINCT vec_id // {WIDTH}) AS d0, count(DISTINCT vec_id % {WIDTH}) AS d1, 3::BIGINT AS d2 FROM embeddings",
+        "zarr_paths": f'SELECT "row", col, band, 9.5::DOUBLE AS fwhm, CASE WHEN value = 100 THEN value ELSE 2 * value - 1 END AS value FROM ({codes})',
+        "envi_types": f"SELECT * FROM ({codes}), (SELECT CAST(unnest([{', '.join(str(10 * c + o) for c in ENVI_TYPES for o in (0, 1))}]) AS INTEGER) AS kind)",
+        "pca_three": _sql_axes(_PCA_MATRIX),
+        "pca_truncated": _sql_one_axis(_PCA_MATRIX, "v[{i}]", "1"),
+        "mnf_three": _sql_axes(_MNF_MATRIX),
+        "mnf_denoise_truncated": _sql_one_axis(_MNF_MATRIX, "(n1{i}*v[1] + nx{i}*v[2] + n{i}3*v[3])", "v[1]*(n11*v[1]+n12*v[2]+n13*v[3]) + v[2]*(n12*v[1]+n22*v[2]+n23*v[3]) + v[3]*(n13*v[1]+n23*v[2]+n33*v[3])").replace("nx1", "n12").replace("nx2", "n22").replace("nx3", "n23"),
+        "eigen_residuals": f"SELECT m AS method, CAST(i AS INTEGER) AS component, 0::DOUBLE AS residual, 0::DOUBLE AS skew, true AS ordered FROM (SELECT unnest(['pca', 'mnf']) AS m), range({BANDS}) AS t(i)",
         "zarr_scaled": _sql_long(f"list_transform(s, lambda x: CASE WHEN x = {NODATA} THEN x ELSE x * 0.5 + 1 END)", True, whole=False),
     }

@@ -85,7 +85,7 @@ def _number(key: str, value: str, kind=float):
 
 
 def parse_header(text: str) -> EnviHeader:
-    text = text.removeprefix("﻿")
+    text = text.lstrip("﻿").strip()
     if not text.startswith("ENVI"):
         raise FormatError("an ENVI header starts with ENVI")
     h = EnviHeader()

@@ -8,7 +8,6 @@ chunk at a time. Either way no task needs more than a chunk or a stripe.
 from __future__ import annotations
 
 import gzip
-import itertools
 import json
 import math
 import os
@@ -28,14 +27,18 @@ from lumenframe.errors import CubeIOError, FormatError, InvalidInput
 from lumenframe.functions.validity import invalid_mask
 from lumenframe.plans.kernels import PIXELS, lists_of, map_spectra, spectra_of
 
-# Names under which stores are known to keep their arrays and attributes, and the format's data types.
-DATA_NAMES = {"reflectance", "Reflectance_Data", "radiance", "Radiance_Data"}
-WAVELENGTH_NAMES = {"wavelengths", "Wavelength", "wavelength", "wavelength_centers", "center_wavelengths"}
-FWHM_NAMES = {"fwhm", "FWHM"}
+# Names under which stores are known to keep their arrays, in small letters (stores use any), and the format's data types.
+DATA_NAMES = {"reflectance", "reflectance_data", "radiance", "radiance_data"}
+WAVELENGTH_NAMES = {"wavelengths", "wavelength", "wavelength_centers", "center_wavelengths"}
+FWHM_NAMES = {"fwhm"}
 TYPES = {"float64": "f8", "float32": "f4", "uint8": "u1", "uint16": "u2", "uint32": "u4", "uint64": "u8", "int8": "i1", "int16": "i2", "int32": "i4", "int64": "i8"}
 
 #: Values of one stripe, about.
 STRIPE_VALUES = 4 << 20
+#: Values that one task reads, about, where chunks are smaller.
+TASK_VALUES = 16 << 20
+#: Values of a chunk of one band image that is written as it is; larger images are cut into square tiles of at most that size.
+CHUNK_VALUES = 8 << 20
 BATCH_PIXELS = 8_192
 
 
@@ -174,7 +177,7 @@ def _arrays(store: Path) -> list[tuple[str, int]]:
 def discover(store: Path) -> Layout:
     """The cube's arrays by their names; a cube of another name if it is the first with three dimensions."""
     found = _arrays(store)
-    leaf = lambda p: p.rsplit("/", 1)[-1]
+    leaf = lambda p: p.rsplit("/", 1)[-1].lower()
     cubes, lines = [p for p, rank in found if rank == 3], [p for p, rank in found if rank == 1]
     if not cubes:
         raise FormatError(f"{store} has no array of three dimensions")
@@ -230,10 +233,10 @@ def _scan(spark: SparkSession, array: ZarrArray, axes: tuple[int, int, int], win
 
     def cut(index: tuple[int, int, int]) -> tuple[np.ndarray, list[slice]]:
         """The part of a chunk inside the window as (bands, rows, columns), and where it lies in the window."""
-        place = [0, 0, 0]
+        on_disk = [0, 0, 0]
         for a, i in zip(axes, index, strict=True):
-            place[a] = i
-        chunk = array.chunk(tuple(place)).transpose(axes)
+            on_disk[a] = i
+        chunk = array.chunk(tuple(on_disk)).transpose(axes)
         inner, outer = [], []
         for i, s, w in zip(index, steps, window, strict=True):
             low, high = max(w.start, i * s), min(w.stop, (i + 1) * s)
@@ -241,30 +244,39 @@ def _scan(spark: SparkSession, array: ZarrArray, axes: tuple[int, int, int], win
             outer.append(slice(low - w.start, high - w.start))
         return chunk[tuple(inner)], outer
 
+    def place(number: int, axes_: tuple[range, ...]) -> tuple[int, ...]:
+        """The chunk of a number, counted with the last axis fastest: no list of all chunks is ever made."""
+        out = []
+        for axis in reversed(axes_):
+            number, at = divmod(number, len(axis))
+            out.append(axis[at])
+        return tuple(reversed(out))
+
+    def numbers(count: int, values: int) -> DataFrame:
+        """The numbers of chunks, dealt to tasks that read about TASK_VALUES each."""
+        tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-count * values // TASK_VALUES))))
+        return spark.range(0, count, 1, tasks)
+
     if stripe >= min(steps[1], rows.stop - rows.start):
-        tiles = list(itertools.product(grid[1], grid[2]))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for t in batch.column("id").to_pylist():
                     out, first = None, None
                     for b in grid[0]:
-                        part, at = cut((b, *tiles[t]))
+                        part, at = cut((b, *place(t, (grid[1], grid[2]))))
                         if out is None:
                             out, first = np.empty((n_bands, *part.shape[1:])), at
                         out[at[0]] = part
                     if out is not None:
                         yield from _pixels(first[1].start, first[2].start, out)
 
-        n = max(1, len(tiles))
-        return spark.range(0, len(tiles), 1, n).mapInArrow(read, PIXELS)
-
-    chunks = list(itertools.product(*grid))
+        return numbers(len(grid[1]) * len(grid[2]), n_bands * steps[1] * steps[2]).mapInArrow(read, PIXELS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column("id").to_pylist():
-                part, at = cut(chunks[c])
+                part, at = cut(place(c, tuple(grid)))
                 top = at[1].start
                 for r in range(top // stripe, -(-at[1].stop // stripe)):
                     low, high = max(top, r * stripe), min(at[1].stop, (r + 1) * stripe)
@@ -287,7 +299,7 @@ def _scan(spark: SparkSession, array: ZarrArray, axes: tuple[int, int, int], win
         if out is not None:
             yield from _pixels(key[2], key[1], out)
 
-    pieces = spark.range(0, len(chunks), 1, len(chunks)).mapInArrow(split, "stripe int, left int, top int, bottom int, right int, band int, block binary")
+    pieces = numbers(math.prod(len(g) for g in grid), math.prod(steps)).mapInArrow(split, "stripe int, left int, top int, bottom int, right int, band int, block binary")
     return pieces.repartition("stripe", "left", "top").sortWithinPartitions("stripe", "left", "top", "band").mapInArrow(join, PIXELS)
 
 
@@ -428,15 +440,22 @@ def _chunk_parts(shape: tuple[int, int, int], chunks: tuple[int, int, int]):
     return run
 
 
+def _default_chunks(cube: SpectralCube) -> tuple[int, int, int]:
+    if cube.height * cube.width <= CHUNK_VALUES:
+        return 1, cube.height, cube.width
+    side = math.isqrt(CHUNK_VALUES)
+    return 1, min(cube.height, side), min(cube.width, side)
+
+
 def write_zarr(cube: SpectralCube, path, compression: str = "gzip", gzip_level: int = 5, chunk_shape: tuple[int, int, int] | None = None, overwrite: bool = False) -> None:
     """Write a store with /reflectance (bands, lines, samples), /sensor/wavelengths and, if there are any, /sensor/fwhm. A chunk is
-    one band by default. An existing folder is replaced only with overwrite, a file never."""
+    one band by default, or a square tile of one where a band's image has over CHUNK_VALUES values. An existing folder is replaced only with overwrite, a file never."""
     target = Path(path).absolute()
     if compression not in ("gzip", "none"):
         raise InvalidInput(f"unknown compression {compression!r}: it must be 'gzip' or 'none'")
     if not 0 <= gzip_level <= 9:
         raise InvalidInput(f"gzip level {gzip_level} is not from 0 to 9")
-    chunks = (1, cube.height, cube.width) if chunk_shape is None else tuple(int(c) for c in chunk_shape)
+    chunks = _default_chunks(cube) if chunk_shape is None else tuple(int(c) for c in chunk_shape)
     if len(chunks) != 3 or any(not 0 < c <= n for c, n in zip(chunks, cube.shape, strict=False)):
         raise InvalidInput(f"chunk shape {chunks} must have three sizes from 1 to those of the cube, {cube.shape}")
     if target.exists() and not target.is_dir():

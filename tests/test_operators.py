@@ -289,3 +289,26 @@ def test_operators_do_not_shuffle(spark):
         assert "Exchange" not in out.frame._jdf.queryExecution().executedPlan().toString()
     for out in (lf.sam(cube, np.ones(6)), lf.ndvi(cube, 1, 0)):
         assert "Exchange" not in out.frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_band_stats_of_many_partitions(spark):
+    data = RNG.normal(size=(3, 40, 50)) + 1e6
+    data[1, 3, 4] = np.nan
+    cube = cube_of(data)
+    many = cube.with_frame(cube.frame.repartition(1000))
+    stats = lf.band_stats(many)
+    flat = data.reshape(3, -1)
+    np.testing.assert_allclose(stats.mean(), np.nanmean(flat, 1), rtol=1e-12)
+    np.testing.assert_allclose(stats.std(), np.nanstd(flat, 1), rtol=1e-9)
+    np.testing.assert_array_equal(stats.min(), np.nanmin(flat, 1))
+    assert list(stats.valid_count()) == [2000, 1999, 2000]
+
+
+def test_operators_of_one_wide_spectrum(spark):
+    """More bands than any sensor has: PCA stays exact there."""
+    data = np.outer(RNG.normal(size=600), RNG.normal(size=120)).reshape(600, 10, 12) + 0.01 * RNG.normal(size=(600, 10, 12))
+    fit = lf.pca(cube_of(data, wl=400.0 + np.arange(600)), 3)
+    x = data.reshape(600, -1).T
+    _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    np.testing.assert_allclose(fit.explained_variance(), s[:3] ** 2 / (len(x) - 1), rtol=1e-9)
+    np.testing.assert_allclose(np.abs((fit.components() * v[:3]).sum(1)), 1, rtol=1e-6)

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import numpy as np
 import pytest
@@ -178,6 +179,40 @@ def test_zarr_chunks_without_files_are_fill(tmp_path):
     np.testing.assert_array_equal(lf.read_zarr(tmp_path).data(), 7)
 
 
+def test_zarr_names_in_any_case(tmp_path):
+    put_array(tmp_path / "aaa", np.zeros((2, 3, 4)), "uint8")
+    put_array(tmp_path / "zzz" / "REFLECTANCE", np.ones((2, 3, 4)), "uint8")
+    put_array(tmp_path / "WAVELENGTHS", np.array([500.0, 600.0]))
+    np.testing.assert_array_equal(lf.read_zarr(tmp_path).data(), 1)
+
+
+def test_zarr_of_a_million_chunks_is_planned_at_once(tmp_path):
+    put_array(tmp_path / "radiance", np.zeros((1, 1000, 1000)), "uint8", raw=False, chunks=(1, 1, 1))
+    put_array(tmp_path / "wavelengths", np.array([500.0]))
+    lf.read_zarr(tmp_path)  # the session and its imports
+    began = time.time()
+    cube = lf.read_zarr(tmp_path)
+    assert time.time() - began < 1 and cube.frame.rdd.getNumPartitions() < 100
+    small = lf.read_zarr_window(tmp_path, (0, 1), (500, 503), (999, 1000))
+    np.testing.assert_array_equal(small.data(), np.full((1, 3, 1), 7.0))
+
+
+def test_zarr_writes_tiles_of_large_images(tmp_path, monkeypatch):
+    data = RNG.random((2, 9, 11))
+    lf.write_zarr(lf.SpectralCube(data, [500.0, 600.0]), tmp_path / "whole.zarr")
+    assert zarr.open_array(tmp_path / "whole.zarr", "reflectance").chunks == (1, 9, 11)
+    monkeypatch.setattr(zarr, "CHUNK_VALUES", 16)
+    lf.write_zarr(lf.SpectralCube(data, [500.0, 600.0]), tmp_path / "tiles.zarr")
+    assert zarr.open_array(tmp_path / "tiles.zarr", "reflectance").chunks == (1, 4, 4)
+    np.testing.assert_array_equal(lf.read_zarr(tmp_path / "tiles.zarr").data(), data)
+
+
+def test_envi_headers_after_empty_lines():
+    text = "samples = 1\nlines = 1\nbands = 1\ndata type = 4\ninterleave = bsq\n"
+    for head in ("\n\n  ENVI\n", "\ufeff\nENVI\n", "\ufeffENVI\r\n"):
+        assert parse_header(head + text).samples == 1
+
+
 def test_zarr_refuses(tmp_path):
     cube = some_cube()
     with pytest.raises(ValueError, match="no Zarr store"):
