@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
-    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, listed=url_filter.blocked_urls(spark))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +110,13 @@ OP1_SQL = f"""
 WITH parts AS (
   SELECT page_id,
          coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}'), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, regexp_replace(coalesce(url, ''), '#.*$', '', 's') AS whole
   FROM pages),
+listed AS (SELECT 'ads' || (i % {url_filter.LISTED_HOSTS}) || '.example.net/click/' || i AS u FROM range({url_filter.LISTED}) AS t(i)),
 rules(h, p, v) AS (VALUES {", ".join(str(r) for r in url_filter.RULES)})
-SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, coalesce(max_by(v, length(h || p)), 'allow') AS verdict
+SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, coalesce(max_by(v, length(h || p)), max(CASE WHEN u IS NOT NULL THEN 'block' END), 'allow') AS verdict
 FROM (SELECT parts.*, row_number() OVER () AS n FROM parts) AS t
+LEFT JOIN listed ON u = host || path AND NOT contains(whole, '?')
 LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
 GROUP BY n, page_id, host, path
 """

@@ -551,6 +551,63 @@ def test_urls_match_brute_force(spark, monkeypatch, blocks, sent):
     assert url_filter.judge(pages.where("false"), listed).count() == 0
 
 
+def brute_canonical(url):
+    m = re.match(r"(?s)(.*?)://(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:@]*)(:[^/?#]*)?([^?#]*)(\?[^#]*)?", url or "")
+    host = (m[2] if m else "").translate({65 + i: 97 + i for i in range(26)}).rstrip(".")
+    if not host:
+        return None
+    port = re.sub("^:0*", "", m[3] or "")
+    port = "" if port in ("", {"http": "80", "https": "443"}.get(m[1].strip(" ").lower())) else ":" + port
+    free = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+    clean = lambda t: re.sub("%([0-9A-Fa-f]{2})", lambda x: chr(int(x[1], 16)) if chr(int(x[1], 16)) in free else x[0].upper(), t)
+    out, segments = [], clean(m[4]).split("/")[1:] if m[4] else []
+    for s in segments:
+        if s == "..":
+            out = out[:-1]
+        elif s != ".":
+            out.append(s)
+    path = "/" + "/".join(out) + ("/" if len(segments) > 1 and segments[-1] in (".", "..") and out else "")
+    return host + port + path + ("" if m[5] in (None, "?") else clean(m[5]))
+
+
+SPELLINGS = ["http://Example.COM", "https://example.com:443/", "http://u:p@example.com:80/./", "http://example.com./a/../", "http://example.com/%61/..", "http://example.com/#top", "http://example.com/?"]
+
+
+def test_canonical_urls(spark):
+    r = random.Random(14)
+    urls = SPELLINGS + [None, "", "x", "http://", "http:///a", "http://[::1]:80/a", "http://a//b/../c", "http://a/b/..", "http://a/..", "http://a/%7euser/%2F%zz%4", "http://a?x=%41#f", "ftp://a:80/"]
+    bits = ["/", ".", "..", "a", "%61", "%2f", "%", "?", "#", "x=1", "é", "//", "/./", "/../", "B"]
+    urls += [f"{r.choice(['http', 'HTTPS', 'ftp'])}://{r.choice(['h.org', 'H.Org.', 'u@h.org:80', 'h.org:443', 'h.org:08080', ''])}{''.join(r.choice(bits) for _ in range(r.randint(0, 8)))}" for _ in range(500)]
+    got = [x.c for x in spark.createDataFrame(list(enumerate(urls)), "i long, url string").select("i", url_filter.canonical(F.col("url")).alias("c")).orderBy("i").collect()]
+    want = [brute_canonical(u) for u in urls]
+    assert got == want
+    assert set(got[: len(SPELLINGS)]) == {"example.com/"}
+
+
+@pytest.mark.parametrize("blocks,sent", [(1 << 19, 20_000), (50, 20_000), (1 << 19, 200_000)])
+def test_a_list_of_100000_urls(spark, monkeypatch, blocks, sent):
+    """Against a set; with a filter that lets many others through, the join removes them."""
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", blocks)
+    monkeypatch.setattr(url_filter, "MOST_SENT", sent)
+    listed = url_filter.blocked_urls(spark)
+    have = {f"ads{i % 977}.example.net/click/{i}" for i in range(100_000)}
+    r = random.Random(5)
+    urls = [r.choice(["http://ads{}.example.net/click/{}", "https://ADS{}.example.net./click/x/../{}#f", "http://ads{}.example.net/click/{}?q"]).format(r.randrange(977), r.randrange(120_000)) for _ in range(2000)]
+    urls += [f"http://ads{i % 977}.example.net/click/{i}" for i in r.sample(range(100_000), 500)] + [None, "", "no"]
+    asked = spark.createDataFrame([(u,) for u in urls], "url string")
+    found = {x.key for x in url_filter.in_list(asked, listed).collect()}
+    assert found == {c for c in map(brute_canonical, urls) if c in have} and len(found) > 450
+    rules = spark.createDataFrame([("ads7.example.net", "/click/", "allow")], "host string, path string, verdict string")
+    pages = asked.withColumn("page_id", F.monotonically_increasing_id())
+    for x in url_filter.judge(pages.join(asked.distinct(), "url", "left"), rules, keep=("page_id", "url"), listed=listed).collect():
+        rule = brute_judge(x.url, [("ads7.example.net", "/click/", "allow")])[2]
+        assert x.rule == rule and x.verdict == ("allow" if rule or brute_canonical(x.url) not in have else "block")
+    if blocks == 50:
+        keys = asked.select(url_filter.canonical(F.col("url")).alias("key")).where("key is not null")
+        passed = url_filter.may_hold(keys, listed.select(url_filter.canonical(F.col("url")).alias("key")), 100_000).distinct().count()
+        assert passed > 2 * len(found)
+
+
 def test_bloom_filter_holds_its_keys_and_few_others(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("host"), "id", F.lit("/")).alias("key"))
     blocks = 20_000 // url_filter.KEYS_PER_BLOCK
