@@ -22,6 +22,8 @@ from lumenframe.llm.words import SPACED, mix, slices, split_words, trim
 
 #: A bucket of more sets than this is not compared pair by pair at once; its shingle is common.
 MOST_PAIRED = 48
+#: Sets of a crowded bucket that a task compares with as many others.
+BLOCK_SETS = 2_048
 #: Common shingles that the order of shingles knows, the most common ones: they go to every task. Of more, the others count as rare,
 #: which costs meetings and changes no result.
 MOST_COMMON = 100_000
@@ -29,8 +31,6 @@ MOST_COMMON = 100_000
 MOST_SENT = 1_000_000
 #: Least numbers of 64 bits in a set's parity sketch; a sketch has two to four bits for each shingle.
 LEAST_SKETCH = 4
-#: Numbers of a sketch that are compared first.
-FIRST_SKETCH = 16
 
 
 def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -197,13 +197,92 @@ def _possible(x: str, y: str) -> Column:
     that do have sketches of one size, or one of twice the other's."""
     n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
     xor = lambda u, v: u.bitwiseXOR(v)
-    fold = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), xor)
+    half = lambda s: (F.size(s) / 2).cast("int")
+    fold = lambda s: F.zip_with(F.slice(s, 1, half(s)), F.slice(s, half(s) + 1, half(s)), xor)
     p, q = F.when(F.size(p) > F.size(q), fold(p)).otherwise(p), F.when(F.size(q) > F.size(p), fold(q)).otherwise(q)
     differ = F.aggregate(F.zip_with(p, q, xor), F.lit(0), lambda total, v: total + F.bit_count(v))
-    # Most pairs differ enough in the first numbers already: a plain sum, before the loop over all.
-    some = sum((F.coalesce(F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))), F.lit(0)) for i in range(FIRST_SKETCH)), F.lit(0))
-    first = (F.size(f"{x}.sketch") != F.size(f"{y}.sketch")) | (9 * some <= n + m)
-    return F.when(~(5 * F.least(n, m) >= 4 * F.greatest(n, m)) | ~first, False).otherwise(9 * differ <= n + m)
+    return F.when(~(5 * F.least(n, m) >= 4 * F.greatest(n, m)), False).otherwise(9 * differ <= n + m)
+
+
+class _Block:
+    """Sets of one block of a bucket, by the size of their sketches and their own."""
+
+    def __init__(self, rows: list[dict]):
+        rows.sort(key=lambda r: (len(r["sketch"]), r["n"], r["fp"]))
+        self.rows = rows
+        self.fp, self.label, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("fp", "label", "n"))
+        size = np.array([len(r["sketch"]) for r in rows])
+        self.sketches: dict[int, tuple[int, int, np.ndarray]] = {}  # by size: from, to, sketches
+        for length in np.unique(size).tolist():
+            a, b = np.searchsorted(size, [length, length + 1])
+            self.sketches[length] = (int(a), int(b), np.array([r["sketch"] for r in rows[a:b]], np.int64).view(np.uint64))
+
+    def near(self, other: "_Block", i: int) -> np.ndarray:
+        """Sets of the other block in other components that may be similar to the i-th of this one."""
+        n, out = int(self.n[i]), []
+        own = np.array(self.rows[i]["sketch"], np.int64).view(np.uint64)
+        for length, (a, b, sketches) in other.sketches.items():
+            if not len(own) // 2 <= length <= 2 * len(own):
+                continue
+            # In this part sizes ascend: those within the similarity are a stretch.
+            low, high = a + np.searchsorted(other.n[a:b], [-(-4 * n // 5), 5 * n // 4 + 1])
+            at = low + np.flatnonzero(other.label[low:high] != self.label[i])
+            if not len(at):
+                continue
+            x, y = own, sketches[at - a]
+            if length < len(own):
+                x = own[:length] ^ own[length:]
+            elif length > len(own):
+                y = y[:, : len(own)] ^ y[:, len(own) :]
+            out.append(at[9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n + other.n[at]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _cross_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes rows of pairs of blocks (h, low, high); gives the pairs that may be similar, each under the first crowded shingle only that
+    its sets share. Memory holds two blocks."""
+
+    def compared(rows: list[dict], h: int) -> Iterator[tuple[int, int]]:
+        parts = sorted({r["block"] for r in rows})
+        blocks = {b: _Block([r for r in rows if r["block"] == b]) for b in parts}
+        first, last = blocks[parts[0]], blocks[parts[-1]]
+        for i, r in enumerate(first.rows):
+            for j in first.near(last, i).tolist():
+                a, b = r["fp"], int(last.fp[j])
+                if (len(parts) == 2 or a < b) and min(r["held"] & last.rows[j]["held"]) == h:
+                    yield min(a, b), max(a, b)
+
+    def done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        # A pair of different blocks is met under both together only; one block alone is met with itself.
+        if rows and (rows[0]["low"] == rows[0]["high"] or len({r["block"] for r in rows}) == 2):
+            for r in rows:
+                r["held"] = set(r["every"])
+            found = list(compared(rows, rows[0]["h"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and (r["h"], r["low"], r["high"]) != (held[0]["h"], held[0]["low"], held[0]["high"]):
+                yield from done(held)
+                held = []
+            held.append(r)
+    yield from done(held)
+    trim()
+
+
+def _crossed(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one crowded bucket and different components that may be similar. open_: h, fp, label, n, sketch, every.
+
+    Buckets are cut into blocks, and every two blocks of a bucket are one group of bounded size, however large the bucket is."""
+    spark = open_.sparkSession
+    blocks = open_.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    rows = open_.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "label", "n", "sketch", "every")
+    dealt = rows.repartition(shuffle_partitions(spark), "h", "low", "high").sortWithinPartitions("h", "low", "high")
+    return dealt.mapInArrow(_cross_batches, "a long, b long")
 
 
 class _Verifier:
@@ -277,11 +356,9 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
         split = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
         # Each set brings the crowded shingles that it stands under, so that two sets are a pair under the first that they share only.
         open_ = placed.join(split, "h")
-        under = open_.groupBy("fp").agg(F.array_sort(F.collect_list("h")).alias("every"))
+        under = open_.groupBy("fp").agg(F.collect_set("h").alias("every"))
         open_ = scratch.save(open_.join(under, "fp").join(light, "fp"), "open")
-        first = F.col("x.h") == F.array_min(F.array_intersect("x.every", "y.every"))
-        cross = open_.alias("x").join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")) & _possible("x", "y") & first)
-        cross = scratch.save(cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")), "cross")
+        cross = scratch.save(_crossed(open_), "cross")
         if not cross.isEmpty():
             links = links.union(verifier.links(cross))
             labels = connected_components(links)

@@ -48,8 +48,9 @@ def copies(seed):
     return out
 
 
-@pytest.mark.parametrize("most,common", [(48, 100_000), (2, 100_000), (1, 5), (2, 0)])
-def test_groups_match_brute_force(spark, monkeypatch, most, common):
+@pytest.mark.parametrize("most,common,block", [(48, 100_000, 2048), (2, 100_000, 2048), (1, 5, 3), (2, 0, 1)])
+def test_groups_match_brute_force(spark, monkeypatch, most, common, block):
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", block)
     monkeypatch.setattr(near_copies, "MOST_PAIRED", most)
     monkeypatch.setattr(near_copies, "MOST_COMMON", common)
     texts = copies(3)
