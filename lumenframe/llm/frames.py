@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,27 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved within it, by any operator, are deleted after it: what it is for must be written by then."""
+    made: list[tuple[SparkSession, str]] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for owner, root in made:
+            _delete(owner, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Parquet tables under the shared folder. A table cuts the lineage, and survives the loss of the executor that wrote it."""
 
@@ -45,6 +68,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _open:
+            _open[-1].append((spark, self.root))
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -59,8 +84,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table from save() that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

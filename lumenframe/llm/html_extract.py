@@ -280,7 +280,7 @@ def _weigh_hints(root: Node, order: list[Node]) -> bool:
     """Take the hinted elements out whose text does not outweigh their hint; whether there were any.
 
     A doubtful hint is outweighed by prose: paragraphs of three points in all, with few links. A plain statement is outweighed if
-    the page has no other paragraph, and the element holds an article or two paragraphs of over 80 characters with few links.
+    the page has no other paragraph and no article, and the element holds an article or two paragraphs of over 80 characters with few links.
     """
     suspects = [n for n in order if n.hint]
     if not suspects:
@@ -293,9 +293,9 @@ def _weigh_hints(root: Node, order: list[Node]) -> bool:
         inside[id(node)] = up if up is not None else node if node.hint else None
     plain = {id(n): 0 for n in suspects}
     for node in order:
-        p = _points(node)
         if inside[id(node)] is None:
-            rest += p if node.chars >= 25 else 0
+            rest += _points(node) if node.chars >= 25 or node.tag in ("article", "main") else 0
+            rest += node.tag in ("article", "main") and node.chars >= 2
     # Sums of the hinted elements, children before parents: each node adds to the next hinted element around it.
     total: dict[int, tuple[float, int, bool]] = {}
     for node in order:

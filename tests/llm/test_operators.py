@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -84,6 +85,32 @@ def test_token_store(spark):
     assert "EqualTo(doc_id,5)" in some._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_store_of_many_files(spark, tmp_path):
+    """Starts follow the part numbers, which have five digits or more: part-100000 is after part-99999."""
+    import shutil
+    from pathlib import Path
+
+    pairs = [(k, "the and " * (k % 5 + 1)) for k in range(60)]
+    token_output.write_tokens(docs_of(spark, pairs), f"file://{tmp_path}/store", queries.tokenizer_path(), partitions=3)
+    for n, p in enumerate(sorted(Path(tmp_path, "store").glob("part-*"))):
+        shutil.move(p, p.with_name(p.name.replace(f"part-{n:05d}", f"part-{99_999 + n}")))
+    for p in Path(tmp_path, "store").glob(".part-*"):
+        p.unlink()
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output.digest(spark, f"file://{tmp_path}/store").collect())
+    assert [i for _, i, _ in got] == list(range(60))
+    assert [s for s, *_ in got] == np.cumsum([0] + [n for *_, n in got])[:-1].tolist()
+
+
+def test_encoder_of_long_words(spark):
+    """Runs of a megabyte without a space: the library's ids, and nothing of them is remembered."""
+    encoder = token_output.Encoder(queries.tokenizer_path())
+    texts = ["x" * 30_000 + ".", "ab1" * 20_000, "word " + "é" * 20_000, "日本" * 10_000]
+    bounds, ids = encoder.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*encoder.new, *encoder.old])) <= token_output.LONG_WORD
+
+
 def test_token_store_of_nothing(spark):
     to = Scratch(spark, "test").path("store")
     token_output.write_tokens(docs_of(spark, [(1, "x")]).where("false"), to, queries.tokenizer_path())
@@ -159,6 +186,120 @@ def test_html_rows(spark):
     assert html_extract.extract("<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
+def random_tree(r, depth=0):
+    """(tag, children): containers, paragraphs, lists and links, each paragraph closed."""
+    words = lambda n: " ".join(r.choice(["one", "two,", "three", "four, five", "x"]) for _ in range(n))
+    kind = r.random()
+    if depth == 0:
+        return "body", [random_tree(r, 1) for _ in range(r.randint(1, 5))]
+    if depth > 4 or kind < 0.4:
+        inner = [words(r.choice([1, 8, 40]))]
+        if r.random() < 0.4:
+            inner += [("a", [words(r.choice([1, 10, 60]))]), " " + words(2)]
+        return "p", inner
+    if kind < 0.5:
+        return "ul", [("li", [("a", [words(3)])] if r.random() < 0.7 else [words(4)]) for _ in range(r.randint(1, 4))]
+    return r.choice(["div", "div", "div", "section", "article" if r.random() < 0.3 else "div"]), [random_tree(r, depth + 1) for _ in range(r.randint(1, 4))]
+
+
+def brute_extract(tree):
+    """The rules of the module, by recursion over the whole tree for every question."""
+    text = lambda n: n if isinstance(n, str) else "".join(text(c) for c in n[1])
+    tag = lambda n: None if isinstance(n, str) else n[0]
+    own = lambda n: " ".join("".join(c for c in n[1] if isinstance(c, str)).split())
+    every = lambda n: [n] + [x for c in n[1] if not isinstance(c, str) for x in every(c)]
+    chars = lambda n: sum(len(own(x)) for x in every(n))
+    linked = lambda n: sum(chars(x) for x in every(n) if x[0] == "a")
+    density = lambda n: linked(n) / chars(n) if chars(n) else 0.0
+    blocks = lambda n: any(x is not n and x[0] in html_extract.BLOCK for x in every(n))
+
+    def points(n):
+        if n[0] not in html_extract.PARAGRAPHS or chars(n) < 2:
+            return 0
+        if blocks(n) and n[0] in ("div", "section", "article", "main", "body", "li", "td", "dd") and sum(len(c.strip()) for c in n[1] if isinstance(c, str)) < 25:
+            return 0
+        return (1 + sum(own(x).count(",") for x in every(n)) + min(chars(n) // 100, 3)) * (1 - density(n))
+
+    up = {id(c): n for n in every(tree) for c in n[1] if not isinstance(c, str)}
+    score = {}
+    for n in every(tree):
+        p = points(n)
+        if not p:
+            continue
+        at, k = up.get(id(n)) if n[0] != "body" else n, 0
+        while at is not None and k < 5:
+            score[id(at)] = score.get(id(at), html_extract._PRIOR.get(at[0], 0.0)) + p * [1, 0.5, 1 / 6, 1 / 9, 1 / 12][k]
+            at, k = up.get(id(at)), k + 1
+    if not score:
+        return [tree], None
+    value = {id(n): score[id(n)] * (1 - density(n)) for n in every(tree) if id(n) in score}
+    return value, max(value.values())
+
+
+def test_html_scores_match_brute_force():
+    r = random.Random(21)
+    write = lambda n: n if isinstance(n, str) else f"<{n[0]}>" + "".join(map(write, n[1])) + f"</{n[0]}>"
+    text = lambda n: n if isinstance(n, str) else "".join(text(c) for c in n[1])
+    lines = lambda n: [" ".join(text(n).split())] if n[0] in ("p", "li") else [x for c in n[1] for x in lines(c)]
+    kept = lambda n, path=(): [(path, n)] + [x for i, c in enumerate(n[1]) if not isinstance(c, str) for x in kept(c, (*path, i))]
+    articles = 0
+    for _ in range(300):
+        tree = random_tree(r)
+        value, best = brute_extract(tree)
+        root = html_extract.parse(write(tree))
+        got = html_extract.main_nodes(root)
+        if best is None:
+            assert got == [root]
+            continue
+        # The same nodes, in the order of the page, have the same scores.
+        flat = lambda n: [n] + [x for c in n.children if isinstance(c, html_extract.Node) for x in flat(c)]
+        mine = [n.score * (1 - html_extract._density(n)) if n.scored else None for n in flat(root)]
+        theirs = [value.get(id(n)) for _, n in kept(tree)]
+        assert len(mine) == len(theirs) and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(mine, theirs))
+        # Inside an article around the best container, everything is kept and nothing before it that is mostly links.
+        out = html_extract.extract(write(tree)).split("\n")
+        path = max((p for p, n in kept(tree) if abs(value.get(id(n), -1) - best) < 1e-9), key=lambda p: [-x for x in p], default=())
+        around = [n for p, n in kept(tree) if p == path[: len(p)] and n[0] == "article"]
+        if around and sum(abs(v - best) < 1e-9 for v in value.values()) == 1:
+            articles += 1
+            want = [x for x in lines(around[0]) if x]
+            assert any(out[i : i + len(want)] == want for i in range(len(out) - len(want) + 1))
+        every = [x for x in lines(tree) if x]
+        at = -1
+        for line in out:  # lines of the page, in its order, each whole
+            at = every.index(line, at + 1) if line else at
+    assert articles > 20
+
+
+@pytest.mark.parametrize("tag", ["span", "b", "div", "li", "a", "td", "table><tr><td"])
+def test_html_of_any_nesting(tag):
+    began = time.time()
+    assert html_extract.extract(f"<div><{tag}>" + f"<{tag}>" * 100_000 + "hello there, you") == "hello there, you"
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p data-x=it's>text</p><p>more</p></article>", "text\nmore"),
+        ("<div class='social-history'><p>One paragraph, of the history, of social life.</p><p>And another, as long, as the first.</p></div>", "One paragraph, of the history, of social life.\nAnd another, as long, as the first."),
+        ("<p>a &am<b>p;</b> b</p>", "a &amp; b"),
+        ("<article><p>x &amp;lt; y &copy; &#x41;&#66;</p></article>", "x &lt; y © AB"),
+        ("<article><svg><title>t</title><style/></svg><p>kept</p></article>", "kept"),
+        ("<b><div>one</b> two</div>", "one two"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a\nb\nc\nd"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        ("<article><p>x</p><div class='share-buttons'><a href=y>Share</a></div><p>z</p></article>", "x\nz"),
+        ("<p>a<!-->b<!--->c<!-- d --!>e</p>", "abce"),
+        ("<p title='a > b' x=\"</p>\">in</p>", "in"),
+        ("<form id=aspnet><p>" + "word, " * 20 + "</p><p>" + "text, " * 20 + "</p></form>", ("word, " * 20).strip() + "\n" + ("text, " * 20).strip()),
+        ("<article><p>Short.</p></article><div class=sidebar><p>" + "side, " * 50 + "</p><p>" + "more, " * 50 + "</p></div>", "Short."),
+    ],
+)
+def test_html_states_and_hints(page, want):
+    assert html_extract.extract(page) == want
+
+
 # PII
 
 KEY = b"test key"

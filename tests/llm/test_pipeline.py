@@ -10,8 +10,10 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumenframe.llm import queries
-from tests.llm.test_text_windows import brute_components, brute_fingerprint, brute_hits
+from lumenframe.llm import queries, token_output
+from lumenframe.llm.frames import shared_dir
+from tests.llm.test_near_copies import brute_labels
+from tests.llm.test_text_windows import brute_hits
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -38,7 +40,7 @@ def test_stages(spark, tmp_path):
     assert len(before) == 206 and {key(r) for r in after} <= {key(r) for r in letters} and len(after) >= 0.99 * len(letters)
 
     before, after = held["near_duplicates"]
-    comp = brute_components([brute_fingerprint(r.text) for r in before])
+    comp = brute_labels([r.text for r in before])
     groups = {}
     for c, r in zip(comp, before):
         groups.setdefault(c, []).append(r)
@@ -54,8 +56,10 @@ def test_stages(spark, tmp_path):
     before, after = held["mixing"]
     taken = Counter(key(r) for r in after)
     assert set(taken) <= {key(r) for r in before} and max(taken.values()) <= 4
-    tokens = lambda rs: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rs)
-    assert 0.5 * tokens(before) < tokens(after) <= tokens(before)
+    library = token_output.encoder(queries.tokenizer_path()).tokenizer
+    size = {key(r): len(library.encode(r.text, add_special_tokens=False).ids) for r in before}
+    tokens = lambda rs: sum(size[key(r)] for r in rs)
+    assert 0.9 * tokens(before) < tokens(after) <= tokens(before)
 
     before, after = held["token_output"]
     assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before)
@@ -63,6 +67,19 @@ def test_stages(spark, tmp_path):
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
+def test_run_leaves_only_what_is_read(spark):
+    """The result of run(), from stages that are written and read, and no table of an earlier stage after it."""
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    frame = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, docs.collect()))
+    left = [p for d in set(folder.iterdir()) - before if d.name.startswith("pipeline-") for p in d.iterdir()]
+    assert [p.name.split("-", 1)[1] for p in left] == ["mixing"]
+
+
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
