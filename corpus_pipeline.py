@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, language_id, mixing, near_copies, token_output
-from lumenframe.llm.frames import Scratch, table
+from lumenframe.llm.frames import Scratch, passing, table
 from lumenframe.llm.queries import encoded, mix_levels, mix_weights, tokenizer_path
 
 #: Rows to leave out whose keys are sent to every task; of more, texts are shuffled once.
@@ -16,7 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a language (null, or without a letter) go; so do those between two languages without a
-    difference. The label of the others becomes the predicted language. Without any label to learn from, all texts with a letter stay."""
+    difference. The label of the others becomes the predicted language. Without any label to learn from, all texts with a letter stay.
+    A null id, label or source stays as it is, rows that repeat are each judged, long texts are read whole, an empty table gives none;
+    only the columns of documents go on."""
     model = language_id.fit(docs.where(language_id.fold() != 1))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.lit(language_id.UNKNOWN)).select(*COLUMNS)
@@ -50,18 +52,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, most_sent
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: a document with a window of ten words of the benchmark goes."""
+    """Benchmark decontamination: a document with a window of ten words of the benchmark goes, and all its copies. A null or empty text
+    stays, as does every row without such a window, whatever its nulls and repeats; long texts are searched whole; without a benchmark
+    all stay, and an empty table gives none."""
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: as many tokens as there are, in the target weights; a document stands there once for each time it is taken."""
+    """Mixing: as many tokens as there are, in the target weights, each document up to four times; it stands there once for each time.
+    A null language or source is one of its own; a document without tokens follows its place in its leaf's order; rows that agree in
+    id and text go together; long texts count whole; an empty table gives none."""
     mixed = mixing.mix(docs.select(*COLUMNS), mix_levels(), mix_weights(), epochs=4, seed=20, tokens=token_output.token_count(tokenizer_path()), share=1.0)
     return mixing.repeat(mixed, COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-ID output: the store, as its digest."""
+    """Token-ID output: every document that is left, each repeat too, in the store by ascending id (null first); the result is the
+    store's digest, read back from its files. A null or empty text has only the end id; an empty table gives an empty store."""
     return encoded(spark, docs)
 
 
@@ -72,8 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder. A stage's table goes when the next one's is written, as do the operators' own."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with passing(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
