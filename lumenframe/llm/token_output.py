@@ -29,7 +29,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Bytes of words and ids that a worker remembers, about, twice over; older ones are forgotten, so the bound changes speed only. A
 #: word of over LONG_WORD bytes is not remembered.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 32 << 20
 LONG_WORD = 64
 #: What a remembered word takes besides its letters and ids.
 _ENTRY = 180
@@ -74,10 +74,35 @@ class Encoder:
         ids = [np.array(x.ids, np.int32) for x in found]
         return np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *ids])
 
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        if not self.by_word:
+            return np.diff(self.encode(texts)[0])
+        found = self._distinct(texts)
+        if found is None:
+            return np.zeros(len(texts), np.int64)
+        ids, of, bounds = found
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.diff(np.concatenate([[0], np.cumsum(size[of])])[bounds])
+
     def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self._distinct(texts)
+        if found is None:
+            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32)
+        ids, of, bounds = found
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        at = np.cumsum(size) - size
+        n = size[of]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(at[of] - total[:-1], n) + np.arange(total[-1])]
+        return total[bounds], out
+
+    def _distinct(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray] | None:
+        """The ids of each distinct piece, the number of each piece's own, and where each text's pieces begin; None without any."""
         words = split_words(texts, SPACED)
         if not len(words.start):
-            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32)
+            return None
         if b"<|" not in words.buf.tobytes():  # else a special token may be spelled out, in its case
             words = Words(lower_ascii(words.buf), words.start, words.end, words.docs)
         begin, end, word = self._pieces(words)
@@ -92,14 +117,7 @@ class Encoder:
             every = [buf[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
             number = {w: i for i, w in enumerate(dict.fromkeys(every))}
             spelled, of = list(number), np.array([number[w] for w in every])
-        ids = self._ids(spelled)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        at = np.cumsum(size) - size
-        n = size[of]
-        total = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(at[of] - total[:-1], n) + np.arange(total[-1])]
-        return total[np.searchsorted(word, words.docs)], out
+        return self._ids(spelled), of, np.searchsorted(word, words.docs)
 
     @staticmethod
     def _pieces(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +186,7 @@ def token_count(tokenizer: str, text_col: str = "text") -> Column:
     def count(texts: pa.Array) -> pa.Array:
         tokens = encoder(tokenizer)
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        out = [np.diff(tokens.encode(part.column("text"))[0]) for part in slices(batch, "text", PIECE_BYTES)]
+        out = [tokens.count(part.column("text")) for part in slices(batch, "text", PIECE_BYTES)]
         trim()
         return pa.array(np.concatenate([np.zeros(0, np.int64), *out]), pa.int64())
 

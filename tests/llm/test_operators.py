@@ -41,6 +41,7 @@ def test_encoder_equals_the_library():
     texts = AWKWARD + random_texts(1500, 1)
     for i in range(0, len(texts), 7):
         bounds, ids = encoder.encode(pa.array(texts[i : i + 7], pa.string()))
+        assert encoder.count(pa.array(texts[i : i + 7], pa.string())).tolist() == np.diff(bounds).tolist()
         for k, text in enumerate(texts[i : i + 7]):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
