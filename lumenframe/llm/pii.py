@@ -86,6 +86,8 @@ _TWO_DIGITS = re.compile(r"\d\d")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))}) ({_NAME}(?: {_NAME}){{0,2}})")
 _NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})(?: [A-Z]\.)?(?: {_NAME}){{1,2}}")
 _SOME = re.compile(r"[\d@=:]|PRIVATE KEY|eyJ|Bearer")
+# First digits and lengths of card numbers.
+_CARD = re.compile(r"4\d{12}|4\d{15}|4\d{18}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}")
 _DATE = re.compile(r"(?:(?:1[6-9]|2\d)\d\d[-./](?:0?[1-9]|1[0-2])[-./](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-./](?:0?[1-9]|[12]\d|3[01])[-./](?:(?:1[6-9]|2\d)\d\d|\d\d))(?!\d)")
 _VERSION = re.compile(r"(?i:\b(?:version|release|rev|build)|\bv)\.?[ :]*$")
 
@@ -103,7 +105,7 @@ def _accepted(kind: str, m: re.Match, value: str, digits: str) -> bool:
     if kind == "secret" and m.re.groups == 2:
         return _secret_like(m[1], value)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and _luhn(digits)
+        return _CARD.fullmatch(digits) is not None and _luhn(digits)
     if kind == "phone":
         return 8 <= len(digits) <= 15 and not _DATE.match(value.lstrip("(")) and (value[0] in "+(" or len(digits) >= 9)
     if kind == "iban":
