@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of their shingle sets, exact: every pair of at least 4/5 is found, and no other.
+"""SimHash near-dedup at a similarity of shingle sets, exact: every pair of at least 4/5 is found, and no other.
+
+Fingerprints of the sets link through their deletion-variant signatures (simhash.links), and each link is verified on the sets. That
+settles masses of copies in linear time. But sets that similar differ in up to some twenty bits of 64, for which segments with one
+differing bit would have to be so short that every one of them is in a large part of all documents. So the pairs that fingerprints
+miss are found by another index, a prefix filter on the sets themselves, and verified in the same way.
 
 Of two sets that similar, the first fifths in any common order of all shingles share one (prefix filter). The order puts shingles
 that are common in the corpus last, so that few sets meet. Meetings that sizes, positions or parity sketches rule out are dropped; the
@@ -16,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm import simhash
 from lumenframe.llm.components import connected_components
 from lumenframe.llm.frames import Scratch, extend, shuffle_partitions
 from lumenframe.llm.words import SPACED, mix, slices, split_words, trim
@@ -130,7 +136,8 @@ def _set_batches(shingle: int, names: list[str], common: np.ndarray, often: np.n
                 every = list(_sets(part.column("__text"), shingle))
                 columns = [pa.array([_name(x) for x in every], pa.int64()), pa.array([len(x) for x in every], pa.int32())]
                 columns += [pa.array([_prefix(x, len(x) // 5 + 1, common, often) for x in every], pa.list_(pa.int64())), pa.array([_sketch(x) for x in every], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=[*names, "fp", "n", "prefix", "sketch"])
+                sims = np.array([simhash.majority(simhash.ones(x), len(x)) for x in every], np.uint64)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns, pa.array(sims.view(np.int64))], names=[*names, "fp", "n", "prefix", "sketch", "sim"])
         trim()
 
     return run
@@ -330,19 +337,26 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
     common, often = _common(texts, shingle)
     rows = docs.select(*keep, F.xxhash64(text).alias("text_hash"), text.alias("__text"))
     names = [c for c in rows.columns if c != "__text"]
-    made = rows.mapInArrow(_set_batches(shingle, names, common, often), extend(rows.drop("__text").schema, "fp long, n int, prefix array<long>, sketch array<long>"))
+    made = rows.mapInArrow(_set_batches(shingle, names, common, often), extend(rows.drop("__text").schema, "fp long, n int, prefix array<long>, sketch array<long>, sim long"))
     made = scratch.save(made, "sets")
-    distinct = made.groupBy("fp").agg(F.min(id_col).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "text_hash")])
+    distinct = made.groupBy("fp").agg(F.min(id_col).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "sim", "text_hash")])
     distinct = scratch.save(distinct, "distinct")
     verifier = _Verifier(distinct, texts, shingle, scratch)
 
+    # Sets of one fingerprint hang on the first of them, and the first ones of linked fingerprints on each other.
+    firsts = scratch.save(distinct.groupBy("sim").agg(F.min("fp").alias("a")), "firsts")
+    same = distinct.join(firsts, "sim").where("a < fp").select("a", F.col("fp").alias("b"))
+    other = firsts.select(F.col("sim").alias("other"), F.col("a").alias("o"))
+    linked = simhash.links(firsts.select(F.col("sim").alias("fp"))).select(F.col("a").alias("sim"), F.col("b").alias("other"))
+    linked = linked.join(firsts, "sim").join(other, "other").select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
+
     dealt = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "fp", "n", "pos")
     dealt = dealt.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "fp")
     met = scratch.save(dealt.mapInArrow(_meet_batches(MOST_PAIRED), "a long, b long, h long"), "met")
     crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("fp"))
     hubs = crowd.groupBy("h").agg(F.min("fp").alias("a"))
     star = crowd.join(hubs, "h").where("a < fp").select("a", F.col("fp").alias("b"))
-    close = verifier.close(met.where("h IS NULL").select("a", "b").union(star).distinct())
+    close = verifier.close(met.where("h IS NULL").select("a", "b").union(star).union(same).union(linked).distinct())
     # One pair for each set first: of masses of copies, that leaves few of the other pairs to look at.
     links = verifier.links(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = connected_components(links)

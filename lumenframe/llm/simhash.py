@@ -25,6 +25,16 @@ MOST_PAIRED = 48
 _CHUNK = 1 << 18
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit, from the highest."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
+def majority(count: np.ndarray, n: int) -> np.uint64:
+    """The fingerprint of n hashes by their counts of ones: a bit is 1 if over half have it."""
+    return np.packbits(count * 2 > n).view(">u8")[0]
+
+
 def fingerprint_batches(shingle: int, seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -40,13 +50,12 @@ def fingerprint_batches(shingle: int, seed: int, names: list[str]):
                     if a == b:
                         continue
                     size = min(shingle, b - a)
-                    ones, n = np.zeros(BITS, np.int64), b - a - size + 1
+                    count, n = np.zeros(BITS, np.int64), b - a - size + 1
                     for i in range(a, a + n, _CHUNK):
                         j = min(i + _CHUNK, a + n)
                         s, e = begin[i:j].tolist(), stop[i + size - 1 : j + size - 1].tolist()
-                        h = np.array([xxh64_intdigest(buf[x:y], seed) for x, y in zip(s, e, strict=True)], ">u8")
-                        ones += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-                    out[d] = np.packbits(ones * 2 > n).view(">u8")[0]
+                        count += ones(np.array([xxh64_intdigest(buf[x:y], seed) for x, y in zip(s, e, strict=True)], np.uint64))
+                    out[d] = majority(count, n)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out.view(np.int64))], names=[*names, "fp"])
         trim()
 
@@ -129,7 +138,8 @@ def _meet_batches(distance: int, most: int):
 
 
 def _crowded(crowd: DataFrame, distance: int) -> DataFrame:
-    """Links between the members (rows fp) of crowded buckets, linear in their number.
+    """Links between the members (rows fp) of crowded buckets, linear in their number: the whole fingerprint is the segment, and each
+    member goes under its one-change variants, so that all who meet are within the distance and need no comparison.
 
     Two fingerprints differ in at most two bits exactly if changing at most one bit of each gives the same number, and in at most
     one exactly if blanking some one bit does. So each member goes under itself and its 64 changes (or its 64 blanked forms); all

@@ -35,7 +35,7 @@ SHARD_BYTES = 16 << 20
 #: What the pivots and the shards' roots take in every task, at most.
 ROOT_BYTES = 64 << 20
 #: Vectors of a leaf page take about so many bytes; children of a node.
-PAGE_BYTES = 32 << 10
+PAGE_BYTES = 64 << 10
 FANOUT = 8
 #: Queries that a task puts to one shard, about.
 TASK_QUERIES = 4096
