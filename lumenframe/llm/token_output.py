@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Bytes of words and ids that a worker remembers, about, twice over; older ones are forgotten, so the bound changes speed only. A
 #: word of over LONG_WORD bytes is not remembered.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 48 << 20
 LONG_WORD = 64
 #: What a remembered word takes besides its letters and ids.
 _ENTRY = 180
@@ -38,10 +37,21 @@ PIECE_BYTES = 1 << 20
 #: Characters that the encoder cuts off the ends of words: none of them joins a token with a letter before it.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?*&%$#")] = True
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _JOINED = 100
 
 
+def _other_bytes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bytes of some spans that are of no letter a to z, à to ö and ø to ÿ (the multiplication and division signs are no letters)."""
+    lead = buf == 0xC3
+    tail = np.zeros(len(buf), bool)
+    tail[1:] = lead[:-1]
+    tail &= (buf >= 0x80) & (buf != 0x97) & (buf != 0xB7)
+    follows = np.append(tail[1:], False)
+    other = ~((buf >= 0x61) & (buf <= 0x7A) | tail | lead & follows)
+    upto = np.concatenate([[0], np.cumsum(other, dtype=np.int32)])
+    return upto[end] - upto[begin]
+
+
 class Encoder:
     """Token ids of whole texts, as the library's encode() gives them.
 
@@ -117,7 +127,9 @@ class Encoder:
             every = [buf[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
             number = {w: i for i, w in enumerate(dict.fromkeys(every))}
             spelled, of = list(number), np.array([number[w] for w in every])
-        return self._ids(spelled), of, np.searchsorted(word, words.docs)
+            return self._ids(spelled, [False] * len(spelled)), of, np.searchsorted(word, words.docs)
+        letters = (_other_bytes(words.buf, begin[first], end[first]) == 0) & (length[first] <= LONG_WORD)
+        return self._ids(spelled, letters.tolist()), of, np.searchsorted(word, words.docs)
 
     @staticmethod
     def _pieces(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,17 +148,19 @@ class Encoder:
         second[1:] = word[1:] == word[:-1]
         return np.where(second, tail[word], start[word]), np.where(second, end[word], tail[word]), word
 
-    def _ids(self, spelled: list[bytes]) -> list[bytes]:
+    def _ids(self, spelled: list[bytes], letters: list[bool]) -> list[bytes]:
+        """letters: whether a word is short and of plain letters only; such words go to the library many at a time."""
         new, old = self.new, self.old
-        added = [w for w in spelled if w not in new]
+        added = [i for i, w in enumerate(spelled) if w not in new]
         fresh = []
-        for w in added:
+        for i in added:
+            w = spelled[i]
             found = old.get(w)
             if found is None:
-                fresh.append(w)
+                fresh.append(i)
             else:
                 new[w] = found
-        plain = [w for w in fresh if len(w) <= LONG_WORD and _LETTERS.fullmatch(w)] if self.ends.any() else []
+        plain = [spelled[i] for i in fresh if letters[i]] if self.ends.any() else []
         for i in range(0, len(plain), _JOINED * 50):
             groups = [plain[j : j + _JOINED] for j in range(i, min(i + _JOINED * 50, len(plain)), _JOINED)]
             for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
@@ -155,16 +169,16 @@ class Encoder:
                 if len(cuts) == len(group) and cuts[-1] == 4 * len(ids):
                     raw = ids.tobytes()
                     new.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-        rest = [w for w in fresh if w not in new]
+        rest = [spelled[i] for i in fresh if spelled[i] not in new]
         for i in range(0, len(rest), 2_000):
             part = rest[i : i + 2_000]
             for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 new[w] = np.array(found.ids, np.int32).tobytes()
         out = [new[w] for w in spelled]
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                del new[w]
-        self.bytes += sum(map(len, added)) * 2 + _ENTRY * len(added)  # ids take about as much as letters
+        for i in fresh:
+            if len(spelled[i]) > LONG_WORD:
+                del new[spelled[i]]
+        self.bytes += sum(len(spelled[i]) for i in added) * 2 + _ENTRY * len(added)  # ids take about as much as letters
         if self.bytes > CACHE_BYTES:
             self.old, self.new, self.bytes = new, {}, 0
         return out
