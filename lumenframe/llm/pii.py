@@ -77,7 +77,11 @@ _PATTERNS = [
     )),
 ]
 #: What a text must hold for each pattern to be worth a search: one of these.
-_MARKS = [("@",), ("PRIVATE KEY",), ("eyJ",), ("Bearer",), ("=", ":"), ("AKIA", "ASIA"), ("_", "-", "AIza"), ("",), (".",), (":",), ("",), ("-",), ("",), ("",)]
+_MARKS = [
+    ("@",), ("PRIVATE KEY",), ("eyJ",), ("Bearer",), ("=", ":"), ("AKIA", "ASIA"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_live_", "rk_live_", "AIza"),
+    ("",), (".",), (":",), ("",), ("-",), ("",),
+    ("Street", "St.", "Avenue", "Ave.", "Road", "Rd.", "Lane", "Drive", "Boulevard", "Blvd.", "Court", "Square", "Terrace", "straße", "strasse", "str.", "gasse", "allee", "platz", "rue ", "avenue ", "boulevard ", "place ", "alle ", "venida ", "laza "),
+]
 # Words and endings of street names.
 _STREETS = set("Street St Avenue Ave Road Rd Lane Drive Boulevard Blvd Court Square Terrace Calle Avenida Plaza".split())
 _STREET_WORD = re.compile(r"(\d+|[A-ZÀ-ÖØ-Þ][\w'’-]*?)(straße|strasse|str|gasse|allee|platz)?(?![\w'’-])")
@@ -85,6 +89,7 @@ _WITHOUT_DIGITS = ("email", "secret", "ip", "ipv6", "address")
 _TWO_DIGITS = re.compile(r"\d\d")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))}) ({_NAME}(?: {_NAME}){{0,2}})")
 _NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})(?: [A-Z]\.)?(?: {_NAME}){{1,2}}")
+_CAPITALISED = re.compile(r"(?<!\w)[A-Z][^\W\d_]+")
 _SOME = re.compile(r"[\d@=:]|PRIVATE KEY|eyJ|Bearer")
 # First digits and lengths of card numbers.
 _CARD = re.compile(r"4\d{12}|4\d{15}|4\d{18}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}")
@@ -147,9 +152,12 @@ def _people(text: str) -> Iterator[tuple[int, list[str], list[str]]]:
         for m in _PERSON.finditer(text):
             names = m[2].split(" ")
             yield m.start(2), names, [f"given-{TITLES[m[1]]}"] * (len(names) - 1) + ["family"]
-    for m in _NAMED.finditer(text):
-        names = m[0].split(" ")
-        yield m.start(), names, [f"given-{_GENDER[names[0]]}"] * (len(names) - 1) + ["family"]
+    at = 0
+    for word in _CAPITALISED.finditer(text):
+        if word[0] in _GENDER and word.start() >= at and (m := _NAMED.match(text, word.start())):
+            names = m[0].split(" ")
+            at = m.end()
+            yield m.start(), names, [f"given-{_GENDER[names[0]]}"] * (len(names) - 1) + ["family"]
 
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
