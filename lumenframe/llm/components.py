@@ -41,9 +41,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     grow beyond the input's; rounds grow with the logarithm of the longest chain, and end with stars. An empty table gives no rows.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    now = scratch.save(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "edges")
+    now = scratch.save(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "edges", edges.count())
     while not _settled(now):
-        after = scratch.save(_small_star(_large_star(now)), "round")
+        after = scratch.save(_small_star(_large_star(now)), "round", now.count())
         scratch.drop(now)
         now = after
     ends = now.select(F.col("b").alias("node"), F.col("a").alias("label"))

@@ -382,7 +382,7 @@ def _write_hits(source: DataFrame, block: list[tuple[str | None, str]], window:
     keys = ["__h0", "__h1"]
     rows = source.select(*keys, "__text")
     found = rows.mapInArrow(_hit_batches(block, window, keys, only_hits=True), extend(rows.select(*keys).schema, _FOUND))
-    return scratch.save(found.groupBy(*keys).agg(F.first("__spots").alias("__spots"), F.first("__items").alias("__items")), "hits")
+    return scratch.save(found.groupBy(*keys).agg(F.first("__spots").alias("__spots"), F.first("__items").alias("__items")), "hits", source.count())
 
 
 def _count_batches(names: list[str]):

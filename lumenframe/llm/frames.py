@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a file of a table of numbers, and of one that a task makes from whole texts, about.
+NARROW_ROWS, TEXT_ROWS = 50_000, 5_000
 #: Rows that go to a Python worker at once: a row is a whole text here, so batches of Spark's default would take tens of megabytes.
 BATCH_ROWS = 1_000
 
@@ -75,8 +77,12 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:04d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None, each: int = NARROW_ROWS) -> DataFrame:
+        """The table, written and read again. rows: at most, or about, as many as the table has or is made of; it then has a file for
+        `each` of them at most, however many partitions the session's shuffles have."""
         to = self.path(name)
+        if rows is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // each)))
         df.write.parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._scratch_path = to

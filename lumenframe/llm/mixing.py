@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lumenframe.llm.frames import Scratch
+from lumenframe.llm.frames import TEXT_ROWS, Scratch
 
 #: Leaves that are sent to every task for the joins with the documents; of more, the joins shuffle.
 MOST_SENT = 50_000
@@ -136,17 +136,18 @@ class Mix:
         self.path = F.to_json(F.struct(*[c.cast("string").alias(n) for n, c in levels.items()]), {"ignoreNullFields": "false"})
         self.key = F.struct(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"))
         self.count = word_count(text_col) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
-        self.narrow = scratch.save(docs.select(self.path.alias("__path"), self.count.alias("__tokens"), self.key.alias("__row")), "narrow")
+        self.narrow = scratch.save(docs.select(self.path.alias("__path"), self.count.alias("__tokens"), self.key.alias("__row")), "narrow", docs.count(), TEXT_ROWS)
         depth = len(levels)
         kind = StructType([StructField(n, StringType()) for n in levels])
         leaves = self.narrow.groupBy("__path").agg(F.sum("__tokens").alias("n"), F.count("*").alias("rows"))
         place = F.from_json("__path", kind)
-        leaves = scratch.save(leaves.select(*[place[n].alias(f"l{i}") for i, n in enumerate(levels)], "__path", "n", "rows"), "leaves")
+        leaves = scratch.save(leaves.select(*[place[n].alias(f"l{i}") for i, n in enumerate(levels)], "__path", "n", "rows"), "leaves", self.narrow.count())
         leaf = budgets(leaves, weights, total, epochs, depth, share)
         whole = F.when(F.col("n") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.col("n")))).otherwise(0).cast("long")
         leaf = leaf.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("n")).withColumn("buckets", F.greatest(F.lit(1), F.floor(F.col("rows") / BUCKET_ROWS)))
-        leaf = scratch.save(leaf.select(*_names(depth), "__path", "whole", "rest", "buckets"), "budgets")
-        self.few = leaf.count() <= MOST_SENT
+        leaf = scratch.save(leaf.select(*_names(depth), "__path", "whole", "rest", "buckets"), "budgets", leaves.count())
+        size = leaf.count()
+        self.few = size <= MOST_SENT
         # The prefix ends in one bucket of hashes per leaf: the sums of the buckets tell which, and only its rows are put in order.
         placed = self.narrow.join(self._sent(leaf.select("__path", "whole", "rest", "buckets").where("rest > 0")), "__path").select("__path", "rest", "__tokens", self._order(F.col("__row")).alias("h"), "buckets")
         placed = placed.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("buckets")))
@@ -157,9 +158,9 @@ class Mix:
         run = F.col("before") + F.sum("n").over(W.partitionBy("__path").orderBy("h"))
         # The first hash that no longer fits; documents before it are the prefix. A leaf with a rest has one: the rest is less than all.
         last = near.withColumn("run", run).where("run > rest").groupBy("__path").agg(F.min(F.struct("h", "n", (F.col("rest") - F.col("run") + F.col("n")).alias("unused"))).alias("e"))
-        last = scratch.save(last.select("__path", F.col("e.h").alias("stop"), F.col("e.n").alias("next"), "e.unused"), "ends")
+        last = scratch.save(last.select("__path", F.col("e.h").alias("stop"), F.col("e.n").alias("next"), "e.unused"), "ends", size)
         more = _extend(leaf.join(last, "__path").select(*_names(depth), "__path", "stop", "next", "unused"), depth).select("__path", "stop", "more")
-        self.rule = scratch.save(leaf.join(more, "__path", "left").select("__path", "whole", "stop", "more"), "rule")
+        self.rule = scratch.save(leaf.join(more, "__path", "left").select("__path", "whole", "stop", "more"), "rule", size)
 
     def _sent(self, leaves: DataFrame) -> DataFrame:
         return F.broadcast(leaves) if self.few else leaves

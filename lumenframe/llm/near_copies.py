@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import simhash
 from lumenframe.llm.components import connected_components
-from lumenframe.llm.frames import Scratch, extend, shuffle_partitions
+from lumenframe.llm.frames import TEXT_ROWS, Scratch, extend, shuffle_partitions
 from lumenframe.llm.words import SPACED, mix, slices, split_words, trim
 
 #: A bucket of more sets than this is not compared pair by pair at once; its shingle is common.
@@ -295,27 +295,27 @@ def _crossed(open_: DataFrame) -> DataFrame:
 class _Verifier:
     """Whole sets against each other."""
 
-    def __init__(self, distinct: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch):
-        self.distinct, self.texts, self.shingle, self.scratch = distinct, texts, shingle, scratch
+    def __init__(self, distinct: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch, rows: int):
+        self.distinct, self.texts, self.shingle, self.scratch, self.rows = distinct, texts, shingle, scratch, rows
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that sizes and sketches do not rule out."""
         light = self.distinct.select("fp", "n", "sketch")
         met = pairs.join(light.alias("x"), F.col("a") == F.col("x.fp")).join(light.alias("y"), F.col("b") == F.col("y.fp"))
-        return self.scratch.save(met.where(_possible("x", "y")).select("a", "b"), "close")
+        return self.scratch.save(met.where(_possible("x", "y")).select("a", "b"), "close", self.rows, TEXT_ROWS)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose sets have a similarity of at least 4/5."""
         need = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        need = self.scratch.save(need.join(self.distinct, "fp").select("fp", "text_hash"), "need")
+        need = self.scratch.save(need.join(self.distinct, "fp").select("fp", "text_hash"), "need", self.rows)
         few = need.count() <= MOST_SENT
         send = F.broadcast if few else lambda df: df
         rows = self.texts.join(send(need.select("text_hash")), F.xxhash64("__text") == F.col("text_hash"), "left_semi")
         whole = rows.mapInArrow(_whole_batches(self.shingle), "fp long, shingles array<long>").join(send(need.select("fp")), "fp", "left_semi")
-        whole = self.scratch.save(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "whole")
+        whole = self.scratch.save(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "whole", self.rows, TEXT_ROWS)
         both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        out = self.scratch.save(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+        out = self.scratch.save(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links", self.rows, TEXT_ROWS)
         self.scratch.drop(whole)
         return out
 
@@ -338,13 +338,15 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
     rows = docs.select(*keep, F.xxhash64(text).alias("text_hash"), text.alias("__text"))
     names = [c for c in rows.columns if c != "__text"]
     made = rows.mapInArrow(_set_batches(shingle, names, common, often), extend(rows.drop("__text").schema, "fp long, n int, prefix array<long>, sketch array<long>, sim long"))
-    made = scratch.save(made, "sets")
+    rows = docs.count()
+    made = scratch.save(made, "sets", rows, TEXT_ROWS)
     distinct = made.groupBy("fp").agg(F.min(id_col).alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "sim", "text_hash")])
-    distinct = scratch.save(distinct, "distinct")
-    verifier = _Verifier(distinct, texts, shingle, scratch)
+    distinct = scratch.save(distinct, "distinct", rows, TEXT_ROWS)
+    n = distinct.count()
+    verifier = _Verifier(distinct, texts, shingle, scratch, rows)
 
     # Sets of one fingerprint hang on the first of them, and the first ones of linked fingerprints on each other.
-    firsts = scratch.save(distinct.groupBy("sim").agg(F.min("fp").alias("a")), "firsts")
+    firsts = scratch.save(distinct.groupBy("sim").agg(F.min("fp").alias("a")), "firsts", n)
     same = distinct.join(firsts, "sim").where("a < fp").select("a", F.col("fp").alias("b"))
     other = firsts.select(F.col("sim").alias("other"), F.col("a").alias("o"))
     linked = simhash.links(firsts.select(F.col("sim").alias("fp"))).select(F.col("a").alias("sim"), F.col("b").alias("other"))
@@ -352,7 +354,7 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
 
     dealt = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "fp", "n", "pos")
     dealt = dealt.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "fp")
-    met = scratch.save(dealt.mapInArrow(_meet_batches(MOST_PAIRED), "a long, b long, h long"), "met")
+    met = scratch.save(dealt.mapInArrow(_meet_batches(MOST_PAIRED), "a long, b long, h long"), "met", n, TEXT_ROWS)
     crowd = met.where("h IS NOT NULL").select("h", F.col("a").alias("fp"))
     hubs = crowd.groupBy("h").agg(F.min("fp").alias("a"))
     star = crowd.join(hubs, "h").where("a < fp").select("a", F.col("fp").alias("b"))
@@ -360,7 +362,7 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
     # One pair for each set first: of masses of copies, that leaves few of the other pairs to look at.
     links = verifier.links(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = connected_components(links)
-    rest = scratch.save(_apart(close, labels), "rest")
+    rest = scratch.save(_apart(close, labels), "rest", n)
     if not rest.isEmpty():
         links = links.union(verifier.links(rest))
         labels = connected_components(links)
@@ -371,12 +373,12 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
         # Each set brings the crowded shingles that it stands under, so that two sets are a pair under the first that they share only.
         open_ = placed.join(split, "h")
         under = open_.groupBy("fp").agg(F.collect_set("h").alias("every"))
-        open_ = scratch.save(open_.join(under, "fp").join(light, "fp"), "open")
-        cross = scratch.save(_crossed(open_), "cross")
+        open_ = scratch.save(open_.join(under, "fp").join(light, "fp"), "open", n)
+        cross = scratch.save(_crossed(open_), "cross", open_.count(), TEXT_ROWS)
         if not cross.isEmpty():
             links = links.union(verifier.links(cross))
             labels = connected_components(links)
 
     of = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     roots = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    return made.select(*[n for n in names if n != "text_hash"], "fp"), scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups")
+    return made.select(*[n for n in names if n != "text_hash"], "fp"), scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups", n)

@@ -324,18 +324,18 @@ def assign(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     group = F.when(F.col("kind").startswith("given") | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
     texts = docs.select(F.col(f"`{text_col}`").alias("__text"))
-    entities = scratch.save(texts.mapInArrow(_entity_batches, "kind string, canonical string").distinct(), "entities")
+    entities = scratch.save(texts.mapInArrow(_entity_batches, "kind string, canonical string").distinct(), "entities", docs.count())
     real = entities.select(group.alias("group"), F.col("canonical").alias("surrogate")).distinct()
     taken, pending = None, entities
     for attempt in itertools.count():  # from DRAWS_IN_FORM on there are ten times as many values with each round
-        drawn = scratch.save(pending.mapInArrow(_draw_batches(key, attempt), _DRAWN).withColumn("group", group), "drawn")
+        drawn = scratch.save(pending.mapInArrow(_draw_batches(key, attempt), _DRAWN).withColumn("group", group), "drawn", pending.count())
         free = drawn.join(real, ["group", "surrogate"], "left_anti")
         if taken is not None:
             free = free.join(taken.select("group", "surrogate"), ["group", "surrogate"], "left_anti")
         first = free.groupBy("group", "surrogate").agg(F.min(F.struct("kind", "canonical")).alias("e"))
-        won = scratch.save(first.select("e.kind", "e.canonical", "surrogate", "group", F.lit(attempt).alias("attempt")), "won")
+        won = scratch.save(first.select("e.kind", "e.canonical", "surrogate", "group", F.lit(attempt).alias("attempt")), "won", drawn.count())
         taken = won if taken is None else taken.union(won)
-        pending = scratch.save(drawn.join(won, ["kind", "canonical"], "left_anti").select("kind", "canonical"), "pending")
+        pending = scratch.save(drawn.join(won, ["kind", "canonical"], "left_anti").select("kind", "canonical"), "pending", drawn.count())
         if pending.isEmpty():
             return taken.drop("group")
 

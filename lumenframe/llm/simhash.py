@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.components import connected_components
-from lumenframe.llm.frames import Scratch, extend, shuffle_partitions
+from lumenframe.llm.frames import TEXT_ROWS, Scratch, extend, shuffle_partitions
 from lumenframe.llm.words import SPACED, slices, split_words, trim
 
 BITS = 64
@@ -166,7 +166,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("links() is exact for a distance of 1 or 2")
     scratch = Scratch(fps.sparkSession, "simhash")
     dealt = _variants(fps, distance).repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
-    met = scratch.save(dealt.mapInArrow(_meet_batches(distance, MOST_PAIRED), "a long, b long").distinct(), "met")
+    met = scratch.save(dealt.mapInArrow(_meet_batches(distance, MOST_PAIRED), "a long, b long").distinct(), "met", fps.count())
     crowded = _crowded(met.where("b IS NULL").select(F.col("a").alias("fp")), distance)
     return met.where("b IS NOT NULL").union(crowded).distinct()
 
@@ -174,18 +174,20 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 def groups(fps: DataFrame, id_col: str = "id", distance: int = 2) -> DataFrame:
     """For rows (id_col, fp): fp, label (its component) and component_id, the least id in the component, per distinct fp."""
     scratch = Scratch(fps.sparkSession, "simhash")
-    distinct = scratch.save(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    joined = scratch.save(links(distinct.select("fp"), distance), "links")
+    distinct = scratch.save(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct", fps.count())
+    n = distinct.count()
+    joined = scratch.save(links(distinct.select("fp"), distance), "links", n)
     labels = connected_components(joined, "a", "b")
     of = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     roots = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    return scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups")
+    return scratch.save(of.join(roots, "label").select("fp", "label", "component_id"), "groups", n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """Per row: the id, fingerprint (16 hex digits) and component_id. Rows of one id keep their own fingerprints; a null id has a
     row and never names a component unless all its rows are null. An empty table gives no rows; extra columns are not carried."""
     spark = docs.sparkSession
-    fps = Scratch(spark, "simhash").save(fingerprints(docs, [F.col(f"`{id_col}`").cast("long").alias("id")], text_col, shingle, seed), "fingerprints")
+    made = fingerprints(docs, [F.col(f"`{id_col}`").cast("long").alias("id")], text_col, shingle, seed)
+    fps = Scratch(spark, "simhash").save(made, "fingerprints", docs.count(), TEXT_ROWS)
     found = groups(fps, "id", distance)
     return fps.join(found, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
