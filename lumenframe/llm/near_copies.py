@@ -124,9 +124,8 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles of the corpus, ascending, and how often each was counted."""
     parts = shuffle_partitions(texts.sparkSession)
     dealt = texts.mapInArrow(_tally_batches(shingle, parts), "part int, hashes binary, counts binary").repartitionById(parts, "part")
-    seen = dealt.mapInArrow(_common_batches(MOST_PAIRED), "h long, n long").orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    seen.sort()
-    return np.array([r.h for r in seen], np.int64), np.array([r.n for r in seen], np.int64)
+    seen = dealt.mapInArrow(_common_batches(MOST_PAIRED), "h long, n long").orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow().sort_by("h")
+    return seen.column("h").to_numpy(), seen.column("n").to_numpy()
 
 
 def _set_batches(shingle: int, names: list[str], common: np.ndarray, often: np.ndarray):
@@ -349,7 +348,7 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
     firsts = scratch.save(distinct.groupBy("sim").agg(F.min("fp").alias("a")), "firsts", n)
     same = distinct.join(firsts, "sim").where("a < fp").select("a", F.col("fp").alias("b"))
     other = firsts.select(F.col("sim").alias("other"), F.col("a").alias("o"))
-    linked = simhash.links(firsts.select(F.col("sim").alias("fp"))).select(F.col("a").alias("sim"), F.col("b").alias("other"))
+    linked = scratch.save(simhash.links(firsts.select(F.col("sim").alias("fp"))), "linked", n).select(F.col("a").alias("sim"), F.col("b").alias("other"))
     linked = linked.join(firsts, "sim").join(other, "other").select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
 
     dealt = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "fp", "n", "pos")

@@ -145,15 +145,14 @@ def _crowded(crowd: DataFrame, distance: int) -> DataFrame:
     one exactly if blanking some one bit does. So each member goes under itself and its 64 changes (or its 64 blanked forms); all
     that meet under one number are within the distance of each other, and are linked to the least of them.
     """
-    flips = [_bits(i, 1) for i in range(BITS)]
+    flips = F.array(*[F.lit(x).cast("long") for x in ([0] if distance == 2 else []) + [_bits(i, 1) for i in range(BITS)]])
+    forms = crowd.select("fp").distinct().select("fp", F.posexplode(flips).alias("slot", "flip"))
     if distance == 2:
-        keys = [(0, F.col("fp")), *((0, F.col("fp").bitwiseXOR(F.lit(x).cast("long"))) for x in flips)]
+        at = forms.select("fp", F.lit(0).alias("slot"), F.col("fp").bitwiseXOR(F.col("flip")).alias("sig"))
     else:
-        keys = [(i, F.col("fp").bitwiseAND(F.lit(~x).cast("long"))) for i, x in enumerate(flips)]
-    forms = F.array(*[F.struct(F.lit(i).alias("slot"), x.alias("sig")) for i, x in keys])
-    at = crowd.select("fp").distinct().select("fp", F.explode(forms).alias("at"))
-    least = at.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("at", "a")
-    return at.join(least, "at").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+        at = forms.select("fp", "slot", F.col("fp").bitwiseAND(F.bitwise_not("flip")).alias("sig"))
+    least = at.groupBy("slot", "sig").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("slot", "sig", "a")
+    return at.join(least, ["slot", "sig"]).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
