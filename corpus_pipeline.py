@@ -37,13 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, most_sent
     counted = fps.groupBy("fp", "id", "row").agg(F.count("*").alias("n"))
     placed = counted.join(groups, "fp")
     first = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("row", "id", "n")).alias("r"))
-    stays = scratch.save(first.select("r.*"), "stays")
+    size = fps.count()
+    stays = scratch.save(first.select("r.*"), "stays", size)
     keys = lambda df: df.select(F.col("id").alias("__id"), F.col("row").alias("__row"))
     rows = docs.select(*COLUMNS, own.alias("__own"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row"))
     twins = keys(stays.where("n > 1"))
     once = rows.join(twins, same, "left_semi").dropDuplicates(["doc_id", "__own"])
-    gone = scratch.save(counted.select("id", "row").join(stays.where("n = 1").select(F.col("id").alias("i"), F.col("row").alias("r")), F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left_anti"), "gone")
+    gone = scratch.save(counted.select("id", "row").join(stays.where("n = 1").select(F.col("id").alias("i"), F.col("row").alias("r")), F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left_anti"), "gone", size)
     if gone.limit(most_sent + 1).count() <= most_sent:  # the texts stay where they are
         whole = rows.join(F.broadcast(keys(gone)), same, "left_anti")
     else:
