@@ -33,7 +33,7 @@ LONG_WORD = 64
 #: What a remembered word takes besides its letters and ids.
 _ENTRY = 180
 #: Text that is encoded in one go.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 2 << 20
 #: Characters that the encoder cuts off the ends of words: none of them joins a token with a letter before it.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?*&%$#")] = True
@@ -117,7 +117,9 @@ class Encoder:
             words = Words(lower_ascii(words.buf), words.start, words.end, words.docs)
         begin, end, word = self._pieces(words)
         hashes = words.span_hashes(begin, end)
-        _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        of = pa.array(hashes).dictionary_encode().indices.to_numpy().astype(np.int64)
+        first = np.zeros(int(of.max()) + 1, np.int64)
+        first[of[::-1]] = np.arange(len(of) - 1, -1, -1)  # the last to be written is the first there is
         lead = first[of]
         length = end - begin
         buf = words.buf.tobytes()
@@ -151,15 +153,12 @@ class Encoder:
     def _ids(self, spelled: list[bytes], letters: list[bool]) -> list[bytes]:
         """letters: whether a word is short and of plain letters only; such words go to the library many at a time."""
         new, old = self.new, self.old
-        added = [i for i, w in enumerate(spelled) if w not in new]
-        fresh = []
-        for i in added:
-            w = spelled[i]
-            found = old.get(w)
-            if found is None:
-                fresh.append(i)
-            else:
-                new[w] = found
+        out = list(map(new.get, spelled))
+        added = [i for i, ids in enumerate(out) if ids is None]
+        words = [spelled[i] for i in added]
+        known = list(map(old.get, words))
+        new.update((w, ids) for w, ids in zip(words, known, strict=True) if ids is not None)
+        fresh = [i for i, ids in zip(added, known, strict=True) if ids is None]
         plain = [spelled[i] for i in fresh if letters[i]] if self.ends.any() else []
         for i in range(0, len(plain), _JOINED * 50):
             groups = [plain[j : j + _JOINED] for j in range(i, min(i + _JOINED * 50, len(plain)), _JOINED)]
@@ -174,11 +173,12 @@ class Encoder:
             part = rest[i : i + 2_000]
             for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 new[w] = np.array(found.ids, np.int32).tobytes()
-        out = [new[w] for w in spelled]
-        for i in fresh:
-            if len(spelled[i]) > LONG_WORD:
-                del new[spelled[i]]
-        self.bytes += sum(len(spelled[i]) for i in added) * 2 + _ENTRY * len(added)  # ids take about as much as letters
+        for i, ids in zip(added, map(new.__getitem__, words), strict=True):
+            out[i] = ids
+        for w in words:
+            if len(w) > LONG_WORD:
+                del new[w]
+        self.bytes += sum(map(len, words)) * 2 + _ENTRY * len(words)  # ids take about as much as letters
         if self.bytes > CACHE_BYTES:
             self.old, self.new, self.bytes = new, {}, 0
         return out
