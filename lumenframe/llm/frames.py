@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of a file of a table of numbers, and of one that a task makes from whole texts, about.
 NARROW_ROWS, TEXT_ROWS = 50_000, 5_000
 #: Rows that go to a Python worker at once: a row is a whole text here, so batches of Spark's default would take tens of megabytes.
-BATCH_ROWS = 2_500
+BATCH_ROWS = 1_000
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -26,14 +26,12 @@ from lumenframe.llm.words import SPACED, Words, lower_ascii, same_bytes, slices,
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Bytes of words and ids that a worker remembers, about, twice over; older ones are forgotten, so the bound changes speed only. A
-#: word of over LONG_WORD bytes is not remembered.
-CACHE_BYTES = 48 << 20
+#: Bytes of words and ids that a worker remembers; beyond that it starts anew, so the bound changes speed only. A word of over LONG_WORD
+#: bytes is not remembered.
+CACHE_BYTES = 24 << 20
 LONG_WORD = 64
-#: What a remembered word takes besides its letters and ids.
-_ENTRY = 180
 #: Text that is encoded in one go.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Characters that the encoder cuts off the ends of words: none of them joins a token with a letter before it.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?*&%$#")] = True
@@ -52,6 +50,48 @@ def _other_bytes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return upto[end] - upto[begin]
 
 
+class _Known:
+    """Words and their ids in flat arrays, in the order of the words' hashes; spelling decides, not the hash."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.ids, self.letters = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.at = np.zeros((4, 0), np.int32)  # first id and number of ids, first letter and number of letters
+
+    @property
+    def nbytes(self) -> int:
+        return self.hashes.nbytes + self.ids.nbytes + self.letters.nbytes + self.at.nbytes
+
+    def find(self, hashes: np.ndarray, buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero((self.hashes[place] == hashes) & (self.at[3][place] == length))
+            both = np.concatenate([self.letters, buf])
+            hit = hit[same_bytes(both, self.at[2][place[hit]].astype(np.int64), len(self.letters) + begin[hit], length[hit])]
+            out[hit] = place[hit]
+        return out
+
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[bytes]) -> None:
+        """Words of different hashes; one that shares its hash with a word that is there is left out, as is a long one."""
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        new = size[order] <= LONG_WORD
+        if len(self.hashes):
+            new &= self.hashes[np.minimum(place, len(self.hashes) - 1)] != hashes[order]
+        order, place = order[new], place[new]
+        if not len(order):
+            return
+        words, ids = [words[i] for i in order.tolist()], [ids[i] for i in order.tolist()]
+        n_ids, n_letters = np.fromiter(map(len, ids), np.int32, len(ids)) // 4, size[order].astype(np.int32)
+        rows = np.stack([len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids, len(self.letters) + np.cumsum(n_letters) - n_letters, n_letters]).astype(np.int32)
+        self.hashes, self.at = np.insert(self.hashes, place, hashes[order]), np.insert(self.at, place, rows, axis=1)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.int32)])
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(words), np.uint8)])
+
+
 class Encoder:
     """Token ids of whole texts, as the library's encode() gives them.
 
@@ -72,9 +112,7 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         if made["model"].get("end_of_word_suffix"):
             self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(made["model"]["end_of_word_suffix"])]] = True
-        self.new: dict[bytes, bytes] = {}  # ids as the bytes of 32-bit numbers
-        self.old: dict[bytes, bytes] = {}
-        self.bytes = 0  # of new
+        self.known = _Known()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, and the ids of all texts. A null is empty."""
@@ -91,31 +129,29 @@ class Encoder:
         found = self._distinct(texts)
         if found is None:
             return np.zeros(len(texts), np.int64)
-        ids, of, bounds = found
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        _, _, size, of, bounds = found
         return np.diff(np.concatenate([[0], np.cumsum(size[of])])[bounds])
 
     def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = self._distinct(texts)
         if found is None:
             return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32)
-        ids, of, bounds = found
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        at = np.cumsum(size) - size
+        flat, at, size, of, bounds = found
         n = size[of]
         total = np.concatenate([[0], np.cumsum(n)])
         out = flat[np.repeat(at[of] - total[:-1], n) + np.arange(total[-1])]
         return total[bounds], out
 
-    def _distinct(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray] | None:
-        """The ids of each distinct piece, the number of each piece's own, and where each text's pieces begin; None without any."""
+    def _distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Some ids; for each distinct piece of the texts the first of its own among them and their number; the number of each piece's
+        own distinct piece; and where each text's pieces begin. None without any."""
         words = split_words(texts, SPACED)
         if not len(words.start):
             return None
         if b"<|" not in words.buf.tobytes():  # else a special token may be spelled out, in its case
             words = Words(lower_ascii(words.buf), words.start, words.end, words.docs)
         begin, end, word = self._pieces(words)
+        bounds = np.searchsorted(word, words.docs)
         hashes = words.span_hashes(begin, end)
         of = pa.array(hashes).dictionary_encode().indices.to_numpy().astype(np.int64)
         first = np.zeros(int(of.max()) + 1, np.int64)
@@ -123,15 +159,27 @@ class Encoder:
         lead = first[of]
         length = end - begin
         buf = words.buf.tobytes()
-        if ((length == length[lead]) & same_bytes(words.buf, begin, begin[lead], np.minimum(length, length[lead]))).all():
-            spelled = [buf[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        else:  # two words have one hash
+        if not ((length == length[lead]) & same_bytes(words.buf, begin, begin[lead], np.minimum(length, length[lead]))).all():  # two words have one hash
             every = [buf[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
             number = {w: i for i, w in enumerate(dict.fromkeys(every))}
-            spelled, of = list(number), np.array([number[w] for w in every])
-            return self._ids(spelled, [False] * len(spelled)), of, np.searchsorted(word, words.docs)
-        letters = (_other_bytes(words.buf, begin[first], end[first]) == 0) & (length[first] <= LONG_WORD)
-        return self._ids(spelled, letters.tolist()), of, np.searchsorted(word, words.docs)
+            ids = self._ids(list(number), [False] * len(number))
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            return np.frombuffer(b"".join(ids), np.int32), np.cumsum(size) - size, size, np.array([number[w] for w in every]), bounds
+        begin, end, length, hashes = begin[first], end[first], length[first], hashes[first]
+        place = self.known.find(hashes, words.buf, begin, length)
+        had, fresh = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        spelled = [buf[a:b] for a, b in zip(begin[fresh].tolist(), end[fresh].tolist(), strict=True)]
+        letters = (_other_bytes(words.buf, begin[fresh], end[fresh]) == 0) & (length[fresh] <= LONG_WORD)
+        ids = self._ids(spelled, letters.tolist())
+        at, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        at[had], size[had] = self.known.at[0][place[had]], self.known.at[1][place[had]]
+        size[fresh] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at[fresh] = len(self.known.ids) + np.cumsum(size[fresh]) - size[fresh]
+        flat = np.concatenate([self.known.ids, np.frombuffer(b"".join(ids), np.int32)])
+        self.known.add(hashes[fresh], spelled, ids)
+        if self.known.nbytes > CACHE_BYTES:
+            self.known = _Known()
+        return flat, at, size, of, bounds
 
     @staticmethod
     def _pieces(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,36 +199,25 @@ class Encoder:
         return np.where(second, tail[word], start[word]), np.where(second, end[word], tail[word]), word
 
     def _ids(self, spelled: list[bytes], letters: list[bool]) -> list[bytes]:
-        """letters: whether a word is short and of plain letters only; such words go to the library many at a time."""
-        new, old = self.new, self.old
-        out = list(map(new.get, spelled))
-        added = [i for i, ids in enumerate(out) if ids is None]
-        words = [spelled[i] for i in added]
-        known = list(map(old.get, words))
-        new.update((w, ids) for w, ids in zip(words, known, strict=True) if ids is not None)
-        fresh = [i for i, ids in zip(added, known, strict=True) if ids is None]
-        plain = [spelled[i] for i in fresh if letters[i]] if self.ends.any() else []
+        """The library's ids of some words, as the bytes of 32-bit numbers. letters: whether a word is short and of plain letters only;
+        such words go to the library many at a time."""
+        out: list[bytes | None] = [None] * len(spelled)
+        plain = [i for i, x in enumerate(letters) if x] if self.ends.any() else []
         for i in range(0, len(plain), _JOINED * 50):
             groups = [plain[j : j + _JOINED] for j in range(i, min(i + _JOINED * 50, len(plain)), _JOINED)]
-            for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            joined = [b" ".join([spelled[k] for k in g]).decode() for g in groups]
+            for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, np.int32)
                 cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
                 if len(cuts) == len(group) and cuts[-1] == 4 * len(ids):
                     raw = ids.tobytes()
-                    new.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-        rest = [spelled[i] for i in fresh if spelled[i] not in new]
+                    for k, a, b in zip(group, [0, *cuts[:-1]], cuts, strict=True):
+                        out[k] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
         for i in range(0, len(rest), 2_000):
             part = rest[i : i + 2_000]
-            for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                new[w] = np.array(found.ids, np.int32).tobytes()
-        for i, ids in zip(added, map(new.__getitem__, words), strict=True):
-            out[i] = ids
-        for w in words:
-            if len(w) > LONG_WORD:
-                del new[w]
-        self.bytes += sum(map(len, words)) * 2 + _ENTRY * len(words)  # ids take about as much as letters
-        if self.bytes > CACHE_BYTES:
-            self.old, self.new, self.bytes = new, {}, 0
+            for k, found in zip(part, self.tokenizer.encode_batch_fast([spelled[k].decode() for k in part], add_special_tokens=False), strict=True):
+                out[k] = np.array(found.ids, np.int32).tobytes()
         return out
 
 

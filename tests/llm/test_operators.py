@@ -109,7 +109,7 @@ def test_encoder_of_long_words(spark):
     bounds, ids = encoder.encode(pa.array(texts))
     for k, text in enumerate(texts):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert max(map(len, [*encoder.new, *encoder.old])) <= token_output.LONG_WORD
+    assert encoder.known.at[3].max() <= token_output.LONG_WORD
 
 
 def test_token_store_of_nothing(spark):
