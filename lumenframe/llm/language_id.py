@@ -164,13 +164,13 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     rows = known.where(_below(chance, most / n)) if n > most else known
     rows = rows.select(label.alias("lang"), text.alias("__text")).where("__text is not null")
     rows = rows.withColumn("apart", F.pmod(F.xxhash64(F.lit("calibration"), F.col("__text")), F.lit(CALIBRATION_SHARE)) == 0)
-    counted = rows.mapInArrow(_count_batches(), "lang string, apart boolean, bucket long, n long").groupBy("lang", "apart", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(counted.lang.unique()))
+    counted = rows.mapInArrow(_count_batches(), "lang string, apart boolean, bucket long, n long").groupBy("lang", "apart", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = counted.column("lang").combine_chunks().dictionary_encode()
+    languages = tuple(sorted(names.dictionary.to_pylist()))
+    own = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    apart = counted.column("apart").to_numpy().astype(np.int64)
     grams = np.zeros((2, len(languages), BUCKETS))
-    for i, lang in enumerate(languages):
-        for apart in (False, True):
-            own = counted[(counted.lang == lang) & (counted.apart == apart)]
-            grams[int(apart), i, own.bucket.to_numpy()] += own.n.to_numpy()
+    grams[apart, own[names.indices.to_numpy()], counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     code = codewords(len(languages))
     bits = code.shape[1]
     weights = _weights(grams.sum(0), code)
