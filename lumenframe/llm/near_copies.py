@@ -8,7 +8,8 @@ miss are found by another index, a prefix filter on the sets themselves, and ver
 Of two sets that similar, the first fifths in any common order of all shingles share one (prefix filter). The order puts shingles
 that are common in the corpus last, so that few sets meet. Meetings that sizes, positions or parity sketches rule out are dropped; the
 others are verified on the whole sets, first one for each set, then those that this leaves in different components. Masses of near
-copies that meet under one shingle are linked to one of them first.
+copies that meet under one shingle are linked to one of them first; of the pairs that this leaves in different components, those that
+links connect already are passed over, so that links grow with the sets and not with the pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from lumenframe.llm.words import SPACED, mix, slices, split_words, trim
 
 #: A bucket of more sets than this is not compared pair by pair at once; its shingle is common.
 MOST_PAIRED = 48
-#: Sets of a crowded bucket that a task compares with as many others.
+#: Sets of a crowded bucket, or of a cluster of near copies, that a task compares with as many others.
 BLOCK_SETS = 2_048
+#: Shingles of the whole sets of a block, about: 32 MB.
+BLOCK_SHINGLES = 4_000_000
 #: Common shingles that the order of shingles knows, the most common ones: they go to every task. Of more, the others count as rare,
 #: which costs meetings and changes no result.
 MOST_COMMON = 100_000
@@ -211,7 +214,7 @@ def _possible(x: str, y: str) -> Column:
 
 
 class _Block:
-    """Sets of one block of a bucket, by the size of their sketches and their own."""
+    """Sets of one block, by the size of their sketches and their own."""
 
     def __init__(self, rows: list[dict]):
         rows.sort(key=lambda r: (len(r["sketch"]), r["n"], r["fp"]))
@@ -224,7 +227,7 @@ class _Block:
             self.sketches[length] = (int(a), int(b), np.array([r["sketch"] for r in rows[a:b]], np.int64).view(np.uint64))
 
     def near(self, other: "_Block", i: int) -> np.ndarray:
-        """Sets of the other block in other components that may be similar to the i-th of this one."""
+        """Sets of the other block in other components that may be similar to the i-th of this one; of this block itself, later ones."""
         n, out = int(self.n[i]), []
         own = np.array(self.rows[i]["sketch"], np.int64).view(np.uint64)
         for length, (a, b, sketches) in other.sketches.items():
@@ -232,6 +235,7 @@ class _Block:
                 continue
             # In this part sizes ascend: those within the similarity are a stretch.
             low, high = a + np.searchsorted(other.n[a:b], [-(-4 * n // 5), 5 * n // 4 + 1])
+            low = max(low, i + 1) if other is self else low
             at = low + np.flatnonzero(other.label[low:high] != self.label[i])
             if not len(at):
                 continue
@@ -243,52 +247,110 @@ class _Block:
             out.append(at[9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n + other.n[at]])
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
+    def similar(self, other: "_Block", i: int, j: int) -> bool:
+        """Whether the i-th set and the j-th of the other block have a similarity of 4/5, by their shingles."""
+        shared = len(np.intersect1d(self.rows[i]["s"], other.rows[j]["s"], assume_unique=True))
+        return bool(9 * shared >= 4 * (self.n[i] + other.n[j]))
 
-def _cross_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes rows of pairs of blocks (h, low, high); gives the pairs that may be similar, each under the first crowded shingle only that
-    its sets share. Memory holds two blocks."""
-
-    def compared(rows: list[dict], h: int) -> Iterator[tuple[int, int]]:
-        parts = sorted({r["block"] for r in rows})
-        blocks = {b: _Block([r for r in rows if r["block"] == b]) for b in parts}
-        first, last = blocks[parts[0]], blocks[parts[-1]]
-        for i, r in enumerate(first.rows):
-            for j in first.near(last, i).tolist():
-                a, b = r["fp"], int(last.fp[j])
-                if (len(parts) == 2 or a < b) and min(r["held"] & last.rows[j]["held"]) == h:
-                    yield min(a, b), max(a, b)
-
-    def done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        # A pair of different blocks is met under both together only; one block alone is met with itself.
-        if rows and (rows[0]["low"] == rows[0]["high"] or len({r["block"] for r in rows}) == 2):
-            for r in rows:
-                r["held"] = set(r["every"])
-            found = list(compared(rows, rows[0]["h"]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    held: list[dict] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and (r["h"], r["low"], r["high"]) != (held[0]["h"], held[0]["low"], held[0]["high"]):
-                yield from done(held)
-                held = []
-            held.append(r)
-    yield from done(held)
+
+class _Roots:
+    """The components of two blocks (or one block twice), and which of them were brought together: each has the least of them as its root."""
+
+    def __init__(self, first: _Block, last: _Block):
+        self.labels, at = np.unique(np.concatenate([first.label, last.label]), return_inverse=True)
+        self.first, self.last = at[: len(first.label)], at[len(first.label) :]
+        self.root = np.arange(len(self.labels))
+
+    def join(self, nodes: np.ndarray) -> None:
+        roots = np.unique(self.root[nodes])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, _Block]]:
+    """Takes rows (key, low, high, block, fp, label, n, sketch, perhaps s) in the order of the first three; gives the two blocks of each
+    group. A pair of different blocks is met under both together only; one block alone is met with itself. Memory holds two blocks."""
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            columns = [[x.values.to_numpy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+            for values in zip(*columns, strict=True):
+                yield dict(zip(batch.schema.names, values, strict=True))
+
+    for (_, low, high), group in itertools.groupby(rows(), key=lambda r: (r["key"], r["low"], r["high"])):
+        parts: dict[int, list[dict]] = {}
+        for r in group:
+            parts.setdefault(r["block"], []).append(r)
+        if len(parts) == (1 if low == high else 2):
+            first = _Block(parts[low])
+            yield first, first if low == high else _Block(parts[high])
+
+
+def _maybe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks: the sets that may be similar to one of another component, their components, and for each of these the
+    least one that such pairs connect it with. A row for each set at most, however many pairs there are."""
+    for first, last in _block_pairs(batches):
+        roots = _Roots(first, last)
+        hit, met = np.zeros(len(first.rows), bool), np.zeros(len(last.rows), bool)
+        for i in range(len(first.rows)):
+            at = first.near(last, i)
+            if len(at):
+                hit[i] = met[at] = True
+                roots.join(np.append(roots.last[at], roots.first[i]))
+        fp, nodes = np.concatenate([first.fp[hit], last.fp[met]]), np.concatenate([roots.first[hit], roots.last[met]])
+        fp, once = np.unique(fp, return_index=True)
+        nodes = nodes[once]
+        yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(roots.labels[nodes]), pa.array(roots.labels[roots.root[nodes]])], names=["fp", "label", "root"])
     trim()
 
 
-def _crossed(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of one crowded bucket and different components that may be similar. open_: h, fp, label, n, sketch, every.
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks: links, verified on the sets, that connect all components which links connect; fewer than components.
+    A pair that may be similar is verified unless the links before it connect its components already."""
+    for first, last in _block_pairs(batches):
+        roots, found = _Roots(first, last), []
+        for i in range(len(first.rows)):
+            own, at = roots.first[i], first.near(last, i)
+            while len(at := at[roots.root[roots.last[at]] != roots.root[own]]):
+                j, at = int(at[0]), at[1:]
+                if first.similar(last, i, j):
+                    roots.join(np.array([own, roots.last[j]]))
+                    found.append(sorted((int(first.fp[i]), int(last.fp[j]))))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+    trim()
+
 
-    Buckets are cut into blocks, and every two blocks of a bucket are one group of bounded size, however large the bucket is."""
-    spark = open_.sparkSession
-    blocks = open_.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    rows = open_.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+def _in_blocks(rows: DataFrame, key: str, most: Column) -> DataFrame:
+    """The rows as _block_pairs takes them. Groups of one key are cut into blocks, `most` of them being the aggregate that tells how
+    many; every two blocks of a key are one group of bounded size, however large the key's is."""
+    parts = shuffle_partitions(rows.sparkSession)
+    # Few keys need several blocks, as each of these is full: they go to every task, and no key's rows are gathered before they are cut.
+    large = rows.groupBy(key).agg(most.cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(F.broadcast(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "label", "n", "sketch", "every")
-    dealt = rows.repartition(shuffle_partitions(spark), "h", "low", "high").sortWithinPartitions("h", "low", "high")
-    return dealt.mapInArrow(_cross_batches, "a long, b long")
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other").withColumnRenamed(key, "key")
+    return rows.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def _crossed(open_: DataFrame, verifier: "_Verifier", n: int) -> DataFrame:
+    """Links between sets of one crowded bucket and different components, enough of them to connect all that links connect; their
+    number grows with the sets, not with the pairs. open_: h, fp, label, n, sketch.
+
+    Sketches tell which sets may have a link, and which components these may connect; in a cluster of such components each set is
+    once, with all its shingles, so tasks can verify pairs and pass over those that are connected already."""
+    columns = ["fp", "label", "n", "sketch"]
+    maybe = _in_blocks(open_.select("h", *columns), "h", F.ceil(F.count("*") / BLOCK_SETS)).mapInArrow(_maybe_batches, "fp long, label long, root long")
+    maybe = verifier.scratch.save(maybe.distinct(), "maybe", n)
+    clusters = connected_components(maybe.select("label", "root").distinct(), "label", "root").select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    sets = maybe.select("fp", "label").distinct().join(clusters, "label").join(verifier.distinct.select("fp", "n", "sketch"), "fp")
+    whole = verifier.whole(maybe.select("fp").distinct())
+    most = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    found = _in_blocks(sets.join(whole, "fp").select("cluster", *columns, "s"), "cluster", most).mapInArrow(_forest_batches, "a long, b long")
+    found = verifier.scratch.save(found.distinct(), "forest", n)
+    verifier.scratch.drop(whole)
+    return found
 
 
 class _Verifier:
@@ -303,15 +365,18 @@ class _Verifier:
         met = pairs.join(light.alias("x"), F.col("a") == F.col("x.fp")).join(light.alias("y"), F.col("b") == F.col("y.fp"))
         return self.scratch.save(met.where(_possible("x", "y")).select("a", "b"), "close", self.rows, TEXT_ROWS)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets have a similarity of at least 4/5."""
-        need = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    def whole(self, need: DataFrame) -> DataFrame:
+        """The shingles s of the sets fp."""
         need = self.scratch.save(need.join(self.distinct, "fp").select("fp", "text_hash"), "need", self.rows)
         few = need.count() <= MOST_SENT
         send = F.broadcast if few else lambda df: df
         rows = self.texts.join(send(need.select("text_hash")), F.xxhash64("__text") == F.col("text_hash"), "left_semi")
         whole = rows.mapInArrow(_whole_batches(self.shingle), "fp long, shingles array<long>").join(send(need.select("fp")), "fp", "left_semi")
-        whole = self.scratch.save(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "whole", self.rows, TEXT_ROWS)
+        return self.scratch.save(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "whole", self.rows, TEXT_ROWS)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets have a similarity of at least 4/5."""
+        whole = self.whole(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct())
         both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         out = self.scratch.save(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links", self.rows, TEXT_ROWS)
@@ -369,13 +434,10 @@ def groups(docs: DataFrame, keep: list[Column], id_col: str = "id", text_col: st
         light = distinct.select("fp", "n", "sketch")
         placed = crowd.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         split = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-        # Each set brings the crowded shingles that it stands under, so that two sets are a pair under the first that they share only.
-        open_ = placed.join(split, "h")
-        under = open_.groupBy("fp").agg(F.collect_set("h").alias("every"))
-        open_ = scratch.save(open_.join(under, "fp").join(light, "fp"), "open", n)
-        cross = scratch.save(_crossed(open_), "cross", open_.count(), TEXT_ROWS)
+        open_ = scratch.save(placed.join(split, "h").join(light, "fp"), "open", n)
+        cross = _crossed(open_, verifier, open_.count())
         if not cross.isEmpty():
-            links = links.union(verifier.links(cross))
+            links = links.union(cross)
             labels = connected_components(links)
 
     of = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

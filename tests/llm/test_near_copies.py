@@ -82,3 +82,30 @@ def test_stage_keeps_one_row_of_each_component(spark):
     for most in (corpus_pipeline.MOST_SENT, 0):
         got = corpus_pipeline.near_duplicates(spark, docs, "", most_sent=most).collect()
         assert sorted((r.doc_id, r.text) for r in got) == [(1, far[0]), (1, far[1]), (7, far[2])]
+
+
+def test_links_of_near_copies_grow_with_the_texts(spark, monkeypatch):
+    """One large group of texts around the similarity, so that a star leaves many and most pairs of what it leaves are links: what the
+    components are made from has some links for each text, not one for each pair, and the components are those of all pairs."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(240):
+        text = list(base)
+        for j in r.sample(range(300), r.choice((3, 5))):
+            text[j] = f"x{i}y{j}"
+        texts.append(" ".join(text))
+    sizes, connect = [], near_copies.connected_components
+
+    def counted(edges, *names):
+        sizes.append(edges.count())
+        return connect(edges, *names)
+
+    monkeypatch.setattr(near_copies, "connected_components", counted)
+    for block in (2048, 50):
+        monkeypatch.setattr(near_copies, "BLOCK_SETS", block)
+        docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+        fps, groups = near_copies.groups(docs, ["id"])
+        got = {x.id: x.component_id for x in fps.join(groups, "fp").collect()}
+        assert [got[i] for i in range(len(texts))] == brute_labels(texts)
+    assert max(sizes) <= 2 * len(texts), sizes
