@@ -137,6 +137,14 @@ class SpectralCube:
         """The whole cube as an array, for what fits on the driver."""
         return pixels_to_array(self._frame, "spectrum", self.height, self.width, self.bands)
 
+    def filled(self) -> SpectralCube:
+        """The cube with every pixel of its raster, as files need it: those that the frame lacks are no-data throughout, or NaN without
+        a no-data value. Only places are shuffled for this, no spectra."""
+        places = self.spark.range(self.height * self.width).selectExpr(f"int(id div {self.width}) AS row", f"int(id % {self.width}) AS col")
+        lacking = places.join(self._frame.select("row", "col"), ["row", "col"], "left_anti")
+        empty = F.array_repeat(F.lit(math.nan if self._nodata is None else self._nodata), self.bands)
+        return self.with_frame(self._frame.unionByName(lacking.withColumn("spectrum", empty)))
+
     def bands_frame(self) -> DataFrame:
         """band, wavelength and fwhm, a row per band."""
         rows = [(i, w, None if self._fwhm is None else self._fwhm[i]) for i, w in enumerate(self._wavelengths)]
