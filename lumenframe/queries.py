@@ -95,10 +95,11 @@ def _present(cube: SpectralCube, of: SpectralCube, top: int = 0, left: int = 0)
 def _envi_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(folder: Path) -> SpectralCube:
         cube = scene(spark, sf_dir)
+        whole = cube.filled()
         for order in ("bsq", "bil", "bip"):
-            write_envi(cube, folder / f"{order}.img", interleave=order)
-            cube = read_envi(folder / f"{order}.hdr", spark)
-        return cube
+            write_envi(whole, folder / f"{order}.img", interleave=order)
+            whole = read_envi(folder / f"{order}.hdr", spark)
+        return _present(whole, cube)
 
     return _kept(spark, make)
 
