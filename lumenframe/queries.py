@@ -141,8 +141,9 @@ def _zarr_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _zarr_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(folder: Path) -> SpectralCube:
-        write_zarr(scene(spark, sf_dir, True), folder / "s.zarr")
-        return read_zarr(folder / "s.zarr", scale_factor=0.5, add_offset=1.0, spark=spark)
+        cube = scene(spark, sf_dir, True)
+        write_zarr(cube.filled(), folder / "s.zarr")
+        return _present(read_zarr(folder / "s.zarr", scale_factor=0.5, add_offset=1.0, spark=spark), cube)
 
     return _kept(spark, make)
 
