@@ -133,8 +133,9 @@ def _parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _zarr_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(folder: Path) -> SpectralCube:
-        write_zarr(scene(spark, sf_dir), folder / "s.zarr", compression="none", chunk_shape=(16, 7, 10))
-        return read_zarr_window(folder / "s.zarr", (5, 21), (2, 10), (3, 18), spark)
+        cube = scene(spark, sf_dir)
+        write_zarr(cube.filled(), folder / "s.zarr", compression="none", chunk_shape=(16, 7, 10))
+        return _present(read_zarr_window(folder / "s.zarr", (5, 21), (2, 10), (3, 18), spark), cube, 2, 3)
 
     return _kept(spark, make)
 
