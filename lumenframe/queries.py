@@ -155,10 +155,15 @@ def _codes(spark: SparkSession, sf_dir: str) -> SpectralCube:
     return cube.with_frame(cube.frame.withColumn("spectrum", F.transform("spectrum", lambda v: F.round(v * 100) + 100)))
 
 
+def _array(cube: SpectralCube) -> np.ndarray:
+    """The whole raster for files of other programs; places that the scene has no pixel for hold 0, which every data type has."""
+    return cube.with_frame(cube.frame, nodata=0.0).filled().data()
+
+
 def _envi_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of other programs: every data type in both byte orders, with a header that starts with empty lines."""
     folder, cube, out = _folder(spark), _codes(spark, sf_dir), None
-    values = cube.data()
+    values = _array(cube)
     for code, kind in ENVI_TYPES.items():
         for order in (0, 1):
             name = folder / f"t{code}{order}"
@@ -166,7 +171,7 @@ def _envi_types(spark: SparkSession, sf_dir: str) -> DataFrame:
             name.with_suffix(".hdr").write_text(
                 f"\n  ENVI\nsamples = {cube.width}\nlines = {cube.height}\nbands = {cube.bands}\ndata type = {code}\ninterleave = BSQ\nbyte order = {order}\nwavelength = {{430, 470, 600}}\n"
             )
-            one = _long(read_envi(name.with_suffix(".hdr"), spark)).withColumn("kind", F.lit(10 * code + order))
+            one = _long(_present(read_envi(name.with_suffix(".hdr"), spark), cube)).withColumn("kind", F.lit(10 * code + order))
             out = one if out is None else out.union(one)
     return out
 
