@@ -195,10 +195,11 @@ def _foreign_zarr(folder: Path, values: np.ndarray, axes: str, kind: str) -> Pat
 
 
 def _zarr_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, values, out = _folder(spark), _codes(spark, sf_dir).data(), None
+    folder, cube, out = _folder(spark), _codes(spark, sf_dir), None
+    values = _array(cube)
     for axes in ("bsq", "bil", "bip"):
         for kind in ZARR_TYPES:
-            one = _long(read_zarr(_foreign_zarr(folder, values, axes, kind), spark=spark)).withColumn("kind", F.lit(f"{axes} {kind}"))
+            one = _long(_present(read_zarr(_foreign_zarr(folder, values, axes, kind), spark=spark), cube)).withColumn("kind", F.lit(f"{axes} {kind}"))
             out = one if out is None else out.union(one)
     return out
 
