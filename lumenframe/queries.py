@@ -210,8 +210,9 @@ def _zarr_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zarr_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _foreign_zarr(_folder(spark), _codes(spark, sf_dir).data(), "bil", "int16")
-    cube = read_zarr_with_options(store, "/cube/REFLECTANCE", "meta/Wavelength_Centers", "meta/FWHM", 100.0, 2.0, -1.0, spark)
+    codes = _codes(spark, sf_dir)
+    store = _foreign_zarr(_folder(spark), _array(codes), "bil", "int16")
+    cube = _present(read_zarr_with_options(store, "/cube/REFLECTANCE", "meta/Wavelength_Centers", "meta/FWHM", 100.0, 2.0, -1.0, spark), codes)
     return cube.long_frame().select("row", "col", "band", F.lit(float(cube.fwhm()[1])).alias("fwhm"), _tidy(F.col("value")).alias("value"))
 
 

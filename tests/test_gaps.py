@@ -22,7 +22,7 @@ def tables(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["envi_integers", "envi_roundtrip", "zarr_roundtrip", "zarr_scaled", "zarr_window", "envi_types", "zarr_layouts"])
+@pytest.mark.parametrize("name", ["envi_integers", "envi_roundtrip", "zarr_roundtrip", "zarr_scaled", "zarr_window", "envi_types", "zarr_layouts", "zarr_paths"])
 def test_only_pixels_of_the_scene_come_back(spark, tables, name):
     frame = entry.queries()[name](spark, str(tables))
     columns = sorted(frame.columns)
